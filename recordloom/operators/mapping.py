@@ -97,24 +97,29 @@ def collapse(columns: list[Column]) -> Column:
     return F.coalesce(*[tx.empty_to_null(c) for c in columns], F.lit(""))
 
 
-def map_columns(df: DataFrame, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rename the columns of one table; also return the audit.
+def map_columns(
+    df: DataFrame, settings: Settings | None = None, keep: tuple[str, ...] = ("row_id",)
+) -> tuple[DataFrame, DataFrame]:
+    """Rename the columns of one table; also return the audit.  Columns in ``keep`` are left alone.
 
     Only the headers of the table are collected, never its rows.
     """
     spark = df.sparkSession
+    raw = [name for name in df.columns if name not in keep]
     headers = spark.createDataFrame(
-        [(0, i, name) for i, name in enumerate(df.columns)], "file_id int, position int, header string"
+        [(0, i, name) for i, name in enumerate(raw)], "file_id int, position int, header string"
     )
     mapped = map_headers(headers, settings)
     decided = {row["position"]: row["field"] for row in mapped.select("position", "field").collect()}
     # Positional names first: two raw headers may differ by case only.
-    plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    kept = [F.col(f"`{name}`") for name in df.columns if name in keep]
+    plain = df.select(*kept, *[F.col(f"`{name}`") for name in raw])
+    plain = plain.toDF(*plain.columns[: len(kept)], *[f"_c{i}" for i in range(len(raw))])
     sources: dict[str, list[int]] = {}
-    for i, name in enumerate(df.columns):
+    for i, name in enumerate(raw):
         sources.setdefault(decided[i] or name, []).append(i)
     chosen = [
         (F.col(f"_c{where[0]}") if len(where) == 1 else collapse([F.col(f"_c{i}") for i in where])).alias(name)
         for name, where in sources.items()
     ]
-    return plain.select(*chosen), mapping_audit(mapped)
+    return plain.select(*plain.columns[: len(kept)], *chosen), mapping_audit(mapped)
