@@ -10,6 +10,6 @@ class Catalog:
 
 
 def load() -> Catalog:
-    from recordloom.catalog import field_queries, registry, source_queries  # noqa: F401
+    from recordloom.catalog import chain_queries, field_queries, registry, source_queries  # noqa: F401
 
     return Catalog(registry.QUERIES, registry.ORACLES)

@@ -20,7 +20,7 @@ def header_quality(headers: Column) -> Column:
         return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
     score = F.aggregate(
-        headers, F.lit(0), lambda acc, h: acc + 100 - 500 * count(h, "�") - 20 * count(h, "?")
+        headers, F.lit(0), lambda acc, h: acc + 100 - 500 * count(h, "\ufffd") - 20 * count(h, "?")
     )
     return F.when(F.size(headers) == 0, -10_000).otherwise(score)
 
@@ -50,7 +50,7 @@ def inspect_files(spark: SparkSession, paths: str | list[str], separator: str =
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
         "value",
         F.is_valid_utf8("value").alias("utf8"),
-        F.decode(F.col("value").cast("binary"), F.lit("ISO-8859-1")).alias("latin"),
+        F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("latin"),
     )
     unused = "[" + "".join(f"\\x{b:02X}" for b in fv.CP1252_UNUSED) + "]"
     quotes = F.length("latin") - F.length(F.replace(F.col("latin"), F.lit('"'), F.lit("")))
@@ -61,7 +61,7 @@ def inspect_files(spark: SparkSession, paths: str | list[str], separator: str =
         F.min_by(F.struct("value", "latin"), "at").alias("first"),
     )
     # A byte order mark is not part of the first header.
-    utf8 = F.regexp_replace("first.value", "^﻿", "")
+    utf8 = F.regexp_replace("first.value", "^\ufeff", "")
     candidates = F.array(
         F.struct(F.lit(0).alias("ord"), F.lit("utf-8").alias("encoding"), F.when(F.col("utf8"), utf8).alias("line")),
         F.struct(F.lit(1).alias("ord"), F.lit("cp1252").alias("encoding"),
