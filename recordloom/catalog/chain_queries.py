@@ -223,7 +223,7 @@ def infer_table(spark, folder):
 # Customers with the money they moved as activity.
 ACTIVITY = f"""
 select c_custkey as row_id, cast({q.AS_OF_SECONDS} - 86400 * cast(3000 + c_custkey % 9000 as bigint) - 43200 + case when c_custkey % 17 = 0 then null when c_custkey % 19 = 0 then 1800000000 else 0 end as bigint) as DOB,
-  case when c_custkey % 23 = 0 then 'n/a' else cast(round(sum(o_totalprice)) as string) end as activity_score
+  case when c_custkey % 23 = 0 then 'n/a' else cast(sum(cast(floor(o_totalprice) as bigint)) as string) end as activity_score
 from customer left join orders on c_custkey = o_custkey group by c_custkey
 """
 AGE = f"case when DOB > 0 and DOB <= {q.AS_OF_SECONDS} then floor(({q.AS_OF_SECONDS} - DOB) / 86400.0) / 365.25 end"
@@ -280,7 +280,8 @@ def isolation_forest(spark, folder):
 # A score that SQL knows as well: minus the distance from the mean.
 @query("anomaly_threshold", q.with_ctes(*FEATURES, """
   given as (select row_id, -abs(activity - 1000000.0) as score from features),
-  cut as (select quantile_cont(score, greatest(0.01, least(0.05, 3.0 / count(*)))) as cut from given)""",
+  ranked as (select score, row_number() over (order by score) - 1 as k, (count(*) over () - 1) * greatest(0.01, least(0.05, 3.0 / count(*) over ())) as r from given),
+  cut as (select max(case when k = floor(r) then score end) + (max(r) - floor(max(r))) * (max(case when k = floor(r) + 1 then score end) - max(case when k = floor(r) then score end)) as cut from ranked)""",
     select="select row_id, round(score - cut, 6) as anomaly_score, score - cut < 0 as flagged from given, cut"))
 def anomaly_threshold(spark, folder):
     filled, stats = features(spark, folder)
@@ -423,7 +424,7 @@ select (select count(*) from shared) as input_rows, (select count(*) from shared
   (select count(*) from survivors where email is null) as quarantined_rows, (select count(*) from flagged where is_duplicate) + 2 * (select count(*) from links) as duplicate_rows,
   (select count(*) from survivors where email is null and DOB is null) as anomaly_rows"""))
 def run_summary(spark, folder):
-    shared = materialise(shared_table(spark, folder), "shared")
+    shared = shared_table(spark, folder)
     result = dedup.find_duplicates(shared, SETTINGS)
     kept, rest = result.survivors.where("email is not null"), result.survivors.where("email is null")
     return count_stages(shared, result.survivors, kept, rest, result.review, rest.where("DOB is null"))

@@ -9,6 +9,7 @@ from recordloom.functions import dates, fields, similarity, structs
 from recordloom.functions import text as tx
 from recordloom.operators import cleaning, lookup
 from recordloom.operators.dedup import composite_score
+from recordloom.session import materialise
 
 
 def both_texts(spark, folder, rule):
@@ -296,7 +297,7 @@ def scored_ctes():
 
 
 def composed_table(spark, folder):
-    return cleaning.compose_display_name(cleaned_table(spark, folder), SETTINGS)
+    return materialise(cleaning.compose_display_name(cleaned_table(spark, folder), SETTINGS), "composed")
 
 
 def beside(spark, folder):

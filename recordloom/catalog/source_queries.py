@@ -86,7 +86,7 @@ KEPT = """counted as (select *, len(cells) > 0 as filled,
   kept as (select c.* from counted c left join ends e on c.sheet_id = e.sheet_id where filled and (stop is null or before < stop))"""
 CAP = 500
 CAPPED = f"""placed as (select *, sum(repeat) over (partition by sheet_id order by row_no) - repeat as start from kept),
-  capped as (select sheet_id, row_no, unnest(range(1, least(repeat, {CAP} - start) + 1)) as copy_no, cells from placed where start < {CAP})"""
+  capped as (select sheet_id, row_no, unnest(range(1, cast(least(repeat, {CAP} - start) + 1 as bigint))) as copy_no, cells from placed where start < {CAP})"""
 
 
 @query("grid_expand_repeats", q.with_ctes(GRID, WIDE, select="select sheet_id, row_no, unnest(range(1, repeat + 1)) as copy_no, array_to_string(cells, '|') as cells from wide"))

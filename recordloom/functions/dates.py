@@ -30,7 +30,7 @@ def _free_form(text: Column) -> Column:
     """The written date formats that are accepted besides year-month-day, day before month."""
     numeric = r"^(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{4})$"
     year_first = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
-    with_time = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}"
+    with_time = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}.*$"
     day_word = rf"^(\d{{1,2}})(?:st|nd|rd|th)?[- ,.]+{_MONTH}[- ,.]+(\d{{4}})$"
     word_day = rf"^{_MONTH}[- .]+(\d{{1,2}})(?:st|nd|rd|th)?[- ,.]+(\d{{4}})$"
     return F.coalesce(
@@ -38,7 +38,7 @@ def _free_form(text: Column) -> Column:
         _date(text, numeric, "$3-$1-$2"),
         _date(text, year_first, "$1-$3-$2"),
         _date(text, year_first, "$1-$2-$3"),
-        F.when(text.rlike(with_time), F.try_to_timestamp(text)),
+        F.try_to_timestamp(F.regexp_extract(text, with_time, 0)),
         _date(F.lower(text), day_word, "$3-$2-$1", "y-MMM-d"),
         _date(F.lower(text), word_day, "$3-$1-$2", "y-MMM-d"),
     )
@@ -62,12 +62,11 @@ def clean_dob(value: Column, as_of: datetime) -> Column:
 
 def dob_from_text(text: Column, as_of: datetime) -> Column:
     """:func:`clean_dob` for text that is normalised already."""
-    # A year with digits too many keeps its first four.
-    text = F.regexp_replace(text, r"^(.*?)(?<!\d)(\d{4})\d+(?=[-/])", "$1$2")
     moment = F.coalesce(
-        _date(text, r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", "$1-$2-$3"),
+        # A year with digits too many keeps its first four.
+        _date(text, r"^(\d{4})\d*[-/](\d{1,2})[-/](\d{1,2})$", "$1-$2-$3"),
         _date(text, r"^(\d{4})$", "$1-1-1"),
-        _free_form(text),
+        _free_form(F.regexp_replace(text, r"^(\d{4})\d+(?=[-/])", "$1")),
     )
     return _accept(moment, as_of)
 

@@ -23,39 +23,35 @@ def username_of(text: Column) -> Column:
 
 
 def email_of(text: Column) -> Column:
-    """Lower case, domain spelling fixed, accepted only when the whole address has a valid shape."""
-    lower = F.lower(text)
-    domain = F.trim(F.substring_index(lower, "@", -1), F.lit(" ."))
-    local = F.regexp_extract(lower, r"^(?s)(.*)@[^@]*$", 1)
-    fixed = F.concat(local, F.lit("@"), F.coalesce(tx.map_value(fv.EMAIL_DOMAIN_FIXES, domain), domain))
-    return F.when(F.contains(lower, F.lit("@")) & fixed.rlike(fv.EMAIL_SHAPE), fixed)
+    """Lower case, domain spelling fixed, accepted only when the whole address has a valid shape.
+
+    Spaces and dots around the domain go first.  Each step is one pattern on the result of the last.
+    """
+    address = F.regexp_replace(F.lower(text), r"@[ .]*([^@]*?)[ .]*$", "@$1")
+    for right in dict.fromkeys(fv.EMAIL_DOMAIN_FIXES.values()):
+        wrong = [w.replace(".", "[.]") for w, r in fv.EMAIL_DOMAIN_FIXES.items() if r == right]
+        address = F.regexp_replace(address, rf"@(?:{'|'.join(wrong)})$", f"@{right}")
+    return tx.empty_to_null(F.regexp_extract(address, fv.EMAIL_SHAPE, 0))
 
 
 def phone_of(text: Column, region: str = "DZ", rules: list | None = None) -> Column:
-    """First number of the cell in E.164 form when it fits the numbering plan, else null."""
+    """First number of the cell in E.164 form when it fits the numbering plan, else null.
+
+    The number may carry the country code (with or without 00) and the trunk prefix.  Plans of other
+    regions apply only to numbers written with + or 00.
+    """
     rules = rules if rules is not None else fv.PHONE_RULES
-    first = F.trim(F.element_at(F.split(text, r"[/|;,،]"), 1))
+    first = F.regexp_extract(text, r"^[^/|;,\u060C]*", 0)
     digits = F.regexp_replace(first, r"\D", "")
-    international = first.rlike(r"^[^0-9+]*\+")
-    readings: list[Column] = []
+    found = []
     for rule_region, code, trunk, pattern in rules:
-        def valid(national: Column) -> Column:
-            # The number itself, or the number without the trunk prefix.
-            bare = F.regexp_replace(national, f"^{trunk}", "")
-            good = F.when(national.rlike(pattern), national).when(bare.rlike(pattern), bare)
-            return F.concat(F.lit("+" + code), good)
-
-        with_code = valid(F.when(digits.startswith(code), F.substring(digits, len(code) + 1, 20)))
-        readings.append(F.when(international, with_code))
-        if rule_region == region:
-            dialled = f"00{code}"
-            readings += [
-                F.when(~international, valid(digits)),
-                F.when(digits.startswith(dialled), valid(F.substring(digits, len(dialled) + 1, 20))),
-                with_code,
-                valid(digits),
-            ]
-    return F.when(first != "", F.coalesce(*readings))
+        national = pattern.removeprefix("^").removesuffix("$")
+        home = rule_region == region
+        prefix = f"(?:(?:00)?{code})?" if home else f"(?:00)?{code}"
+        number = tx.empty_to_null(F.regexp_extract(digits, rf"^{prefix}(?:{trunk})?({national})$", 1))
+        number = F.concat(F.lit("+" + code), number)
+        found.append(number if home else F.when(first.rlike(r"^[^0-9]*(?:[+]|00)"), number))
+    return F.coalesce(*found)
 
 
 def gender_label_of(text: Column) -> Column:
@@ -114,27 +110,22 @@ def to_double(c: Column) -> Column:
     return c.try_cast("double")
 
 
-def _same_word(a: Column, b: Column) -> Column:
-    return F.lower(a) == F.lower(b)
+def compose_name(name: Column, last: Column, legacy: bool = False, fallback_to_last: bool = False) -> Column:
+    """"name last", or just the name when it ends with the family name already."""
+    return compose_texts(
+        tx.empty_to_null(tx.optional_text(name)), tx.empty_to_null(tx.optional_text(last)), legacy, fallback_to_last
+    )
 
 
-def _already_ends_with(name: Column, last: Column, legacy: bool) -> Column:
-    """Does the name carry the family name already?
+def compose_texts(name: Column, last: Column, legacy: bool = False, fallback_to_last: bool = False) -> Column:
+    """:func:`compose_name` for values that are trimmed, or null when missing.
 
     The older rule compares only the last word, so a family name of two words was added twice.
     """
     if legacy:
-        return _same_word(tx.last_word(name), last)
-    whole, tail = F.lower(tx.squeeze(name)), F.lower(tx.squeeze(last))
-    return (whole == tail) | whole.endswith(F.concat(F.lit(" "), tail))
-
-
-def compose_name(name: Column, last: Column, legacy: bool = False, fallback_to_last: bool = False) -> Column:
-    """"name last", or just the name when it ends with the family name already."""
-    n, f = tx.empty_to_null(tx.optional_text(name)), tx.empty_to_null(tx.optional_text(last))
-    nothing = f if fallback_to_last else F.lit(None).cast("string")
-    return (
-        F.when(n.isNull(), nothing)
-        .when(f.isNull() | _already_ends_with(n, f, legacy), n)
-        .otherwise(F.concat_ws(" ", n, f))
-    )
+        carries = F.lower(tx.last_word(name)) == F.lower(last)
+    else:
+        spaced = F.concat(F.lit(" "), F.lower(tx.squeeze(last)))
+        carries = F.concat(F.lit(" "), F.lower(tx.squeeze(name))).endswith(spaced)
+    whole = F.when(last.isNull() | carries, name).otherwise(F.concat_ws(" ", name, last))
+    return F.when(name.isNull(), last if fallback_to_last else F.lit(None).cast("string")).otherwise(whole)

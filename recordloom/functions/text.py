@@ -7,6 +7,7 @@ row crosses to Python as a null.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -27,8 +28,12 @@ _SPACE = r"(?U)[\s\x1C-\x1F]+"
 
 
 def lit_map(table: dict[str, str]) -> Column:
-    """A small dict as a literal map column."""
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    """A small dict as a literal map column; the optimizer folds the parsing away."""
+    return F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), "map<string,string>")
+
+
+def lit_list(values: list[str]) -> Column:
+    return F.from_json(F.lit(json.dumps(values, ensure_ascii=False)), "array<string>")
 
 
 def labels_to_map(table: dict[str, list[str]]) -> dict[str, str]:
@@ -108,16 +113,20 @@ def empty_to_null(c: Column) -> Column:
 
 def display_name(text: Column) -> Column:
     """Names, family names and communes: Arabic script is kept as it is, the rest is title-cased."""
-    return empty_to_null(F.when(has_arabic(text), text).otherwise(smart_title(text)))
+    return F.when(text != "", F.when(has_arabic(text), text).otherwise(smart_title(text)))
 
 
-def is_missing_word(c: Column) -> Column:
-    return c.isNull() | F.lower(strip(c)).isin(fv.MISSING_WORDS)
+def optional_text(c: Column) -> Column:
+    """Trimmed text, '' when the value is null or one of the words for "no value"."""
+    words = "|".join(w for w in fv.MISSING_WORDS if w)
+    edge = r"[\s\x1C-\x1F]"
+    return F.regexp_replace(
+        F.coalesce(c, F.lit("")), rf"(?U)^{edge}*(?i:{words})?{edge}*$|^{edge}+|{edge}+$", ""
+    )
 
 
-def optional_text(c: Column) -> Column:
-    """Trimmed text, '' when the value is one of the words for "no value"."""
-    return F.when(is_missing_word(c), F.lit("")).otherwise(strip(c))
+def is_missing_word(c: Column) -> Column:
+    return optional_text(c) == ""
 
 
 def text_lower(c: Column) -> Column:

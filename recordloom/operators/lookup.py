@@ -32,7 +32,7 @@ def fuzzy_lookup(text: Column, lookup: dict[str, str], threshold: float = 85.0)
     key = F.lower(text)
     equal = tx.map_value(lookup, key)
     hit = best_alias(F.when((key != "") & equal.isNull(), key), list(lookup))
-    values = F.array(*[F.lit(v) for v in lookup.values()])
+    values = tx.lit_list(list(lookup.values()))
     near = F.when(hit["score"] >= threshold, F.try_element_at(values, hit["position"] + 1))
     return F.coalesce(equal, near)
 

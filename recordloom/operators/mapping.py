@@ -58,8 +58,8 @@ def map_headers(headers: DataFrame, settings: Settings | None = None) -> DataFra
     )
     near = ruled.withColumn("_near", best_alias(open_key, list(fields)))
     position, score = F.col("_near.position"), F.col("_near.score")
-    names = F.array(*[F.lit(f) for f in fields.values()])
-    aliases = F.array(*[F.lit(a) for a in fields])
+    names = tx.lit_list(list(fields.values()))
+    aliases = tx.lit_list(list(fields))
     accepted = score >= settings.mapping_threshold
     return near.select(
         "file_id",
@@ -108,7 +108,7 @@ def map_columns(
     raw = [name for name in df.columns if name not in keep]
     headers = spark.createDataFrame(
         [(0, i, name) for i, name in enumerate(raw)], "file_id int, position int, header string"
-    )
+    ).coalesce(1)
     mapped = map_headers(headers, settings)
     decided = {row["position"]: row["field"] for row in mapped.select("position", "field").collect()}
     # Positional names first: two raw headers may differ by case only.

@@ -12,6 +12,7 @@ from recordloom import fixed_values as fv
 from recordloom.config import Settings
 from recordloom.functions import dates, fields, structs
 from recordloom.functions import text as tx
+from recordloom.session import materialise
 
 TARGET = T.StructType(
     [
@@ -76,7 +77,7 @@ def _get(df: DataFrame, name: str) -> Column:
 
 
 def build_records(df: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Add ``record`` (target struct, null if rejected) and ``failure_reason`` (null if valid)."""
+    """Add ``record`` (the target struct) and ``failure_reason`` (null if the record is valid)."""
     settings = settings or Settings()
     prepared = df.withColumns(
         {
@@ -124,8 +125,7 @@ def build_records(df: DataFrame, settings: Settings | None = None) -> DataFrame:
         "gender": F.when(person, allowed_value(_get(df, "gender"), fv.ALLOWED_GENDERS)),
     }
     record = F.struct(*[v.cast(TARGET[k].dataType).alias(k) for k, v in values.items()])
-    judged = prepared.withColumn("failure_reason", reason)
-    return judged.withColumn("record", F.when(F.col("failure_reason").isNull(), record)).drop(
+    return prepared.withColumns({"failure_reason": reason, "record": record}).drop(
         "_kind", "_school", "_name", "_email", "_username", "_picture", "_last"
     )
 
@@ -141,7 +141,8 @@ class BuildResult:
 
 
 def build_split(df: DataFrame, settings: Settings | None = None) -> BuildResult:
-    judged = build_records(df, settings)
+    """Valid records and rejected rows; the judged table is written once and read twice."""
+    judged = materialise(build_records(df, settings), "judged")
     valid = judged.where("failure_reason is null").select("record.*")
     rejected = judged.where("failure_reason is not null").drop("record").withColumn("row_index", F.col("row_id"))
     return BuildResult(valid, rejected)
