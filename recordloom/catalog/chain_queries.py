@@ -374,9 +374,9 @@ def normalize_location(spark, folder):
     return tidy.where("p is not null").select("row_id", "p.wilaya", "p.commune", F.col("p.coordinates.lat").alias("lat"))
 
 
-@query("normalize_preferences", q.with_ctes(*q.BASE, select="""
+@query("normalize_preferences", q.with_ctes(q.dirty_cte(), select="""
 select row_id, nullif(array_to_string(list_filter(list_transform(string_split(matieres, ','), lambda x: trim(x)), lambda x: x <> ''), '|'), '') as from_text,
-  nullif(array_to_string(list_filter(list_transform(string_split(matieres, ';'), lambda x: trim(x)), lambda x: x <> ''), '|'), '') as from_list from normed"""))
+  nullif(array_to_string(list_filter(list_transform(string_split(matieres, ';'), lambda x: trim(x)), lambda x: x <> ''), '|'), '') as from_list from dirty"""))
 def normalize_preferences(spark, folder):
     return dirty(spark, folder).select(
         "row_id", F.array_join(structs.tidy_list_text(F.col("matieres")), "|").alias("from_text"),

@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom import fixed_values as fv
@@ -129,3 +129,13 @@ def compose_texts(name: Column, last: Column, legacy: bool = False, fallback_to_
         carries = F.concat(F.lit(" "), F.lower(tx.squeeze(name))).endswith(spaced)
     whole = F.when(last.isNull() | carries, name).otherwise(F.concat_ws(" ", name, last))
     return F.when(name.isNull(), last if fallback_to_last else F.lit(None).cast("string")).otherwise(whole)
+
+
+def with_full_name(
+    df: DataFrame, name: str, last: str, out: str, legacy: bool = False, fallback_to_last: bool = False
+) -> DataFrame:
+    """:func:`compose_name` as a column of a table; the trimmed parts are computed once each."""
+    parts = {f"_{out}_a": tx.empty_to_null(tx.optional_text(F.col(name))),
+             f"_{out}_b": tx.empty_to_null(tx.optional_text(F.col(last)))}
+    whole = compose_texts(F.col(f"_{out}_a"), F.col(f"_{out}_b"), legacy, fallback_to_last)
+    return df.withColumns(parts).withColumn(out, whole).drop(*parts)

@@ -111,8 +111,4 @@ def compose_display_name(df: DataFrame, settings: Settings | None = None) -> Dat
     settings = settings or Settings()
     if "name" not in df.columns or "last" not in df.columns:
         return df
-    staged = df.withColumns(
-        {"_first": tx.empty_to_null(tx.optional_text(F.col("name"))), "_family": tx.empty_to_null(tx.optional_text(F.col("last")))}
-    )
-    whole = fields.compose_texts(F.col("_first"), F.col("_family"), settings.legacy_compose)
-    return staged.withColumn("name", whole).drop("_first", "_family")
+    return fields.with_full_name(df, "name", "last", "name", settings.legacy_compose)

@@ -77,8 +77,7 @@ def assign_unique(asks: DataFrame, taken: DataFrame, separator: str) -> DataFram
     steps are running sums over range-partitioned data, so a candidate shared by a third of all rows
     is spread like any other.
     """
-    asks = materialise(asks.select("row_id", "candidate"), "asks")
-    queue = materialise(running_sum(asks, ["candidate"], ["row_id"], "ordinal"), "queue")
+    queue = materialise(running_sum(asks.select("row_id", "candidate"), ["candidate"], ["row_id"], "ordinal"), "queue")
     firsts = queue.groupBy("candidate").agg(F.min("row_id").alias("first_row"))
     firsts = materialise(firsts, "firsts")
 
@@ -102,9 +101,9 @@ def assign_unique(asks: DataFrame, taken: DataFrame, separator: str) -> DataFram
     )
     clash = stems.join(firsts.select("candidate"), "candidate", "left_semi")
     clash = clash.join(used, ["candidate", "number"], "left_anti")
-    clash = materialise(clash, "clash")
     if clash.isEmpty():
         return _serve(queue, used, separator)
+    clash = materialise(clash, "clash")
 
     # Who comes first, the rival's first row or the queue of the candidate?  Decisions only depend on
     # smaller numbers and shorter names, so repeating the question settles them one level at a time.
@@ -147,15 +146,20 @@ def _serve(queue: DataFrame, blocked: DataFrame, separator: str) -> DataFrame:
     return served.select("row_id", "candidate", given.alias("given"))
 
 
-def _with_unique(df: DataFrame, column: str, candidate: Column, separator: str, ending: str = "") -> DataFrame:
-    """Fill the missing values of ``column`` with unique names built on ``candidate``."""
+def _ask(df: DataFrame, column: str, candidate: Column) -> DataFrame:
+    """Add ``_ask``: the candidate where ``column`` is empty; the table is written once and read three times."""
     empty = F.col(column).isNull() | F.lower(tx.strip(F.col(column))).isin("", "nan")
-    asks = df.where(empty).select("row_id", candidate.alias("candidate")).where("candidate is not null")
-    names = df.where(~empty).select(tx.strip(F.col(column)).alias("name"))
+    return materialise(df.withColumns({"_empty": empty, "_ask": F.when(empty, candidate)}), f"ask-{column}")
+
+
+def _with_unique(asked: DataFrame, column: str, separator: str, ending: str = "") -> DataFrame:
+    """Fill the empty values of ``column`` with unique names built on ``_ask``."""
+    asks = asked.where("_ask is not null").select("row_id", F.col("_ask").alias("candidate"))
+    names = asked.where("not _empty").select(tx.strip(F.col(column)).alias("name"))
     if ending:
         names = names.where(F.col("name").endswith(ending)).select(F.expr(f"left(name, length(name) - {len(ending)})").alias("name"))
     given = assign_unique(asks, names, separator).select("row_id", F.concat("given", F.lit(ending)).alias("_given"))
-    return df.join(given, "row_id", "left").withColumn(column, F.coalesce("_given", column)).drop("_given")
+    return asked.join(given, "row_id", "left").withColumn(column, F.coalesce("_given", column)).drop("_given", "_ask", "_empty")
 
 
 # ---------------------------------------------------------------- the whole step
@@ -174,15 +178,14 @@ def infer_table(df: DataFrame, settings: Settings | None = None, names: DataFram
 
     named = df.withColumn("_name", F.coalesce(present(c("name")), infer_name(c("email"), c("username"))))
     # The full name drives the later steps; the table keeps a name it already had.
-    named = named.withColumn("_full", fields.compose_name(c("_name"), c("last"), settings.legacy_compose))
+    named = fields.with_full_name(named, "_name", "last", "_full", settings.legacy_compose)
     named = named.withColumn("name", F.coalesce(present(c("name")), c("_full"))).drop("_name")
 
-    step = _with_unique(named, "username", username_candidate(c("_full"), c("row_id"), settings.suffix_digits), "_")
-    step = materialise(step, "usernames")
+    asked = _ask(named, "username", username_candidate(c("_full"), c("row_id"), settings.suffix_digits))
+    step = _with_unique(asked, "username", "_")
     source = F.coalesce(present(c("_full")), c("username"))
-    step = _with_unique(
-        step, "email", email_candidate(source, c("row_id"), settings.suffix_digits), ".", "@" + settings.email_domain
-    )
+    asked = _ask(step, "email", email_candidate(source, c("row_id"), settings.suffix_digits))
+    step = _with_unique(asked, "email", ".", "@" + settings.email_domain)
     step = step.withColumns(
         {
             "last": F.coalesce(present(c("last")), infer_last(c("_full"))),

@@ -42,7 +42,7 @@ def filled(c: Column) -> Column:
 
 
 def allowed_value(c: Column, values: list[str]) -> Column:
-    text = filled(c)
+    text = tx.optional_text(c)
     return F.when(text.isin(values), text)
 
 
@@ -50,13 +50,13 @@ def resolve_user_type(user_type: Column, school_type: Column, last: Column, name
     return F.coalesce(
         allowed_value(user_type, fv.ALLOWED_USER_TYPES),
         F.when(allowed_value(school_type, fv.ALLOWED_SCHOOL_TYPES).isNotNull(), "school"),
-        F.when(filled(last).isNotNull() | filled(name).isNotNull(), "student"),
+        F.when((tx.optional_text(last) != "") | (tx.optional_text(name) != ""), "student"),
     )
 
 
 def missing_fields(required: dict[str, Column]) -> Column:
     """Names of the required fields that have no value, in order."""
-    return F.array_compact(F.array(*[F.when(c.isNull() | (tx.strip(c) == ""), F.lit(n)) for n, c in required.items()]))
+    return F.array_compact(F.array(*[F.when(tx.strip(F.coalesce(c, F.lit(""))) == "", F.lit(n)) for n, c in required.items()]))
 
 
 def revalidate_dob(seconds: Column, settings: Settings) -> Column:
@@ -83,16 +83,20 @@ def build_records(df: DataFrame, settings: Settings | None = None) -> DataFrame:
         {
             "_kind": resolve_user_type(_get(df, "userType"), _get(df, "schoolType"), _get(df, "last"), _get(df, "name")),
             "_school": allowed_value(_get(df, "schoolType"), fv.ALLOWED_SCHOOL_TYPES),
-            "_name": fields.compose_name(_get(df, "name"), _get(df, "last"), settings.legacy_compose, fallback_to_last=True),
+            "_given": _get(df, "name"),
+            "_family": filled(_get(df, "last")),
             "_email": filled(_get(df, "email")),
             "_username": filled(_get(df, "username")),
             "_picture": F.coalesce(filled(_get(df, "profilePicture")), F.lit(settings.default_picture)),
         }
     )
-    prepared = prepared.withColumn("_last", F.coalesce(filled(_get(df, "last")), derived_last(F.col("_name"))))
+    prepared = fields.with_full_name(prepared, "_given", "_family", "_name", settings.legacy_compose, fallback_to_last=True)
+    prepared = prepared.withColumn("_last", F.coalesce("_family", derived_last(F.col("_name"))))
     school = F.col("_kind") == "school"
     required = {"email": F.col("_email"), "name": F.col("_name"), "username": F.col("_username"), "profilePicture": F.col("_picture")}
     lacking = F.when(school, missing_fields(required)).otherwise(missing_fields({**required, "last": F.col("_last")}))
+    prepared = prepared.withColumn("_lacking", lacking)
+    lacking = F.col("_lacking")
     reason = (
         F.when(F.col("_kind").isNull(), fv.REASON_USER_TYPE)
         .when(school & F.col("_school").isNull(), fv.REASON_SCHOOL_TYPE)
@@ -126,7 +130,7 @@ def build_records(df: DataFrame, settings: Settings | None = None) -> DataFrame:
     }
     record = F.struct(*[v.cast(TARGET[k].dataType).alias(k) for k, v in values.items()])
     return prepared.withColumns({"failure_reason": reason, "record": record}).drop(
-        "_kind", "_school", "_name", "_email", "_username", "_picture", "_last"
+        "_kind", "_school", "_name", "_email", "_username", "_picture", "_last", "_given", "_family", "_lacking"
     )
 
 
