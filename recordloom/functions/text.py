@@ -23,8 +23,8 @@ _NFKC_STABLE = (
     "^[\\x00-\\x7F\u00C0-\u00FF\u0621-\u064A\u0660-\u0669\u06F0-\u06F9\u060C\u061B\u061F\u200E\u200F]*$"
 )
 _ASCII = r"^[\x00-\x7F]*$"
-# Python's notion of white space: Unicode white space plus the four ASCII separators.
-_SPACE = r"(?U)[\s\x1C-\x1F]+"
+# Unicode white space plus the four ASCII separators, written out: much faster than a (?U) class.
+SPACES = r"[\t-\r\x1C-\x20\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def lit_map(table: dict[str, str]) -> Column:
@@ -65,12 +65,12 @@ def nfkd(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Collapse runs of white space to one space and trim."""
-    return F.trim(F.regexp_replace(c, _SPACE, " "))
+    return F.trim(F.regexp_replace(c, f"{SPACES}+", " "))
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not just the space character."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    return F.regexp_replace(c, f"^{SPACES}+|{SPACES}+$", "")
 
 
 def normalize_text(c: Column) -> Column:
@@ -119,9 +119,9 @@ def display_name(text: Column) -> Column:
 def optional_text(c: Column) -> Column:
     """Trimmed text, '' when the value is null or one of the words for "no value"."""
     words = "|".join(w for w in fv.MISSING_WORDS if w)
-    edge = r"[\s\x1C-\x1F]"
+    edge = SPACES
     return F.regexp_replace(
-        F.coalesce(c, F.lit("")), rf"(?U)^{edge}*(?i:{words})?{edge}*$|^{edge}+|{edge}+$", ""
+        F.coalesce(c, F.lit("")), rf"^{edge}*(?i:{words})?{edge}*$|^{edge}+|{edge}+$", ""
     )
 
 
