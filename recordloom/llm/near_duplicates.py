@@ -38,14 +38,15 @@ CHUNK = 4_096
 class NearDup:
     """``words`` per shingle, the least similarity in per cent, signature length and agreements asked for.
 
-    With 48 coordinates and 25 agreements a pair at exactly 0.8 is missed with probability 3e-6.
+    With 96 coordinates and 61 agreements a pair at exactly 0.8 is missed with probability 8e-5, one at 0.85 never.
+    A long signature with a high share of agreements keeps prefixes short, and so chance meetings rare.
     """
 
     words: int = 5
     percent: int = 80
-    coordinates: int = 48
-    matches: int = 25
-    pivot_rounds: int = 3
+    coordinates: int = 96
+    matches: int = 61
+    pivot_rounds: int = 2
 
 
 class Shingler:
@@ -138,16 +139,26 @@ def shingle_sets(texts: DataFrame, how: NearDup) -> DataFrame:
     return texts.select("node", "h1", "text").mapInArrow(run, "node bigint, grams array<bigint>")
 
 
-def postings(nodes: DataFrame, how: NearDup) -> DataFrame:
-    """(key, node, n): each node under the rarest of its shared keys."""
-    rows = nodes.select("node", "n", F.posexplode("sig").alias("_c", "_v")).select(
-        "node", "n", F.expr("shiftleft(cast(_c as bigint), 32) | (cast(_v as bigint) & 4294967295)").alias("key"))
+def shared_keys(rows: DataFrame, how: NearDup) -> DataFrame:
+    """(node, _keys): the keys of a node that another has too, with their frequency, if they are enough for a match."""
     often = rows.groupBy("key").agg(F.count("*").alias("_often")).where("_often > 1")
     # A node has at most ``coordinates`` keys, so the list is bounded.
-    own = rows.join(often, "key").groupBy("node", "n").agg(F.collect_list(F.struct("_often", "key")).alias("_keys"))
-    own = own.where(F.size("_keys") >= how.matches)
+    own = rows.join(often, "key").groupBy("node").agg(F.collect_list(F.struct("_often", "key")).alias("_keys"))
+    return own.where(F.size("_keys") >= how.matches)
+
+
+def postings(nodes: DataFrame, how: NearDup) -> DataFrame:
+    """(key, node, n): each node under the rarest of its shared keys.
+
+    Frequencies are counted twice, first among all nodes and then among those that may still have a partner.
+    """
+    rows = nodes.select("node", F.posexplode("sig").alias("_c", "_v")).select(
+        "node", F.expr("shiftleft(cast(_c as bigint), 32) | (cast(_v as bigint) & 4294967295)").alias("key"))
+    first = materialise(shared_keys(rows, how), "shared")
+    own = shared_keys(first.select("node", F.explode("_keys.key").alias("key")), how)
     rarest = F.slice(F.sort_array("_keys"), 1, F.size("_keys") - how.matches + 1)
-    return own.select("node", "n", F.explode(rarest).alias("_k")).select("_k.key", "node", "n")
+    return own.select("node", F.explode(rarest).alias("_k")).join(nodes.select("node", "n"), "node").select(
+        "_k.key", "node", "n")
 
 
 def similar_size(left: Column, right: Column, how: NearDup) -> Column:
@@ -200,9 +211,11 @@ def pivot_pairs(posts: DataFrame, seed: int, how: NearDup) -> DataFrame:
 
 def remaining_pairs(posts: DataFrame, how: NearDup) -> DataFrame:
     """All pairs that share a key and lie in different components."""
-    kinds = posts.select("key", "comp").distinct()
-    crossed = kinds.select("key", F.col("comp").alias("_ca")).join(
-        kinds.select("key", F.col("comp").alias("_cb")), "key").where("_ca < _cb")
+    kinds = posts.groupBy("key", "comp").agg(F.min("n").alias("_from"), F.max("n").alias("_to"))
+    left = kinds.select("key", F.col("comp").alias("_ca"), F.col("_from").alias("_fa"), F.col("_to").alias("_ta"))
+    right = kinds.select("key", F.col("comp").alias("_cb"), F.col("_from").alias("_fb"), F.col("_to").alias("_tb"))
+    reach = (F.col("_tb") * 100 >= F.col("_fa") * how.percent) & (F.col("_ta") * 100 >= F.col("_fb") * how.percent)
+    crossed = left.join(right, "key").where((F.col("_ca") < F.col("_cb")) & reach).select("key", "_ca", "_cb")
     left = posts.select("key", F.col("comp").alias("_ca"), F.col("node").alias("u"), F.col("n").alias("_un"))
     right = posts.select("key", F.col("comp").alias("_cb"), F.col("node").alias("v"), F.col("n").alias("_vn"))
     return crossed.join(left, ["key", "_ca"]).join(right, ["key", "_cb"]).where(
