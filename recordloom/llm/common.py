@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.session import new_folder
+
 # Words are runs of anything but ASCII white space; bytes.split() of Python cuts at the same six characters.
 BREAKS = r"[\x20\x09-\x0D]+"
 BITMAP_WORDS = 1 << 16
+BROADCAST_ROWS = 20_000
+SALTS = 64
 
 
 def words_of(text: Column) -> Column:
@@ -55,14 +59,37 @@ def even_rank(rows: DataFrame, group: list[str], identity: Column, per_bucket: i
     agree in it are interchangeable.  The table of bucket sizes is small: total / per_bucket rows a group.
     """
     buckets = max(1, -(-total // per_bucket))
-    dealt = rows.withColumn("_id", identity).withColumn("_bucket", F.pmod(F.xxhash64(F.lit(11), "_id"), F.lit(buckets)))
+    dealt = rows.withColumn("_by", identity).withColumn("_bucket", F.pmod(F.xxhash64(F.lit(11), "_by"), F.lit(buckets)))
     sizes = dealt.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*group, "_bucket").orderBy("_id")
+    inside = Window.partitionBy(*group, "_bucket").orderBy("_by")
     return (
         dealt.withColumn("_at", F.row_number().over(inside) - 1)
         .join(starts, [*group, "_bucket"])
         .withColumn(out, (F.col("_start") + F.col("_at")).cast("bigint"))
-        .drop("_id", "_bucket", "_at", "_start")
+        .drop("_by", "_bucket", "_at", "_start")
     )
+
+
+def kept_as_table(rows: DataFrame, label: str) -> DataFrame:
+    """Write ``rows`` to the shared folder, tightly compressed as texts and ids are large, and read them back."""
+    path = new_folder(rows.sparkSession, label)
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def join_figures(rows: DataFrame, figures: DataFrame, key: str, spread: Column) -> DataFrame:
+    """Left join (null equals null) with a table of one row per ``key``.
+
+    It is broadcast only after its rows were counted; a longer one is joined with each key spread over salts by
+    ``spread``, so that a hot key is no hot task.  Both ways give the same rows.
+    """
+    figures = figures.withColumnRenamed(key, "_of")
+    if figures.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(figures), rows[key].eqNullSafe(figures["_of"]), "left").drop("_of")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(13), spread), F.lit(SALTS)))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+    repeated = figures.withColumn("_salt_of", F.explode(every))
+    return salted.join(repeated, salted[key].eqNullSafe(repeated["_of"]) & (F.col("_salt") == F.col("_salt_of")),
+                       "left").drop("_of", "_salt", "_salt_of")
