@@ -1,4 +1,8 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents, stage by stage.
+
+Every stage works on all that the one before it kept.  All but the last return the columns of ``documents``; the
+last returns the pieces of packed token windows.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +10,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm.near_duplicates import NearDup, drop_near_duplicates
-from recordloom.session import materialise
+from recordloom.llm import mixing, near_duplicates, packing, personal_data, toxicity
+from recordloom.llm.common import kept_as_table
 
+#: SQL has no chain of trained models, no signatures and no tokenizer; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain, fitted on ``labels``, rejects go."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8) stays."""
-    return drop_near_duplicates(docs, NearDup(words=5, percent=80))
+    return near_duplicates.drop_near_duplicates(docs, near_duplicates.NearDup(words=5, percent=80))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return personal_data.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out so that sources meet their target weights."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token windows of 4096, with the ids of each piece."""
+    return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("near_duplicates", near_duplicates),
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", redact),
+    ("mixing", mix),
+    ("packing", pack),
 ]
 
 
@@ -26,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet and read again as the next one's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = kept_as_table(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recordloom.llm.main_text import main_text
+from recordloom.llm.mixing import mix_digest
 from recordloom.llm.near_duplicates import NearDup, near_duplicates
+from recordloom.llm.packing import pack_digest
+from recordloom.llm.personal_data import personal_data_digest
+from recordloom.llm.quality import quality
+from recordloom.llm.sharding import balanced_shards
+from recordloom.llm.token_counts import token_counts
+from recordloom.llm.toxicity import toxicity
+from recordloom.llm.vector_search import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +35,51 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_token_counts")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"))
+
+
+@query("op2_balanced_shards")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return balanced_shards(table(spark, folder, "documents"))
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_toxicity_chain")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_main_text")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(table(spark, folder, "pages"))
+
+
+@query("op6_personal_data")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data_digest(table(spark, folder, "documents"))
+
+
+@query("op7_source_mix")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_digest(table(spark, folder, "documents"))
+
+
+@query("op8_exact_top_k")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"), every=50, k=5)
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_digest(table(spark, folder, "documents"))
+
+
 @query("op10_minhash_near_duplicates")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"), NearDup(words=2, percent=80))
