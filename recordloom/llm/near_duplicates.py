@@ -5,17 +5,18 @@ posting key.  Two sets whose Jaccard similarity is 0.8 agree in about 80 % of th
 candidate when it agrees in at least ``matches`` of them.  Keys are ordered by how many sets post under them; a set
 with s shared keys posts only under its ``s - matches + 1`` rarest (the prefix): two sets with enough agreements
 must meet there.  What is frequent is skipped by that, not cut off.  Sets with fewer than ``matches`` shared keys
-can have no partner and leave at once.  Collisions of the candidates are then counted on whole signatures, and what
-passes is confirmed on whole shingle sets.
+can have no partner and leave at once.  Collisions of the candidates are then counted on ``bits`` further coordinates
+of one bit each, and what passes is confirmed on whole shingle sets.
 
 Equal sets are one node from the start.  Inside a posting list each node first meets one pivot; lists of near
-copies collapse to one component that way in linear work.  A last exact round meets all nodes of a list that are
-still in different components, so no link between different texts is lost and no list is spelled out within a
-component.
+copies collapse to one component that way in linear work.  A last exact round meets components that still share a
+list: first as a whole, by the distance of one member each less the radii around them, then member by member.  So no
+link between different texts is lost and no list is spelled out within a component.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +32,7 @@ from recordloom.llm.components import components
 from recordloom.session import materialise
 
 CACHED_WORDS = 300_000
-CHUNK = 4_096
+CHUNK = 512
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,17 @@ class NearDup:
     percent: int = 80
     coordinates: int = 96
     matches: int = 61
-    pivot_rounds: int = 2
+    bits: int = 1_024
+    pivot_rounds: int = 3
+
+    @property
+    def most_apart(self) -> int:
+        """Bits in which a pair at the threshold differs at most: two unlike coordinates agree in every other bit.
+
+        Five standard deviations above the mean, so a pair is missed with probability 3e-7.
+        """
+        unlike = (1 - self.percent / 100) / 2
+        return math.ceil(self.bits * unlike + 5 * math.sqrt(self.bits * unlike * (1 - unlike)))
 
 
 class Shingler:
@@ -80,18 +91,26 @@ class Shingler:
 class Signer:
     """MinHash signatures; the functions come from a fixed seed."""
 
-    def __init__(self, coordinates: int):
-        draw = random.Random(20240229)
+    def __init__(self, coordinates: int, seed: int = 20240229):
+        draw = random.Random(seed)
         self.masks = np.array([draw.getrandbits(64) for _ in range(coordinates)], np.uint64)[:, None]
         self.factors = np.array([draw.getrandbits(64) | 1 for _ in range(coordinates)], np.uint64)[:, None]
 
-    def sign(self, hashes: np.ndarray) -> np.ndarray:
+    def least(self, hashes: np.ndarray) -> np.ndarray:
         least = np.full(len(self.masks), np.iinfo(np.uint64).max, np.uint64)
         for at in range(0, len(hashes), CHUNK):
             values = hashes[at: at + CHUNK][None, :] ^ self.masks
             values *= self.factors
             np.minimum(least, values.min(axis=1), out=least)
-        return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return least
+
+    def sign(self, hashes: np.ndarray) -> np.ndarray:
+        return (self.least(hashes) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+    def one_bit(self, hashes: np.ndarray) -> np.ndarray:
+        """One bit of each coordinate, packed in 64-bit integers."""
+        mixed = self.least(hashes) * np.uint64(0x9E3779B97F4A7C15)
+        return np.packbits((mixed >> np.uint64(63)).astype(np.uint8)).view(np.int64)
 
 
 def signed(docs: DataFrame, how: NearDup) -> DataFrame:
@@ -121,22 +140,24 @@ def signed(docs: DataFrame, how: NearDup) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, how: NearDup) -> DataFrame:
-    """(node, grams) of rows (node, h1, text) whose set is indeed the one that the node names."""
+    """(node, bits, grams) of rows (node, h1, text) whose set is indeed the one that the node names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(how.words)
+        shingler, signer = Shingler(how.words), Signer(how.bits, seed=20240302)
         for batch in batches:
-            nodes, grams = [], []
+            nodes, bits, grams = [], [], []
             for node, h1, text in zip(batch.column("node"), batch.column("h1"), batch.column("text").cast(pa.binary())):
                 hashes = shingler.hashes(text.as_py())
                 name = xxhash.xxh3_128_digest(hashes.tobytes())
                 if int.from_bytes(name[:8], "little", signed=True) == h1.as_py():
                     nodes.append(node.as_py())
+                    bits.append(signer.one_bit(hashes))
                     grams.append(hashes.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(grams, pa.list_(pa.int64()))],
-                                             ["node", "grams"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int64()))],
+                ["node", "bits", "grams"])
 
-    return texts.select("node", "h1", "text").mapInArrow(run, "node bigint, grams array<bigint>")
+    return texts.select("node", "h1", "text").mapInArrow(run, "node bigint, bits array<bigint>, grams array<bigint>")
 
 
 def shared_keys(rows: DataFrame, how: NearDup) -> DataFrame:
@@ -165,32 +186,23 @@ def similar_size(left: Column, right: Column, how: NearDup) -> Column:
     return F.least(left, right) * 100 >= F.greatest(left, right) * how.percent
 
 
-class Linker:
-    """Confirms candidate pairs of nodes, first on signatures, then on sets."""
+def apart(left: str, right: str, how: NearDup) -> Column:
+    """In how many bits two packed arrays differ."""
+    return sum((F.bit_count(F.get(left, i).bitwiseXOR(F.get(right, i))) for i in range(how.bits // 64)), F.lit(0))
 
-    def __init__(self, nodes: DataFrame, sets: DataFrame, how: NearDup):
-        self.nodes, self.sets, self.how = nodes, sets, how
 
-    def plausible(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (u, v) that agree in enough coordinates."""
-        left = self.nodes.select(F.col("node").alias("u"), F.col("sig").alias("_a"))
-        right = self.nodes.select(F.col("node").alias("v"), F.col("sig").alias("_b"))
-        agree = F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: x == y), lambda same: same))
-        return pairs.join(left, "u").join(right, "v").where(agree >= self.how.matches).select("u", "v")
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (u, v) whose sets are similar enough."""
-        left = self.sets.select(F.col("node").alias("u"), F.col("grams").alias("_a"))
-        right = self.sets.select(F.col("node").alias("v"), F.col("grams").alias("_b"))
-        shared = F.size(F.array_intersect("_a", "_b"))
-        united = F.size("_a") + F.size("_b") - F.col("_shared")
-        return (
-            pairs.join(left, "u").join(right, "v").withColumn("_shared", shared)
-            .where(F.col("_shared").cast("bigint") * 100 >= united.cast("bigint") * self.how.percent).select("u", "v")
-        )
+def confirmed(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
+    """Pairs (u, v) whose sets are similar enough."""
+    left = sets.select(F.col("node").alias("u"), F.col("grams").alias("_a"))
+    right = sets.select(F.col("node").alias("v"), F.col("grams").alias("_b"))
+    united = F.size("_a") + F.size("_b") - F.col("_shared")
+    return (
+        pairs.join(left, "u").join(right, "v").withColumn("_shared", F.size(F.array_intersect("_a", "_b")))
+        .where(F.col("_shared").cast("bigint") * 100 >= united.cast("bigint") * how.percent).select("u", "v")
+    )
 
 
-def with_component(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
+def open_postings(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Postings under keys that still hold more than one component, with the component."""
     if labels is None:
         return posts.withColumn("comp", F.col("node"))
@@ -199,27 +211,47 @@ def with_component(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
     return named.join(split.select("key"), "key", "left_semi")
 
 
-def pivot_pairs(posts: DataFrame, seed: int, how: NearDup) -> DataFrame:
-    """Each node with the pivots of its lists; a list's pivot is its node of least seeded hash."""
-    turn = F.xxhash64(F.lit(seed), "node")
+def pivot_pairs(posts: DataFrame, sets: DataFrame, seed: int, how: NearDup) -> DataFrame:
+    """Each node with the most alike of the pivots of its lists.
+
+    A list's pivot is its node of least hash, seeded by the list, so a node meets many pivots in one round.
+    """
+    turn = F.xxhash64(F.lit(seed), "key", "node")
     pivots = posts.withColumn("_turn", turn).groupBy("key").agg(
         F.min_by("node", "_turn").alias("v"), F.min_by("n", "_turn").alias("_vn"), F.min_by("comp", "_turn").alias("_vc"))
-    return posts.join(pivots, "key").where(
+    met = posts.join(pivots, "key").where(
         (F.col("comp") != F.col("_vc")) & similar_size(F.col("n"), F.col("_vn"), how)
     ).select(F.col("node").alias("u"), "v").distinct()
-
-
-def remaining_pairs(posts: DataFrame, how: NearDup) -> DataFrame:
-    """All pairs that share a key and lie in different components."""
-    kinds = posts.groupBy("key", "comp").agg(F.min("n").alias("_from"), F.max("n").alias("_to"))
-    left = kinds.select("key", F.col("comp").alias("_ca"), F.col("_from").alias("_fa"), F.col("_to").alias("_ta"))
-    right = kinds.select("key", F.col("comp").alias("_cb"), F.col("_from").alias("_fb"), F.col("_to").alias("_tb"))
-    reach = (F.col("_tb") * 100 >= F.col("_fa") * how.percent) & (F.col("_ta") * 100 >= F.col("_fb") * how.percent)
-    crossed = left.join(right, "key").where((F.col("_ca") < F.col("_cb")) & reach).select("key", "_ca", "_cb")
-    left = posts.select("key", F.col("comp").alias("_ca"), F.col("node").alias("u"), F.col("n").alias("_un"))
-    right = posts.select("key", F.col("comp").alias("_cb"), F.col("node").alias("v"), F.col("n").alias("_vn"))
-    return crossed.join(left, ["key", "_ca"]).join(right, ["key", "_cb"]).where(
-        similar_size(F.col("_un"), F.col("_vn"), how)).select("u", "v").distinct()
+    left = sets.select(F.col("node").alias("u"), F.col("bits").alias("_a"))
+    right = sets.select(F.col("node").alias("v"), F.col("bits").alias("_b"))
+    alike = met.join(left, "u").join(right, "v").withColumn("_apart", apart("_a", "_b", how)).where(
+        F.col("_apart") <= how.most_apart)
+    return alike.groupBy("u").agg(F.min_by("v", F.struct("_apart", "v")).alias("v"))
+
+
+def remaining_pairs(posts: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
+    """All plausible pairs that share a key and lie in different components, each once."""
+    members = materialise(posts.select("node", "comp", "n").distinct().join(sets.select("node", "bits"), "node"), "members")
+    centres = members.groupBy("comp").agg(F.min_by("bits", "node").alias("_centre"))
+    radii = members.join(centres, "comp").groupBy("comp").agg(
+        F.max(apart("bits", "_centre", how)).alias("_radius"), F.first("_centre").alias("_centre"))
+    kinds = posts.groupBy("key", "comp").agg(F.min("n").alias("_from"), F.max("n").alias("_to")).join(radii, "comp")
+    names = ("comp", "_from", "_to", "_centre", "_radius")
+    left = kinds.select("key", *[F.col(c).alias(f"{c}_a") for c in names])
+    right = kinds.select("key", *[F.col(c).alias(f"{c}_b") for c in names])
+    reach = (F.col("_to_b") * 100 >= F.col("_from_a") * how.percent) & (F.col("_to_a") * 100 >= F.col("_from_b") * how.percent)
+    near = apart("_centre_a", "_centre_b", how) - F.col("_radius_a") - F.col("_radius_b") <= how.most_apart
+    crossed = materialise(left.join(right, "key").where((F.col("comp_a") < F.col("comp_b")) & reach & near).select(
+        "key", "comp_a", "comp_b"), "crossed")
+
+    def side(own: str) -> DataFrame:
+        nodes = crossed.join(posts.select("key", F.col("comp").alias(own), "node"), ["key", own])
+        return nodes.select("comp_a", "comp_b", "node").distinct().join(members.select("node", "n", "bits"), "node")
+
+    u = side("comp_a").select("comp_a", "comp_b", F.col("node").alias("u"), F.col("n").alias("_un"), F.col("bits").alias("_ub"))
+    v = side("comp_b").select("comp_a", "comp_b", F.col("node").alias("v"), F.col("n").alias("_vn"), F.col("bits").alias("_vb"))
+    return u.join(v, ["comp_a", "comp_b"]).where(
+        similar_size(F.col("_un"), F.col("_vn"), how) & (apart("_ub", "_vb", how) <= how.most_apart)).select("u", "v")
 
 
 def link_nodes(docs: DataFrame, nodes: DataFrame, how: NearDup) -> DataFrame | None:
@@ -233,20 +265,17 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, how: NearDup) -> DataFrame | N
     near, _ = split_by_keys(docs.select("_key", "text"), alive.select(F.col("_rep").alias("_key")), "_key")
     texts = near.join(alive.withColumnRenamed("_rep", "_key"), "_key")
     sets = materialise(shingle_sets(texts, how).dropDuplicates(["node"]), "sets")
-    linker = Linker(nodes, sets, how)
 
     edges, labels = None, None
     for round_no in range(how.pivot_rounds):
-        open_posts = materialise(with_component(posts, labels), "open")
-        plausible = linker.plausible(pivot_pairs(open_posts, round_no, how))
-        one = plausible.groupBy("u").agg(F.min_by("v", F.xxhash64(F.lit(round_no), "v")).alias("v"))
-        found = materialise(linker.links(one), "links")
+        pairs = pivot_pairs(open_postings(posts, labels), sets, round_no, how)
+        found = materialise(confirmed(pairs, sets, how), "links")
         if found.isEmpty():
             break
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
-    rest = linker.plausible(remaining_pairs(materialise(with_component(posts, labels), "open"), how))
-    found = materialise(linker.links(rest), "links")
+    pairs = remaining_pairs(materialise(open_postings(posts, labels), "open"), sets, how)
+    found = materialise(confirmed(pairs, sets, how), "links")
     if found.isEmpty():
         return labels
     return components(found if edges is None else edges.union(found))
