@@ -9,6 +9,7 @@ the next, so that padding is left in one window of each merge group.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -38,18 +39,51 @@ def tokenizer(name: str) -> Tokenizer:
     return Tokenizer.from_file(public_tokenizers.path(name))
 
 
+def printable_bytes() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it is printable, else the
+    next free one from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = {byte: 256 + at for at, byte in enumerate(b for b in range(256) if b not in shown)}
+    return [chr(hidden.get(byte, byte)) for byte in range(256)]
+
+
 class WordIds(dict):
     """White-space delimited word -> its ids as little-endian unsigned 32-bit integers.
 
-    The vocabulary's pre-tokens hold no white space, so a text's ids are those of its words in order.
+    The vocabulary's pre-tokens hold no white space, so a text's ids are those of its words in order.  A word of
+    ASCII signs and Latin letters is its own normal form once it is lower case; its pre-tokens go straight to the
+    library's merges.  Any other word, and one that may hold a special string, takes the library's whole way.
     """
 
+    letters = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
+    simple = re.compile(f"([{letters}]+)([!-&(-/:-@\\[-`{{-~]*)").fullmatch
+    plain = re.compile(f"[!-~{letters}]+").fullmatch
+    parts = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^{letters}0-9]+").findall
+    shown = printable_bytes()
+
     def __init__(self, name: str):
         super().__init__()
-        self.encode = tokenizer(name).encode
+        self.encode, self.merge = tokenizer(name).encode, tokenizer(name).model.tokenize
+        self.packed = [i.to_bytes(ID_BYTES, "little") for i in range(tokenizer(name).get_vocab_size())]
+
+    def merged(self, part: str) -> bytes:
+        """The ids of one pre-token in lower case."""
+        if not part.isascii():
+            part = "".join([self.shown[b] for b in part.encode()])
+        packed = self.packed
+        return b"".join([packed[token.id] for token in self.merge(part)])
+
+    def ids(self, word: str) -> bytes:
+        simple = self.simple(word)
+        if simple:  # letters, perhaps with signs after them: two pre-tokens at most
+            core, signs = simple.groups()
+            return self[core] + self[signs] if signs else self.merged(core.lower())
+        if self.plain(word) and "<|" not in word:
+            return b"".join(map(self.merged, self.parts(word.lower())))
+        return np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
+        ids = self.ids(word) if word else b""
         if len(word) <= LONGEST_CACHED:
             if len(self) > CACHED:
                 self.clear()
