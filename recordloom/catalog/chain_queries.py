@@ -79,15 +79,18 @@ def dup_metadata(spark, folder):
         F.col("_duplicate_reason").alias("duplicate_reason"))
 
 
-@query("block_key", q.with_ctes(*q.NAMED, select="select row_id, case when wilaya is not null then left(lower(wilaya), 8) when commune is not null then '{''wilaya' else '' end as block from composed"))
+@query("block_key", q.with_ctes(*q.NAMED, select="select row_id, case when wilaya is not null then lower(wilaya) when commune is not null then '{''wilaya' else '' end as block, case when wilaya is not null then lower(wilaya) else coalesce(lower(commune), '') end as text_block from composed"))
 def block_key(spark, folder):
     df = composed_table(spark, folder)
-    return df.select("row_id", dedup.block_key(F.col("wilaya"), F.col("location").isNotNull()).alias("block"))
+    # Beside the struct that cleaning makes, a location of plain text, blank in its several spellings.
+    text = F.coalesce("commune", F.element_at(F.array(F.lit(""), F.lit("nan"), F.lit(" None "), F.lit(None)), (F.col("row_id") % 4 + 1).cast("int")))
+    return df.select("row_id", dedup.block_key(F.col("wilaya"), F.col("location").isNotNull()).alias("block"),
+                     dedup.block_key(F.col("wilaya"), F.lit(False), text).alias("text_block"))
 
 
 FUZZY = [
     *EXACT,
-    "blocked as materialized (select *, case when wilaya is not null then left(lower(wilaya), 8) else '' end as block from survivors)",
+    "blocked as materialized (select *, case when wilaya is not null then lower(wilaya) else '' end as block from survivors)",
     """near as materialized (select l.row_id as left_id, r.row_id as right_id, l.name as l_name, r.name as r_name, l.phoneNumber as l_phone, r.phoneNumber as r_phone, l.email as l_email, r.email as r_email
     from blocked l join blocked r on l.DOB = r.DOB and l.row_id < r.row_id and (l.block = r.block or l.block = '' or r.block = '')
     where coalesce(l.name, '') <> '' and coalesce(r.name, '') <> '' and coalesce(l.phoneNumber, '') <> '' and coalesce(r.phoneNumber, '') <> ''),
@@ -190,7 +193,7 @@ def infer_last(spark, folder):
 
 
 @query("infer_gender", q.with_ctes(*q.NAMED, f"names as ({NAMES})", select="""
-select row_id, coalesce(c.gender, case n.gender when 'mostly_female' then 'female' else n.gender end, 'male') as gender
+select row_id, coalesce(c.gender, case n.gender when 'mostly_female' then 'female' when 'male' then 'male' end, 'male') as gender
 from composed c left join names n on lower(split_part(c.name, ' ', 1)) = n.first_name"""))
 def infer_gender(spark, folder):
     names = names_table(spark, folder)
@@ -364,14 +367,14 @@ def person_record(spark, folder):
 
 @query("normalize_location", q.with_ctes(*q.NAMED, select="""
 select row_id, case when wilaya is not null or commune is not null then coalesce(wilaya, '') end as wilaya, case when wilaya is not null or commune is not null then coalesce(commune, '') end as commune,
-  cast(row_id as double) / 10 as lat from composed where row_id % 2 = 0 and (wilaya is not null or commune is not null)"""))
+  case when wilaya is not null or commune is not null then cast(row_id as double) / 10 end as lat from composed"""))
 def normalize_location(spark, folder):
-    df = composed_table(spark, folder).where("row_id % 2 = 0")
+    df = composed_table(spark, folder)
     place = F.struct(
         F.concat(F.lit(" "), "wilaya").alias("wilaya"), F.coalesce("commune", F.lit("NaN")).alias("commune"),
         F.struct(F.lit("x").alias("lang"), (F.col("row_id") / 10).cast("string").alias("lat")).alias("coordinates"), F.lit("none").alias("fullLocation"))
     tidy = df.select("row_id", structs.tidy_location(place).alias("p"))
-    return tidy.where("p is not null").select("row_id", "p.wilaya", "p.commune", F.col("p.coordinates.lat").alias("lat"))
+    return tidy.select("row_id", "p.wilaya", "p.commune", F.col("p.coordinates.lat").alias("lat"))
 
 
 @query("normalize_preferences", q.with_ctes(q.dirty_cte(), select="""
@@ -383,13 +386,13 @@ def normalize_preferences(spark, folder):
         F.array_join(structs.tidy_list(F.split("matieres", ";")), "|").alias("from_list"))
 
 
-@query("revalidate_dob", q.with_ctes(*q.NAMED, select="select row_id, DOB - 400000000 as dob, case when DOB - 400000000 > 10000000 then DOB - 400000000 end as legacy from composed where DOB is not null"))
+@query("revalidate_dob", q.with_ctes(*q.NAMED, select="select row_id, DOB - 400000000 as dob, case when DOB - 400000000 > 10000000 then DOB - 400000000 end as legacy from composed"))
 def revalidate_dob(spark, folder):
     from dataclasses import replace
 
     old = replace(SETTINGS, legacy_dob_range=True)
     seconds = F.col("DOB") - 400_000_000
-    return composed_table(spark, folder).where("DOB is not null").select(
+    return composed_table(spark, folder).select(
         "row_id", validation.revalidate_dob(seconds, SETTINGS).alias("dob"), validation.revalidate_dob(seconds, old).alias("legacy"))
 
 
@@ -408,7 +411,7 @@ def build_split(spark, folder):
 # ---------------------------------------------------------------- outputs
 
 LEFT_LINES = "select l_orderkey, l_partkey, l_quantity, case when l_quantity > 40 then 'too many' end as failure_reason from lineitem where l_quantity > 25"
-RIGHT_LINES = "select l_orderkey, l_suppkey, l_extendedprice from lineitem where l_quantity < 5"
+RIGHT_LINES = "select l_orderkey, l_suppkey, l_extendedprice from lineitem where l_quantity <= 25 or l_quantity is null"
 
 
 @query("quarantine_union", f"""select l_orderkey, l_partkey, l_quantity, coalesce(failure_reason, 'schema_rejected') as failure_reason, cast(null as bigint) as l_suppkey, cast(null as double) as l_extendedprice from ({LEFT_LINES}) a

@@ -91,10 +91,10 @@ def clean_dob(spark, folder):
     return dirty(spark, folder).select("row_id", dates.clean_dob(F.col("date_naissance"), SETTINGS.as_of).alias("dob"))
 
 
-# First names with a gender, as a user would supply them; half of the known first names.
+# First names with a gender, as a user would supply them; those of six letters are of unknown gender.
 NAMES = """
-select first_name, case when length(first_name) % 2 = 0 then 'mostly_female' else 'male' end as gender
-from (select distinct lower(trim(prenom)) as first_name from dirty where trim(prenom) <> '') x where length(first_name) <> 6
+select first_name, case when length(first_name) = 6 then 'unknown' when length(first_name) % 2 = 0 then 'mostly_female' else 'male' end as gender
+from (select distinct lower(trim(prenom)) as first_name from dirty where trim(prenom) <> '') x
 """
 GENDER_IN = """
 select row_id, case when row_id % 3 = 0 then sexe else prenom end as label from dirty
@@ -107,7 +107,7 @@ def names_table(spark, folder):
 
 
 @query("clean_gender", q.with_ctes(q.dirty_cte(), f"names as ({NAMES})", f"labels as ({GENDER_IN})", f"texts as (select row_id, lower({q.norm('label')}) as label from labels)", select=f"""
-select row_id, coalesce({q.label_case('label', fv.GENDER_LABELS)}, case gender when 'mostly_female' then 'female' else gender end) as gender
+select row_id, coalesce({q.label_case('label', fv.GENDER_LABELS)}, case gender when 'mostly_female' then 'female' when 'male' then 'male' end) as gender
 from texts left join names on label = first_name"""))
 def clean_gender(spark, folder):
     names = names_table(spark, folder)

@@ -91,34 +91,44 @@ CAPPED = f"""placed as (select *, sum(repeat) over (partition by sheet_id order
 
 @query("grid_expand_repeats", q.with_ctes(GRID, WIDE, select="select sheet_id, row_no, unnest(range(1, repeat + 1)) as copy_no, array_to_string(cells, '|') as cells from wide"))
 def grid_expand_repeats(spark, folder):
-    return gr.expand_repeats(grid(spark, folder)).withColumn("cells", F.array_join("cells", "|"))
+    return gr.expand_repeats(grid(spark, folder), fv.MAX_REPEAT).withColumn("cells", F.array_join("cells", "|"))
 
 
 @query("grid_trim_trailing", q.with_ctes(GRID, WIDE, TIGHT, select="select sheet_id, row_no, cast(len(cells) as bigint) as used, array_to_string(cells, '|') as cells from tight"))
 def grid_trim_trailing(spark, folder):
-    rows = gr.normal_rows(grid(spark, folder))
+    rows = gr.normal_rows(grid(spark, folder), fv.MAX_REPEAT)
     return rows.select("sheet_id", "row_no", F.size("cells").cast("bigint").alias("used"), F.array_join("cells", "|").alias("cells"))
 
 
 @query("grid_drop_blank_rows", q.with_ctes(GRID, WIDE, TIGHT, KEPT, select="select sheet_id, row_no, cast(repeat as bigint) as repeat, array_to_string(cells, '|') as cells from kept"))
 def grid_drop_blank_rows(spark, folder):
-    kept = gr.drop_blank_rows(gr.normal_rows(grid(spark, folder)))
+    kept = gr.drop_blank_rows(gr.normal_rows(grid(spark, folder), fv.MAX_REPEAT), fv.MAX_BLANK_RUN)
     return kept.select("sheet_id", "row_no", F.col("repeat").cast("bigint").alias("repeat"), F.array_join("cells", "|").alias("cells"))
 
 
 @query("grid_row_cap", q.with_ctes(GRID, WIDE, TIGHT, KEPT, CAPPED, select="select sheet_id, row_no, copy_no, array_to_string(cells, '|') as cells from capped"))
 def grid_row_cap(spark, folder):
-    capped = gr.cap_rows(gr.drop_blank_rows(gr.normal_rows(grid(spark, folder))), CAP)
+    capped = gr.cap_rows(gr.drop_blank_rows(gr.normal_rows(grid(spark, folder), fv.MAX_REPEAT), fv.MAX_BLANK_RUN), CAP)
     return capped.withColumn("cells", F.array_join("cells", "|"))
 
 
-@query("grid_promote_header", q.with_ctes(GRID, WIDE, TIGHT, KEPT, CAPPED, """
-  sheets as (select sheet_id, max(len(cells)) as width, min_by(cells, row_no * 10000 + copy_no) as head, min(row_no * 10000 + copy_no) as first from capped group by sheet_id),
-  body as (select c.sheet_id, row_no, copy_no, unnest(range(0, width)) as position, cells, head from capped c join sheets s on c.sheet_id = s.sheet_id where row_no * 10000 + copy_no <> first)""",
+@query("grid_cut_report", q.with_ctes(GRID, WIDE, TIGHT, KEPT, select=f"""
+select sheet_id, cast(sum(case when len(cells) > 0 then repeat else 0 end) as bigint) as rows,
+  (select cast(least({CAP}, coalesce(sum(repeat), 0)) as bigint) from kept k where k.sheet_id = tight.sheet_id) as kept
+from tight group by sheet_id having sum(case when len(cells) > 0 then 1 else 0 end) > 0"""))
+def grid_cut_report(spark, folder):
+    return gr.cut_report(grid(spark, folder), fv.MAX_REPEAT, fv.MAX_BLANK_RUN, CAP)
+
+
+WHOLE = """whole as (select sheet_id, row_no, unnest(range(1, repeat + 1)) as copy_no, cells from tight where len(cells) > 0)"""
+
+
+@query("grid_promote_header", q.with_ctes(GRID, WIDE, TIGHT, WHOLE, """
+  sheets as (select sheet_id, max(len(cells)) as width, min_by(cells, row_no * 10000 + copy_no) as head, min(row_no * 10000 + copy_no) as first from whole group by sheet_id),
+  body as (select c.sheet_id, row_no, copy_no, unnest(range(0, width)) as position, cells, head from whole c join sheets s on c.sheet_id = s.sheet_id where row_no * 10000 + copy_no <> first)""",
     select="select sheet_id, row_no, copy_no, position, trim(coalesce(head[position + 1], '')) as header, trim(coalesce(cells[position + 1], '')) as value from body"))
 def grid_promote_header(spark, folder):
-    capped = gr.cap_rows(gr.drop_blank_rows(gr.normal_rows(grid(spark, folder))), CAP)
-    return gr.promote_header(capped).withColumn("position", F.col("position").cast("bigint"))
+    return gr.read_grid(grid(spark, folder)).withColumn("position", F.col("position").cast("bigint"))
 
 
 # A lookup document per supplier, in the four accepted shapes.

@@ -25,7 +25,7 @@ class Settings:
     region: str = "DZ"
     phone_rules: list = field(default_factory=lambda: list(fv.PHONE_RULES))
     field_aliases: dict = field(default_factory=lambda: dict(fv.FIELD_ALIASES))
-    provinces: dict = field(default_factory=lambda: flat_lookup(fv.province_aliases()))
+    provinces: dict = field(default_factory=lambda: flat_lookup(fv.PROVINCES))
     subjects: dict = field(default_factory=lambda: flat_lookup(fv.SUBJECTS))
     mapping_threshold: float = fv.MATCH_THRESHOLD
     lookup_threshold: float = fv.MATCH_THRESHOLD

@@ -5,31 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than 1/HOT_SHARE of all rows, so there are fewer than HOT_SHARE of them.
-HOT_SHARE = 1_000
-SALTS = 64
+# A key is hot when it has more than HOT_ROWS rows and more than 1/HOT_SHARE of all, so there are fewer than
+# HOT_SHARE hot keys; each is spread over as many salts as keep HOT_ROWS rows in one.
+HOT_SHARE = 20_000
+HOT_ROWS = 50_000
 
 
 def salted_join(rows: DataFrame, per_key: DataFrame, key: str, spread: Column, count: str = "_n") -> DataFrame:
     """Left join ``rows`` with ``per_key`` (one row per key, ``count`` = rows of that key).
 
-    Rows of hot keys are spread over ``SALTS`` buckets by ``spread`` (a row identity) and the one
-    matching row is repeated for each bucket.  The hot-key table has fewer than ``HOT_SHARE`` rows by
-    construction, which is why it may be broadcast.
+    Rows of hot keys are spread over salts by ``spread`` (a row identity) and the one matching row is
+    repeated for each salt.  The hot-key table has fewer than ``HOT_SHARE`` rows by construction, which
+    is why it may be broadcast.
     """
     total = per_key.agg(F.sum(count)).scalar()
-    hot = per_key.where(F.col(count) > total / HOT_SHARE).select(key, F.lit(True).alias("_hot"))
+    hot = per_key.where((F.col(count) > HOT_ROWS) & (F.col(count) > total / HOT_SHARE)).select(
+        key, F.ceil(F.col(count) / HOT_ROWS).cast("bigint").alias("_salts"))
+    one = F.lit(1).cast("bigint")
     salted_rows = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0))
-    ).drop("_hot")
+        "_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", one))).drop("_salts")
     salted_keys = per_key.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-                  .otherwise(F.array(F.lit(0).cast("bigint")))),
-    ).drop("_hot")
-    return salted_rows.withColumn("_salt", F.col("_salt").cast("bigint")).join(
-        salted_keys, [key, "_salt"], "left"
-    ).drop("_salt")
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", one) - 1))).drop("_salts")
+    return salted_rows.join(salted_keys, [key, "_salt"], "left").drop("_salt")
 
 
 def tiled_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, tile_rows: int) -> DataFrame:

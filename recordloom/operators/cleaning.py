@@ -65,9 +65,9 @@ def gender_from_names(df: DataFrame, names: DataFrame, raw: str, out: str) -> Da
         F.when(F.col("gender").isin("male", "mostly_male"), "male")
         .when(F.col("gender").isin("female", "mostly_female"), "female").alias("_guess"),
     ).groupBy("_first").agg(F.min("_guess").alias("_guess"))
-    # Rows that need no guess get spread-out keys that match nothing, so that they do not pile up.
+    # Rows that need no guess or have no name get spread-out keys that match nothing, so that they do not pile up.
     spread = F.concat(F.lit("\u0001"), F.pmod(F.xxhash64(raw, F.monotonically_increasing_id()), F.lit(1_000)))
-    key = F.when(F.col(out).isNull(), F.lower(F.col(raw))).otherwise(spread)
+    key = F.when(F.col(out).isNull() & F.col(raw).isNotNull(), F.lower(F.col(raw))).otherwise(spread)
     joined = df.withColumn("_first", key).join(guess, "_first", "left")
     return joined.withColumn(out, F.coalesce(out, "_guess")).drop("_first", "_guess")
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordloom.config import Settings
 from recordloom.functions import text as tx
@@ -48,10 +49,11 @@ def composite_score(scores: dict[str, Column], weights: dict[str, float]) -> Col
     )
 
 
-def block_key(wilaya: Column, has_location: Column) -> Column:
-    """First eight characters of the province; a sentinel for "location but no province"; else ''."""
-    known = F.substring(F.lower(tx.optional_text(wilaya)), 1, 8)
-    return F.when(known != "", known).when(has_location, NO_PROVINCE).otherwise("")
+def block_key(wilaya: Column, structured: Column, text: Column | None = None) -> Column:
+    """The province; a sentinel for "structured location but no province"; else the text of a plain one, or ''."""
+    known = F.lower(tx.optional_text(wilaya))
+    plain = F.lit("") if text is None else F.lower(tx.optional_text(text))
+    return F.when(known != "", known).when(structured, NO_PROVINCE).otherwise(plain)
 
 
 def _match_fields(df: DataFrame) -> DataFrame:
@@ -164,7 +166,8 @@ def match_rows(df: DataFrame, bounds: Bounds, missing_dob_matches: bool = False)
     A row that lacks a mandatory field cannot reach the threshold with any other row.
     """
     rows = _match_fields(df)
-    has_location = F.col("location").isNotNull() if "location" in df.columns else F.lit(False)
+    plain = "location" in df.columns and isinstance(df.schema["location"].dataType, T.StringType)
+    structured = F.col("location").isNotNull() if "location" in df.columns and not plain else F.lit(False)
     wilaya = F.col("wilaya") if "wilaya" in df.columns else F.lit(None).cast("string")
     for name in ("name", "phoneNumber", "email"):
         if bounds.needs(name):
@@ -178,7 +181,7 @@ def match_rows(df: DataFrame, bounds: Bounds, missing_dob_matches: bool = False)
             F.lower(F.trim("phoneNumber")).alias("phoneNumber"),
             F.col("DOB").cast("string").alias("DOB"),
             F.lower(F.trim("email")).alias("email"),
-            block_key(wilaya, has_location).alias("block"),
+            block_key(wilaya, structured, F.col("location") if plain else None).alias("block"),
         ).alias("fields"),
     )
 

@@ -36,7 +36,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     chosen = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get("recordloom.shared.dir", None)
     if not chosen:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
         chosen = tempfile.mkdtemp(prefix="recordloom-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("recordloom.shared.dir", chosen)

@@ -39,11 +39,12 @@ def header_fields(line: Column, separator: str = ",") -> Column:
 
 
 def inspect_files(spark: SparkSession, paths: str | list[str], separator: str = ",") -> DataFrame:
-    """One row per file: path, encoding, score, headers, splittable.
+    """One row per file: path, encoding, score, headers, splittable, header_open.
 
     One parallel pass over the lines.  A line is kept as its raw bytes; a file qualifies for an
     encoding only if all of its lines do.  ``splittable`` says that no quoted cell spans lines, so
-    that the file can be read in pieces.
+    that the file can be read in pieces.  Blank lines are no header; ``header_open`` says that the first
+    line that isn't blank ends inside a quoted header.
     """
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("path"),
@@ -53,12 +54,14 @@ def inspect_files(spark: SparkSession, paths: str | list[str], separator: str =
         F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("latin"),
     )
     unused = "[" + "".join(f"\\x{b:02X}" for b in fv.CP1252_UNUSED) + "]"
+    filled = F.regexp_replace("latin", "[\r\n\uFEFF]|^ï»¿", "") != ""
     quotes = F.length("latin") - F.length(F.replace(F.col("latin"), F.lit('"'), F.lit("")))
     files = lines.groupBy("path").agg(
         F.bool_and("utf8").alias("utf8"),
         F.bool_and(~F.col("latin").rlike(unused)).alias("cp1252"),
         F.bool_and(quotes % 2 == 0).alias("splittable"),
-        F.min_by(F.struct("value", "latin"), "at").alias("first"),
+        # Without any text the file has no header.
+        F.min_by(F.struct("value", "latin", (quotes % 2 == 1).alias("open")), F.when(filled, F.col("at"))).alias("first"),
     )
     # A byte order mark is not part of the first header.
     utf8 = F.regexp_replace("first.value", "^\ufeff", "")
@@ -68,14 +71,15 @@ def inspect_files(spark: SparkSession, paths: str | list[str], separator: str =
                  F.when(F.col("cp1252"), from_cp1252(F.col("first.latin"))).alias("line")),
         F.struct(F.lit(2).alias("ord"), F.lit("latin-1").alias("encoding"), F.col("first.latin").alias("line")),
     )
-    tried = files.select("path", "splittable", F.explode(candidates).alias("c")).where("c.line is not null").select(
-        "path", "splittable", "c.ord", "c.encoding", header_fields(F.col("c.line"), separator).alias("headers")
+    tried = files.select("path", "splittable", "first.open", F.explode(candidates).alias("c")).where("c.line is not null").select(
+        "path", "splittable", F.col("open").alias("header_open"), "c.ord", "c.encoding",
+        header_fields(F.col("c.line"), separator).alias("headers")
     )
     return pick_encoding(tried.withColumn("score", header_quality(F.col("headers"))))
 
 
 def pick_encoding(tried: DataFrame) -> DataFrame:
-    """(path, splittable, ord, encoding, headers, score) -> the best candidate of each path.
+    """(path, splittable, header_open, ord, encoding, headers, score) -> the best candidate of each path.
 
     A later candidate replaces an earlier one only with a strictly higher score, and nothing after a
     score of 1000 is looked at; so the first at 1000 or more wins, else the first of the best.
@@ -83,7 +87,7 @@ def pick_encoding(tried: DataFrame) -> DataFrame:
     enough = F.col("score") >= 1000
     best = F.struct(enough.alias("enough"), F.when(enough, 0).otherwise(F.col("score")).alias("s"), (-F.col("ord")).alias("o"))
     return tried.groupBy("path").agg(
-        F.max_by(F.struct("encoding", "score", "headers", "splittable"), best).alias("b")
+        F.max_by(F.struct(*[c for c in tried.columns if c not in ("path", "ord")]), best).alias("b")
     ).select("path", "b.*")
 
 
@@ -113,33 +117,57 @@ def stringify_cells(df: DataFrame) -> DataFrame:
 def read_csv_text(spark: SparkSession, paths: str | list[str], separator: str = ",", with_origin: bool = False) -> DataFrame:
     """Read delimited files as text.  Files of one layout and encoding are read together.
 
-    Only files in which a quoted cell spans lines are read whole by one task each; all others are split.
+    The header is the first record that isn't blank, line breaks inside quotes included.  A record with more
+    fields than the header is an error when it is read; nothing is dropped.  A file is read whole by one task
+    when any of its lines has an odd number of quotes, as a quoted cell may then span lines; all others are split.
     With ``with_origin`` the columns _file, _block and _line tell where a row came from.
     """
     found = inspect_files(spark, paths, separator)
-    groups = found.groupBy("encoding", "headers", "splittable").agg(F.collect_list("path").alias("paths"))
+    # A header that spans lines is read from its file, so such files are groups of their own.
+    alone = F.when(F.col("header_open"), F.col("path"))
+    groups = found.groupBy("encoding", "headers", "splittable", alone.alias("alone")).agg(F.collect_list("path").alias("paths"))
     frames = []
-    for group in groups.orderBy("encoding", "headers", "splittable").collect():  # one row per file layout
+    for group in groups.orderBy("encoding", "headers", "splittable", "alone").collect():  # one row per file layout
         frames.append(_read_group(spark, group, separator, with_origin))
     if not frames:
         return spark.createDataFrame([], T.StructType([]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def _reader(spark: SparkSession, group, separator: str):
+    return (
+        spark.read.option("sep", separator).option("quote", '"').option("escape", '"')
+        .option("multiLine", not group["splittable"]).option("mode", "PERMISSIVE")
+        .option("encoding", "UTF-8" if group["encoding"] == "utf-8" else "ISO-8859-1")
+    )
+
+
+def _headers(spark: SparkSession, group, separator: str) -> list[str]:
+    if group["alone"] is None:
+        return group["headers"]
+    first = _reader(spark, group, separator).csv(group["alone"]).first()  # one record
+    texts = ["" if h is None else h.removeprefix("\ufeff") for h in first]
+    if group["encoding"] == "cp1252":
+        texts = [h.encode("latin-1").decode("cp1252") for h in texts]
+    return [h.strip() for h in texts]
+
+
 def _read_group(spark: SparkSession, group, separator: str, with_origin: bool) -> DataFrame:
-    names = unique_names(group["headers"])
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+    names = unique_names(_headers(spark, group, separator))
+    bad = "_c_bad"
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(bad, T.StringType())])
     raw = (
-        spark.read.schema(schema)
-        .option("header", True).option("enforceSchema", True).option("sep", separator)
-        .option("quote", '"').option("escape", '"').option("multiLine", not group["splittable"])
-        .option("encoding", "UTF-8" if group["encoding"] == "utf-8" else "ISO-8859-1")
-        .option("mode", "PERMISSIVE")
-        .csv(list(group["paths"]))
+        _reader(spark, group, separator).schema(schema).option("header", True).option("enforceSchema", True)
+        .option("columnNameOfCorruptRecord", bad).csv(list(group["paths"]))
     )
+    # The reader hands over records with a wrong number of fields; fewer are filled up, more are an error.
+    fields = F.size(header_fields(F.regexp_replace(F.col(bad), r"[\r\n]+$", ""), separator))
+    extra = F.col(bad).isNotNull() & (fields > len(names))
+    problem = F.concat(F.lit(f"record with more fields than the {len(names)} headers: "), F.substr(F.col(bad), F.lit(1), F.lit(200)))
     columns = [F.col(f"_c{i}") for i in range(len(names))]
     if group["encoding"] == "cp1252":
         columns = [from_cp1252(c) for c in columns]
+    columns[0] = F.when(extra, F.raise_error(problem)).otherwise(columns[0])
     cells = [
         tx.strip(F.when(c.isNull() | c.isin("nan", "None"), "").otherwise(c)).alias(name.strip())
         for c, name in zip(columns, names)

@@ -9,19 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom import fixed_values as fv
 from recordloom.functions import text as tx
 from recordloom.operators.balance import salted_join
 from recordloom.operators.ordering import running_sum
 
 
-def safe_repeat(value: Column, limit: int = fv.MAX_REPEAT) -> Column:
-    """Repeat counts: unreadable or below one -> 1, above the limit -> the limit."""
-    n = F.coalesce(value.cast("string").try_cast("bigint"), F.lit(1))
-    return F.when(n <= 0, 1).otherwise(F.least(n, F.lit(limit))).cast("int")
+def safe_repeat(value: Column, limit: int | None = None) -> Column:
+    """Repeat counts: unreadable or below one -> 1, above a given limit -> the limit."""
+    n = F.coalesce(value.cast("string").try_cast("int"), F.lit(1))
+    return F.when(n <= 0, 1).otherwise(n if limit is None else F.least(n, F.lit(limit))).cast("int")
 
 
-def expand_cells(cells: Column, limit: int = fv.MAX_REPEAT) -> Column:
+def expand_cells(cells: Column, limit: int | None = None) -> Column:
     return F.flatten(
         F.transform(cells, lambda c: F.array_repeat(F.coalesce(c["text"], F.lit("")), safe_repeat(c["repeat"], limit)))
     )
@@ -33,28 +32,31 @@ def trim_trailing(cells: Column) -> Column:
     return F.slice(cells, F.lit(1), F.coalesce(used, F.lit(0)))
 
 
-def expand_repeats(grid: DataFrame) -> DataFrame:
+def expand_repeats(grid: DataFrame, limit: int | None = None) -> DataFrame:
     """Repeated cells and rows written out: (sheet_id, row_no, copy_no, cells)."""
-    wide = grid.select("sheet_id", "row_no", expand_cells(F.col("cells")).alias("cells"), safe_repeat(F.col("row_repeat")).alias("_n"))
+    wide = grid.select("sheet_id", "row_no", expand_cells(F.col("cells"), limit).alias("cells"),
+                       safe_repeat(F.col("row_repeat"), limit).alias("_n"))
     return wide.select(
         "sheet_id", "row_no", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy_no"), "cells"
     )
 
 
-def normal_rows(grid: DataFrame) -> DataFrame:
+def normal_rows(grid: DataFrame, limit: int | None = None) -> DataFrame:
     """(sheet_id, row_no, repeat, cells): cells expanded and trimmed, repeats made safe."""
     return grid.select(
-        "sheet_id", "row_no", safe_repeat(F.col("row_repeat")).alias("repeat"),
-        trim_trailing(expand_cells(F.col("cells"))).alias("cells"),
+        "sheet_id", "row_no", safe_repeat(F.col("row_repeat"), limit).alias("repeat"),
+        trim_trailing(expand_cells(F.col("cells"), limit)).alias("cells"),
     )
 
 
-def drop_blank_rows(rows: DataFrame, max_blank_run: int = fv.MAX_BLANK_RUN) -> DataFrame:
-    """Remove blank rows; a sheet ends at a run of blanks of that size once data has begun.
+def drop_blank_rows(rows: DataFrame, max_blank_run: int | None = None) -> DataFrame:
+    """Remove blank rows.  With ``max_blank_run`` a sheet ends at a run of that many once data has begun.
 
-    Every row learns how many filled rows came before it.  Blanks with the same count form one run,
+    For that every row learns how many filled rows came before it.  Blanks with the same count form one run,
     and a run is summed before it is shuffled.
     """
+    if max_blank_run is None:
+        return rows.where(F.size("cells") > 0)
     marked = rows.withColumn("_filled", F.when(F.size("cells") > 0, 1).otherwise(0))
     counted = running_sum(marked, ["sheet_id"], ["row_no"], "_before", weight="_filled")
     runs = counted.where("_filled = 0 and _before > 0").groupBy("sheet_id", "_before").agg(F.sum("repeat").alias("_run"))
@@ -66,15 +68,28 @@ def drop_blank_rows(rows: DataFrame, max_blank_run: int = fv.MAX_BLANK_RUN) -> D
     return kept.where(F.col("_end").isNull() | (F.col("_before") < F.col("_end"))).drop("_filled", "_before", "_n", "_end")
 
 
-def cap_rows(rows: DataFrame, cap: int = fv.MAX_SHEET_ROWS) -> DataFrame:
-    """Write row repeats out, at most ``cap`` rows per sheet: (sheet_id, row_no, copy_no, cells)."""
-    placed = running_sum(rows, ["sheet_id"], ["row_no"], "_start", weight="repeat")
-    copies = F.least(F.col("repeat").cast("bigint"), F.lit(cap) - F.col("_start"))
-    return placed.where(F.col("_start") < cap).select(
+def cap_rows(rows: DataFrame, cap: int | None = None) -> DataFrame:
+    """Write row repeats out, at most ``cap`` rows per sheet if given: (sheet_id, row_no, copy_no, cells)."""
+    if cap is None:
+        placed, copies = rows, F.col("repeat").cast("bigint")
+    else:
+        placed = running_sum(rows, ["sheet_id"], ["row_no"], "_start", weight="repeat").where(F.col("_start") < cap)
+        copies = F.least(F.col("repeat").cast("bigint"), F.lit(cap) - F.col("_start"))
+    return placed.select(
         "sheet_id", "row_no", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)).alias("copy_no"), "cells"
     )
 
 
+def cut_report(grid: DataFrame, repeat: int | None, blank_run: int | None, cap: int | None) -> DataFrame:
+    """(sheet_id, rows, kept): filled rows of each sheet without and with the given limits."""
+    whole = normal_rows(grid).where(F.size("cells") > 0).groupBy("sheet_id").agg(F.sum(F.col("repeat").cast("bigint")).alias("rows"))
+    left = drop_blank_rows(normal_rows(grid, repeat), blank_run).groupBy("sheet_id").agg(
+        F.sum(F.col("repeat").cast("bigint")).alias("kept"))
+    kept = F.coalesce("kept", F.lit(0))
+    return whole.join(left, "sheet_id", "left").select(
+        "sheet_id", "rows", (kept if cap is None else F.least(kept, F.lit(cap))).cast("bigint").alias("kept"))
+
+
 def promote_header(rows: DataFrame) -> DataFrame:
     """First row of each sheet = headers: (sheet_id, row_no, copy_no, position, header, value).
 
@@ -99,6 +114,6 @@ def promote_header(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_grid(grid: DataFrame) -> DataFrame:
-    """The whole way from a grid to cells with headers."""
-    return promote_header(cap_rows(drop_blank_rows(normal_rows(grid))))
+def read_grid(grid: DataFrame, repeat: int | None = None, blank_run: int | None = None, cap: int | None = None) -> DataFrame:
+    """The whole way from a grid to cells with headers.  Nothing is cut unless a limit is given; see ``cut_report``."""
+    return promote_header(cap_rows(drop_blank_rows(normal_rows(grid, repeat), blank_run), cap))

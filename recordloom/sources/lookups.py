@@ -59,7 +59,7 @@ def flatten_lookup(entries: DataFrame, keep: list[str] | None = None) -> DataFra
         exploded.groupBy(*keep, F.col("_pair.alias").alias("alias"))
         .agg(F.max_by("_pair.canonical", rank).alias("canonical"), F.min(rank).alias("_first"))
         # Spellings keep the place of their first entry, which decides ties between equal scores.
-        .select(*keep, "alias", "canonical", (F.col("_first._o") * 100_000 + F.col("_first._p")).alias("ord"))
+        .select(*keep, "alias", "canonical", F.expr("shiftleft(cast(_first._o as bigint), 32) + _first._p").alias("ord"))
     )
 
 

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from recordloom.sources import delimited, grid, json_records, lookups
 
 
@@ -48,9 +50,41 @@ def test_grid(spark):
     rows = [(1, 1, "2", cells("")), (1, 2, "1", cells(" h1 ", "h2", "")), (1, 3, "2", cells("a", "b")), (1, 4, "1500", cells("")),
             (1, 5, "1", cells("c", "d", "e")), (1, 6, "1500", cells("")), (1, 7, "500", cells("", "")), (1, 8, "1", cells("lost"))]
     df = spark.createDataFrame(rows, "sheet_id int, row_no int, row_repeat string, cells array<struct<text:string,repeat:string>>")
-    out = grid.read_grid(df).orderBy("row_no", "copy_no", "position").collect()
+    out = grid.read_grid(df, 5_000, 2_000, 100_000).orderBy("row_no", "copy_no", "position").collect()
     table = {}
     for r in out:
         table.setdefault((r["row_no"], r["copy_no"]), []).append((r["header"], r["value"]))
     assert list(table) == [(3, 1), (3, 2), (5, 1)]
     assert table[(3, 1)] == [("h1", "a"), ("h2", "b"), ("", "")] and table[(5, 1)][2] == ("", "e")
+
+
+def test_a_grid_loses_nothing_by_default(spark):
+    """More rows, repeats and blanks than any customary limit."""
+    def cells(*texts):
+        return [(t, "1") for t in texts]
+
+    rows = [(1, 1, "1", cells("h")), (1, 2, "100000", cells("a")), (1, 3, "2001", cells("")), (1, 4, "5001", cells("b")), (1, 5, "1", [("c", "5001")])]
+    df = spark.createDataFrame(rows, "sheet_id int, row_no int, row_repeat string, cells array<struct<text:string,repeat:string>>")
+    seen = grid.cap_rows(grid.drop_blank_rows(grid.normal_rows(df))).selectExpr("count(*) as n", "max(size(cells)) as wide").first()
+    assert (seen["n"], seen["wide"]) == (1 + 100_000 + 5_001 + 1, 5_001)
+    cut = grid.cut_report(df, 5_000, 2_000, 4_000).first()
+    assert (cut["rows"], cut["kept"]) == (105_003, 4_000)
+
+
+def test_csv_loses_no_column_and_no_field(spark, tmp_path):
+    (tmp_path / "blank.csv").write_text("\n\nname,email\nAli,a@x.dz\n")
+    (tmp_path / "broken.csv").write_text('"full\nname",email\nAli,a@x.dz\nZoé,"z\n@x.dz"\n')
+    (tmp_path / "extra.csv").write_text("name,email\nAli,a@x.dz\nZoé,z@x.dz,EXTRA\n")
+    (tmp_path / "short.csv").write_text("name,email\nAli\n")
+    read = lambda name: delimited.read_csv_text(spark, str(tmp_path / name))
+    assert read("blank.csv").columns == ["name", "email"] and [tuple(r) for r in read("blank.csv").collect()] == [("Ali", "a@x.dz")]
+    assert read("broken.csv").columns == ["full\nname", "email"]
+    assert [tuple(r) for r in read("broken.csv").collect()] == [("Ali", "a@x.dz"), ("Zoé", "z\n@x.dz")]
+    assert [tuple(r) for r in read("short.csv").collect()] == [("Ali", "")]
+    with pytest.raises(Exception, match="more fields than the 2 headers"):
+        read("extra.csv").collect()
+
+
+def test_aliases_of_a_long_entry_stay_apart(spark):
+    entries = spark.createDataFrame([("A", json.dumps([f"a{i}" for i in range(100_001)]), 0), ("B", '["b"]', 1)], "key string, value string, ord int")
+    assert lookups.flatten_lookup(entries).selectExpr("count(distinct ord) = count(*) as apart").first()["apart"]
