@@ -28,6 +28,7 @@ REASON_EMAIL = "exact_email_match"
 # Blocks of rows that have a location but no province: one common block.
 NO_PROVINCE = "{'wilaya"
 SLACK = 1e-9
+MOST_DELETIONS = 3
 
 
 def strong_signal(left: dict[str, Column], right: dict[str, Column]) -> Column:
@@ -147,17 +148,10 @@ class Bounds:
     def needs(self, name: str) -> bool:
         return self.least(name) is not None
 
-    def phone_deletions(self, longest: int) -> int | None:
-        """Characters to delete from both phones so that accepted pairs without e-mail meet on equality.
-
-        None when more than two deletions would be needed.
-        """
+    def phone_distance(self, total: Column) -> Column:
+        """Most characters by which phones of ``total`` length together differ in an accepted pair without e-mail."""
         budget = 100.0 * (sum(self.weights.values()) - self.weights["email"]) - self.threshold
-        for deletions in (0, 1, 2):
-            # The next larger distance already costs more than the budget.
-            if self.weights["phoneNumber"] * 100.0 * (2 * deletions + 1) / (2 * longest) > budget + SLACK:
-                return deletions
-        return None
+        return F.floor((budget + SLACK) * total / (100.0 * self.weights["phoneNumber"])).cast("int")
 
 
 def match_rows(df: DataFrame, bounds: Bounds, missing_dob_matches: bool = False) -> DataFrame:
@@ -205,57 +199,70 @@ def _cells(tuples: DataFrame, bounds: Bounds) -> DataFrame:
 
 
 def _deletions(phone: Column, count: int) -> Column:
-    """Every text that is left after deleting up to ``count`` characters."""
-    whole = F.array(phone)
-
-    def once(texts: Column) -> Column:
-        def cut(t):
-            spots = F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1)))
-            return F.transform(spots, lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1)))
+    """Every text that is left after deleting ``count`` characters."""
+    level = F.array(phone)
 
-        return F.array_distinct(F.flatten(F.transform(texts, cut)))
+    def cut(t: Column) -> Column:
+        spots = F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1)))
+        return F.transform(spots, lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1)))
 
-    level, all_levels = whole, [whole]
     for _ in range(count):
-        level = once(level)
-        all_levels.append(level)
-    return F.array_distinct(F.flatten(F.array(*all_levels)))
+        level = F.array_distinct(F.flatten(F.transform(level, cut)))
+    return level
+
+
+def _phone_keys(bounds: Bounds, lengths: Column) -> Column:
+    """Keys on which phones meet, one class per length among ``lengths`` that can be near enough.
+
+    Phones of lengths l and m that differ by D characters agree once (D + l - m) / 2 are deleted from the first and
+    (D + m - l) / 2 from the second; deleting more of what they share keeps them equal, so the largest D serves all.
+    Classes that would need more than MOST_DELETIONS meet as a whole.
+    """
+    size = F.length("phoneNumber")
+
+    def keys(other: Column) -> Column:
+        gap, most = F.abs(size - other), bounds.phone_distance(size + other)
+        most = most - (most + gap) % 2  # lengths fix whether the distance is odd
+        own, theirs = (most + size - other) / 2, (most + other - size) / 2
+        lengths = [F.least(size, other).cast("string"), F.greatest(size, other).cast("string")]
+        variants = F.when(F.greatest(own, theirs) > MOST_DELETIONS, F.array(F.lit("*")))
+        for count in range(MOST_DELETIONS + 1):
+            variants = variants.when(own == count, _deletions(F.col("phoneNumber"), count))
+        made = F.transform(variants, lambda v: F.struct(
+            F.concat_ws("|", F.col("cell"), F.lit("p"), *lengths, v).alias("key"), F.lit(True).alias("by_phone")))
+        return F.when(gap <= most, made).otherwise(F.array().cast("array<struct<key:string,by_phone:boolean>>"))
+
+    return F.flatten(F.transform(lengths, keys))
 
 
 def candidate_pairs(tuples: DataFrame, bounds: Bounds, settings: Settings) -> DataFrame:
     """Pairs of tuples that may reach the threshold; none that does is missing.
 
     Cells up to ``bucket_rows`` tuples are joined as they are.  In larger cells two tuples of which
-    one has no e-mail must have phones within a few deletions of each other, so they meet on the
-    phone with up to that many characters deleted; only tuples that both have an e-mail fall back to
-    tiles of the cell.
+    one has no e-mail must have phones within a few characters of each other, so they meet on the
+    phone with that many characters deleted, by classes of lengths; only tuples that both have an
+    e-mail fall back to tiles of the cell.
     """
     cells = _cells(tuples, bounds).withColumn("email_ok", F.coalesce(F.col("email") != "", F.lit(False)))
-    longest = 14
-    deletions = bounds.phone_deletions(longest) if bounds.needs("phoneNumber") else None
-    if deletions is None:
+    if not bounds.needs("phoneNumber"):
         keyed = cells.withColumn("key", F.col("cell")).withColumn("by_phone", F.lit(False))
     else:
-        # Phone lengths that differ by one at most: then neither side needs more deletions than this.
-        size = F.length("phoneNumber")
         large = (
             cells.groupBy("cell")
-            .agg(F.count("*").alias("_size"), F.max(size).alias("_longest"), F.min(size).alias("_shortest"))
-            .where(F.col("_size") > settings.bucket_rows)
-            .where(f"_longest <= {longest} and _longest - _shortest <= 1")
-            .select("cell", F.lit(True).alias("_large"))
+            .agg(F.count("*").alias("_size"), F.collect_set(F.length("phoneNumber")).alias("_lengths"))
+            .where(F.col("_size") > settings.bucket_rows).drop("_size")
         )
 
-        def one_key(kind: str, *more: Column) -> Column:
+        def one_key(kind: str) -> Column:
             return F.struct(
-                F.concat_ws("|", F.col("cell"), F.lit(kind), *more).alias("key"), F.lit(kind == "p").alias("by_phone")
+                F.concat_ws("|", F.col("cell"), F.lit(kind)).alias("key"), F.lit(False).alias("by_phone")
             )
 
-        phones = F.transform(_deletions(F.col("phoneNumber"), deletions), lambda p: one_key("p", p))
         mails = F.filter(F.array(one_key("e")), lambda _: F.col("email_ok"))
-        keys = F.when(F.col("_large"), F.concat(phones, mails)).otherwise(F.array(one_key("c")))
+        keys = F.when(F.col("_lengths").isNotNull(), F.concat(_phone_keys(bounds, F.col("_lengths")), mails)).otherwise(
+            F.array(one_key("c")))
         # Few cells are large; Spark broadcasts the list only when its measured size allows that.
-        keyed = cells.join(large, "cell", "left").select("*", F.inline(keys))
+        keyed = cells.join(large, "cell", "left").select("*", F.inline(keys)).drop("_lengths")
 
     names = ("name", "phoneNumber", "DOB", "email")
     left = keyed.where("leads").select(

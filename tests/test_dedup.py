@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.config import Settings
+from recordloom.operators import dedup
 from recordloom.operators.dedup import exact_email, find_duplicates, fuzzy_pairs
 
 SETTINGS = Settings(as_of=datetime(2026, 1, 1, tzinfo=timezone.utc))
@@ -166,3 +167,39 @@ def test_missing_dates_match_on_request(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert fuzzy_pairs(df, SETTINGS).pairs.count() == 0
     assert fuzzy_pairs(df, replace(SETTINGS, missing_dob_matches=True)).pairs.count() == 1
+
+
+def test_one_odd_phone_leaves_the_rest_of_its_cell_on_phone_keys(spark):
+    """400 people born on one day without e-mails, and phones of 12 to 18 digits now and then."""
+    rnd = random.Random(5)
+    rows = [(i, f"Amine Benali {chr(97 + i % 5)}", f"+2135{rnd.randrange(10**8):08d}", 378691200, None, "Oran") for i in range(400)]
+    for i in range(40, 80):  # a digit or two changed, dropped or added
+        phone = list(rows[i - 40][2])
+        for _ in range(rnd.randrange(1, 3)):
+            at = rnd.randrange(5, len(phone))
+            phone[at:at + rnd.randrange(0, 2)] = [str(rnd.randrange(10))] * rnd.randrange(0, 2)
+        rows[i] = (i, rows[i - 40][1], "".join(phone), *rows[i][3:])
+    rows.append((400, "Amine Benali a", rows[0][2] + "123", 378691200, None, "Oran"))
+    rows.append((401, "Amine Benali b", rows[1][2] + "1234567", 378691200, None, "Oran"))
+    rows.append((402, "Amine Benali b", rows[1][2] + "1234568", 378691200, None, "Oran"))
+    settings = replace(SETTINGS, bucket_rows=50, tile_rows=16)
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = {(r["left_id"], r["right_id"]): r["score"] for r in fuzzy_pairs(df, settings).pairs.collect()}
+    assert found == pytest.approx(brute_force(rows, settings))
+    bounds = dedup.Bounds(settings.duplicate_weights, settings.duplicate_threshold)
+    tuples = dedup.match_tuples(dedup.match_rows(df, bounds))
+    # All pairs of the cell would be 80,000, once for its own block and once for blank ones.
+    assert dedup.candidate_pairs(tuples, bounds, settings).count() < 4_000
+
+
+def test_blocks_follow_the_kind_of_location(spark):
+    """Text locations are blocks of their own, blank ones meet every block, structures share one."""
+    rows = [("Oran", "x"), (None, "Some place"), (None, " some PLACE "), (None, ""), (None, "nan"), (None, None)]
+    df = spark.createDataFrame([(i, "A B", "+213550000000", 1, None, w, t) for i, (w, t) in enumerate(rows)],
+                               SCHEMA + ", location string")
+    bounds = dedup.Bounds(SETTINGS.duplicate_weights, SETTINGS.duplicate_threshold)
+    blocks = {r["row_id"]: r["fields"]["block"] for r in dedup.match_rows(df, bounds).collect()}
+    assert blocks == {0: "oran", 1: "some place", 2: "some place", 3: "", 4: "", 5: ""}
+    nested = df.withColumn("location", F.when(F.col("row_id") < 3, F.struct(F.col("location").alias("fullLocation"))))
+    blocks = {r["row_id"]: r["fields"]["block"] for r in dedup.match_rows(nested, bounds).collect()}
+    assert blocks == {0: "oran", 1: dedup.NO_PROVINCE, 2: dedup.NO_PROVINCE, 3: "", 4: "", 5: ""}
