@@ -97,10 +97,13 @@ class _Packed:
             offset += len(alias) + 1
             guards |= 1 << (offset - 1)
         self.keep = ((1 << offset) - 1) & ~guards
+        self.places = {alias: place for place, alias in reversed(list(enumerate(aliases)))}
         self.seen: dict[str, tuple[int, float] | None] = {}
 
     def best(self, text: str) -> tuple[int, float] | None:
         """(position, score) of the best alias; the first one wins a tie."""
+        if text in self.places:
+            return self.places[text], 100.0
         found = self.seen.get(text, False)
         if found is not False:
             return found
@@ -124,7 +127,7 @@ class _Packed:
 def best_alias(values: Column, aliases: list[str]) -> Column:
     """struct(position, score) of the alias nearest to each value; null for null values.
 
-    ``aliases`` travels with the function, so callers check its size first.
+    ``aliases`` is a list of the driver and travels with the function.
     """
     held: list[_Packed] = []
 
@@ -143,6 +146,21 @@ def best_alias(values: Column, aliases: list[str]) -> Column:
     return find(values)
 
 
+def near_value(values: Column, lookup: dict[str, str], threshold: float) -> Column:
+    """For every text the value of its nearest key, null below the threshold and for null."""
+    held: list[_Packed] = []
+    chosen = list(lookup.values())
+
+    @F.pandas_udf("string")
+    def find(texts: pd.Series) -> pd.Series:
+        if not held:
+            held.append(_Packed(list(lookup)))
+        hits = (None if t is None else held[0].best(t) for t in texts)
+        return pd.Series([chosen[h[0]] if h and h[1] >= threshold else None for h in hits], dtype=object)
+
+    return find(values)
+
+
 def near_values(lists: Column, lookup: dict[str, str], threshold: float) -> Column:
     """For every element of an array the value of its nearest key, null below the threshold."""
     held: list[_Packed] = []

@@ -6,35 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as tx
-from recordloom.functions.similarity import best_alias, indel_ratio, near_values
+from recordloom.functions.similarity import indel_ratio, near_value, near_values
 from recordloom.operators.balance import tiled_join
 
-# A lookup up to this many aliases travels inside the function; beyond it use ``match_large_lookup``.
-INLINE_ALIASES = 5_000
+# Up to so many aliases equality is decided by a map in the JVM; a longer map would be searched entry by entry, so
+# there the worker's dictionary decides it.  The answers are the same.
+MAP_ALIASES = 500
 
 
-def _checked(lookup: dict[str, str]) -> dict[str, str]:
-    if len(lookup) > INLINE_ALIASES:
-        raise ValueError(
-            f"{len(lookup)} aliases are more than {INLINE_ALIASES}; use match_large_lookup with a DataFrame"
-        )
-    return lookup
+def _equal(lookup: dict[str, str], key: Column) -> Column:
+    return tx.map_value(lookup, key) if len(lookup) <= MAP_ALIASES else F.lit(None).cast("string")
 
 
 def fuzzy_lookup(text: Column, lookup: dict[str, str], threshold: float = 85.0) -> Column:
     """Canonical value for normalised text: equal alias, else the nearest one at or above the threshold.
 
-    No shuffle: equality is decided in the JVM, only the misses are scored, each distinct miss once
-    per Python worker.
+    No shuffle: only the misses are scored, each distinct miss once per Python worker.  The lookup is a dict
+    of the driver and travels with the function; for one that is no dict see ``match_large_lookup``.
     """
-    if not _checked(lookup):
+    if not lookup:
         return F.lit(None).cast("string")
     key = F.lower(text)
-    equal = tx.map_value(lookup, key)
-    hit = best_alias(F.when((key != "") & equal.isNull(), key), list(lookup))
-    values = tx.lit_list(list(lookup.values()))
-    near = F.when(hit["score"] >= threshold, F.try_element_at(values, hit["position"] + 1))
-    return F.coalesce(equal, near)
+    equal = _equal(lookup, key)
+    return F.coalesce(equal, near_value(F.when((key != "") & equal.isNull(), key), lookup, threshold))
 
 
 def split_items(text: Column) -> Column:
@@ -45,10 +39,10 @@ def split_items(text: Column) -> Column:
 
 def clean_preferences(text: Column, lookup: dict[str, str], threshold: float = 85.0) -> Column:
     """List of canonical items; unknown items are title-cased; repeats (any case) are dropped."""
-    if not _checked(lookup):
+    if not lookup:
         return F.array().cast("array<string>")
     items = split_items(text)
-    equal = F.transform(items, lambda item: tx.map_value(lookup, F.lower(item)))
+    equal = F.transform(items, lambda item: _equal(lookup, F.lower(item)))
     unknown = F.zip_with(items, equal, lambda item, known: F.when(known.isNull(), F.lower(item)))
     near = near_values(F.when(F.exists(unknown, lambda item: item.isNotNull()), unknown), lookup, threshold)
     known = F.zip_with(equal, F.coalesce(near, equal), lambda e, n: F.coalesce(e, n))

@@ -101,3 +101,19 @@ def test_large_lookup_equals_the_small_one(spark, threshold):
     large = {r["w"]: r["canonical"] for r in match_large_lookup(df, "w", table, threshold, tile_rows=3).collect()}
     small = {r["w"]: r["c"] for r in df.select("w", fuzzy_lookup(F.col("w"), lookup, threshold).alias("c")).collect() if r["c"]}
     assert large == small
+
+
+def test_lookups_of_any_size_answer_alike(spark):
+    """6,000 more aliases that are near nothing change no answer."""
+    from pyspark.sql import functions as F
+
+    from recordloom.operators.lookup import clean_preferences, fuzzy_lookup
+
+    small = {"alger": "Alger", "algiers": "Alger", "oran": "Oran", "mathematics": "Mathematics"}
+    large = small | {f"{i:05d}#####": f"Z{i}" for i in range(6_000)}
+    rows = [("alger",), ("Algr",), ("oraan",), ("nothing",), ("",), (None,), ("mathematic; chess, Chess|oran",)]
+    df = spark.createDataFrame(rows, "t string").select(
+        "t", *[f(F.col("t"), table).alias(f"{f.__name__}_{len(table)}") for f in (fuzzy_lookup, clean_preferences) for table in (small, large)])
+    for r in df.collect():
+        assert r["fuzzy_lookup_4"] == r["fuzzy_lookup_6004"] and r["clean_preferences_4"] == r["clean_preferences_6004"]
+    assert df.where("t = 'Algr'").first()["fuzzy_lookup_6004"] == "Alger"
