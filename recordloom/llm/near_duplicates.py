@@ -39,7 +39,7 @@ CHUNK = 512
 class NearDup:
     """``words`` per shingle, the least similarity in per cent, signature length and agreements asked for.
 
-    With 96 coordinates and 61 agreements a pair at exactly 0.8 is missed with probability 8e-5, one at 0.85 never.
+    With 96 coordinates and 61 agreements a pair at exactly 0.8 is missed with probability 6e-5, one at 0.85 with 6e-8.
     A long signature with a high share of agreements keeps prefixes short, and so chance meetings rare.
     """
 
