@@ -27,7 +27,7 @@ from recordloom.llm.common import kept_as_table
 LENGTH = 4_096
 OPEN_WINDOWS = 16
 MERGED_BITS = 5  # leftovers of 2 ** 5 neighbouring partitions are merged together
-CACHED = 300_000
+CACHED = 800_000  # words; about 200 bytes each in every worker
 LONGEST_CACHED = 64
 ID_BYTES = 4
 PIECES = "doc_id bigint, start bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, open boolean"
