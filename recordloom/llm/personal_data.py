@@ -35,7 +35,7 @@ BASE = (
     # [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, r"\bip\b|address|host|server|adresse"),
     # [0-9]([\x20-]?[0-9])+ ; shorter ones than 13 digits never count, so they are not matched at all
-    Kind("card", r"[0-9](?:[\x20-]?[0-9]){12,}+", "[0-9]{2}", 0.5, "card|visa|credit|debit|karte|carte|tarjeta"),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9]){12,}+", r"[0-9](?:[\x20-]?[0-9]){12}", 0.5, "card|visa|credit|debit|karte|carte|tarjeta"),
     # \+[0-9][\x20().0-9-]+[0-9]
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, "phone|tel|call|mobile|fax|anruf"),
 )

@@ -46,6 +46,13 @@ def test_hard_places(spark):
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
 
 
+def test_cards_whose_digits_all_stand_apart(spark):
+    texts = ["4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "no 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1, thanks", "4-1 1-1 1", "1 2 3 4 5 6 7 8 9 0 1 2 8"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    check(docs)
+    assert {r.doc_id: r.text for r in redact(docs).collect()}[0] == "[CARD]"
+
+
 def test_account_numbers_need_their_checksum_and_context_moves_the_score(spark):
     docs = spark.createDataFrame([(1, "bank account GB82 WEST 1234 5698 7654 32."), (2, "GB83WEST12345698765432"),
                                   (3, "invoice 4111111111111111"), (4, "visa card 4111111111111111")], "doc_id bigint, text string")
