@@ -6,6 +6,7 @@ without recursion; each is the plain pattern in its comment with the same leftmo
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,14 +36,23 @@ BASE = (
     # [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, r"\bip\b|address|host|server|adresse"),
     # [0-9]([\x20-]?[0-9])+ ; shorter ones than 13 digits never count, so they are not matched at all
-    Kind("card", r"[0-9](?:[\x20-]?[0-9]){12,}+", r"[0-9](?:[\x20-]?[0-9]){12}", 0.5, "card|visa|credit|debit|karte|carte|tarjeta"),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9]){12,}+", r"[0-9](?:[\x20-]?[0-9]){12}", 0.5,
+         "card|visa|credit|debit|karte|carte|tarjeta"),
     # \+[0-9][\x20().0-9-]+[0-9]
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, "phone|tel|call|mobile|fax|anruf"),
 )
 ADDED = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", 0.5,
+    # Only the head is consumed; what may follow is looked at, so that a number inside a false one's reach is found too.
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9]))", "[A-Z]{2}[0-9]{2}", 0.5,
          "iban|account|bank|konto|compte|cuenta"),
 )
+#: Signs of an account number by country.  Other codes may have any length.
+IBAN_SIGNS = {code: signs for signs, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for code in codes.split()}
 LEAST_SCORE = 0.6
 
 
@@ -90,6 +100,34 @@ def mod97(value: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), add) == 1
 
 
+def account_numbers(text: Column, heads: Column) -> Column:
+    """The account numbers that begin at ``heads``: the longest run of whole words whose length and checksum hold.
+
+    A number inside an earlier one is none.
+    """
+    known = F.from_json(F.lit(json.dumps(IBAN_SIGNS)), "map<string,int>")
+
+    def whole(head: Column) -> Column:
+        # 34 signs with a space after each; a word cut off there makes more signs than that.
+        run = F.regexp_extract(F.substr(text, head["start"] + 1, F.lit(68)), r"^[A-Z0-9]+(?:\x20[A-Z0-9]+)*(?![A-Za-z0-9])", 0)
+        words = F.split(run, " ")
+        values = F.transform(words, lambda _, i: F.array_join(F.slice(words, 1, i + 1), " "))
+        signs = F.try_element_at(known, F.substr(head["value"], F.lit(1), F.lit(2)))
+
+        def holds(value: Column) -> Column:
+            compact = F.replace(value, F.lit(" "), F.lit(""))
+            return F.when(F.length(compact).between(F.coalesce(signs, F.lit(15)), F.coalesce(signs, F.lit(34))),
+                          mod97(compact)).otherwise(False)
+
+        value = F.try_element_at(F.filter(values, holds), F.lit(-1))
+        return F.struct(head["start"].alias("start"), (head["start"] + F.length(value)).alias("end"), value.alias("value"))
+
+    found = F.filter(F.transform(heads, whole), lambda s: s["value"].isNotNull())
+    nothing = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return F.aggregate(found, nothing, lambda done, s: F.when(
+        s["start"] < F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)), done).otherwise(F.concat(done, F.array(s))))
+
+
 def confirmed(kind: Kind, value: Column) -> Column:
     if kind.name == "ip":
         return F.forall(F.split(value, r"\."), lambda part: part.rlike("^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"))
@@ -97,9 +135,6 @@ def confirmed(kind: Kind, value: Column) -> Column:
         return F.length(digits_of(value)).between(13, 19) & luhn(digits_of(value))
     if kind.name == "phone":
         return F.length(digits_of(value)).between(9, 15)
-    if kind.name == "iban":
-        compact = F.replace(value, F.lit(" "), F.lit(""))
-        return F.length(compact).between(15, 34) & mod97(compact)
     return F.lit(True)
 
 
@@ -114,7 +149,8 @@ def scored(text: Column, kind: Kind, span: Column) -> Column:
 
 
 def spans_of_kind(text: Column, kind: Kind) -> Column:
-    good = F.filter(located(text, kind), lambda s: confirmed(kind, s["value"]))
+    found = located(text, kind)
+    good = account_numbers(text, found) if kind.name == "iban" else F.filter(found, lambda s: confirmed(kind, s["value"]))
     return F.transform(good, lambda s: F.struct(
         F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
         scored(text, kind, s).alias("score")))

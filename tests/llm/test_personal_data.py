@@ -61,6 +61,19 @@ def test_account_numbers_need_their_checksum_and_context_moves_the_score(spark):
     assert found[3][0][2] < found[4][0][2]
 
 
+def test_account_numbers_end_where_their_country_ends_them(spark):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", "to GB82 WEST 1234 5698 7654 32 EUR 500",
+             "DE89370400440532013000 GB82WEST12345698765432", "konto FR99 DE89 3704 0044 0532 0130 00 Bank",
+             "DE89 3704 0044 0532 0130 00 " + "A1 " * 40, "DE88 3704 0044 0532 0130 00 BIC", "DE89370400440532013000BIC"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: [(s.value, texts[r.doc_id][s.start:s.end]) for s in r.spans if s.kind == "iban"]
+             for r in personal_data(docs, 0.0).collect()}
+    german, british = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    want = [[german], [british], [german.replace(" ", ""), british.replace(" ", "")], [german], [german], [], []]
+    assert [found[i] for i in range(len(texts))] == [[(v, v) for v in values] for values in want]
+    assert redact(docs, 0.0).where("doc_id = 0").first().text == "IBAN [IBAN] BIC COBADEFF"
+
+
 def test_redaction(spark, odd, empty):
     docs = spark.createDataFrame([(1, "mail a@b.cc or +1 213 555 0199!", 31), (2, None, 0), (3, "clean", 5), (4, "192.168.0.1", 11)],
                                  "doc_id bigint, text string, n_chars bigint")
