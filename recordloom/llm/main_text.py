@@ -27,10 +27,10 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>?"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
     r"|(?P<text>[^<]++|<)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'<>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav footer aside form button select option menu dialog object canvas audio video head figure".split())
+DROPPED = frozenset("nav footer aside form button select option menu dialog object canvas audio video head".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead "
@@ -40,46 +40,70 @@ CONTAINER = frozenset("article main section div td body".split())
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
         "th": ("td", "th"), "option": ("option",)}
 BORDERS = frozenset("table ul ol dl article section main div body html td th blockquote".split())
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|captcha|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|"
-    r"header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|"
-    r"respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: A class or id is boilerplate if it is made of such names, with nothing but neutral words beside them.
+NAMES = (r"(?:ads?|advert\w*|banner|breadcrumbs?|captcha|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|"
+         r"header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|"
+         r"respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)")
+NEUTRAL = (r"(?:site|page|global|main|top|bottom|left|right|primary|secondary|box|container|wrap|wrapper|area|list|block|section|"
+           r"bar|links?|items?|inner|outer|body|content|posts?|articles?|form|buttons?|icons?|text|\d+)")
+BOILERPLATE = re.compile(rf"(?:{NEUTRAL}[_-]+)*+{NAMES}(?:[_-]+(?:{NAMES}|{NEUTRAL}))*+", re.I)
+#: Of these, the ones whose articles are not the page's.
+OTHERS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|commentlist|disqus|promo\w*|related|replies|respond|sponsor\w*)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
 
 
 @dataclass
 class Node:
-    """An element: its path, whether it is boilerplate, and what counts for its score."""
+    """An element: its path, whether it is boilerplate, and what counts for its score.
+
+    ``loose`` names a sign of boilerplate that the rest of the page may refute.
+    """
 
     tag: str
     path: str
     skip: bool
     parent: Node | None
     number: int
+    loose: str = ""
+    held: int = 0
+    held_linked: int = 0
     text: int = 0
     linked: int = 0
     score: float = 0.0
     blocks: list[str] = field(default_factory=list)
 
 
-def generalised(tag: str, attrs: str) -> str:
+def attributes(attrs: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attrs):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def generalised(tag: str, found: dict[str, str]) -> str:
     """The tag with its classes, digits as #, so that pages of one template share it."""
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)} if "=" in attrs else {}
     classes = sorted({re.sub(r"\d+", "#", c.lower()) for c in found.get("class", "").split()})
     return ".".join([tag, *classes[:4]])
 
 
-def is_boilerplate(tag: str, attrs: str, parents: list[Node]) -> bool:
+def is_boilerplate(tag: str, found: dict[str, str], parents: list[Node]) -> bool:
+    """Whether an element is boilerplate whatever it holds."""
     if tag in DROPPED:
-        return True
+        return tag != "form"
     if tag == "header":
         return not any(node.tag in ("article", "main") for node in parents)
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not found or tag in ("html", "body", "article", "main"):
         return False
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)}
-    return bool(
-        BOILERPLATE.search(f"{found.get('class', '')} {found.get('id', '')}") or found.get("role", "").lower() in ROLES
-        or re.search(r"\bhidden\b", attrs) or re.search(r"display\s*:\s*none", found.get("style", "")))
+    return bool("hidden" in found or found.get("role", "").lower() in ROLES
+                or re.search(r"display\s*:\s*none", found.get("style", "")))
+
+
+def loose_sign(tag: str, found: dict[str, str]) -> str:
+    """The classes and ids by which an element seems to be boilerplate, if any; a form always seems to."""
+    if tag in ("html", "body", "article", "main"):
+        return ""
+    names = [name for name in f"{found.get('class', '')} {found.get('id', '')}".split() if BOILERPLATE.fullmatch(name)]
+    return " ".join([*names, "form"] if tag == "form" else names)
 
 
 class Page:
@@ -93,6 +117,7 @@ class Page:
         self.linked = 0
         self.read(html)
         self.close_block()
+        self.settle()
 
     def read(self, html: str) -> None:
         at, size = 0, len(html)
@@ -111,6 +136,8 @@ class Page:
                 tag = token["tag"].lower()
                 if token["end"]:
                     self.end(tag)
+                elif tag in ("svg", "math") and token["attrs"].endswith("/"):
+                    continue
                 elif tag in RAW:
                     close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                     at = close.end() if close else size
@@ -142,8 +169,11 @@ class Page:
             if self.stack[place].tag in BORDERS:
                 break
         parent = self.stack[-1]
-        node = Node(tag, f"{parent.path}/{generalised(tag, attrs)}", parent.skip or is_boilerplate(tag, attrs, self.stack),
-                    parent, len(self.nodes))
+        found = attributes(attrs)
+        skip, loose = parent.skip or is_boilerplate(tag, found, self.stack), loose_sign(tag, found)
+        # Text inside a line can't be set aside.
+        skip = skip or bool(loose and tag not in BLOCK)
+        node = Node(tag, f"{parent.path}/{generalised(tag, found)}", skip, parent, len(self.nodes), "" if skip else loose)
         self.nodes.append(node)
         self.stack.append(node)
 
@@ -152,9 +182,52 @@ class Page:
             self.close_block()
         for place in range(len(self.stack) - 1, 0, -1):
             if self.stack[place].tag == tag:
+                if any(node.loose for node in self.stack[place:]):
+                    self.close_block()
                 del self.stack[place:]
                 break
 
+    def sums(self) -> None:
+        """How much text each element holds."""
+        for node in self.nodes:
+            node.held = node.held_linked = 0
+        for node, text, linked in self.blocks:
+            node.held, node.held_linked = node.held + len(text), node.held_linked + linked
+        for node in reversed(self.nodes[1:]):
+            node.parent.held += node.held
+            node.parent.held_linked += node.held_linked
+
+    def settle(self) -> None:
+        """Drop what loose signs call boilerplate.
+
+        They are refuted for an element around the main element, around all articles of the page (unless it is a place
+        for others' articles), or around most of its unlinked text where no article is outside; and for all
+        elements where nothing would be left.
+        """
+        if any(node.loose for node in self.nodes):
+            self.sums()
+            total = self.nodes[0].held - self.nodes[0].held_linked
+            articles, mains = [0] * len(self.nodes), [False] * len(self.nodes)
+            for node in reversed(self.nodes):
+                at = node.number
+                if node.tag in ("article", "main") and not node.skip:
+                    articles[at], mains[at] = node.held, mains[at] or (node.tag == "main" and node.held > 0)
+                if node.parent is not None:
+                    articles[node.parent.number] += articles[at]
+                    mains[node.parent.number] = mains[node.parent.number] or mains[at]
+            aside = [False] * len(self.nodes)
+            for node in self.nodes[1:]:
+                alone = articles[node.number] == articles[0]
+                holds = mains[node.number] or (alone and articles[0] > 0 and not OTHERS.search(node.loose)) or (
+                    alone and 2 * (node.held - node.held_linked) > total)
+                aside[node.number] = aside[node.parent.number] or bool(node.loose and not holds)
+            left = [block for block in self.blocks if not aside[block[0].number]]
+            if left:
+                self.blocks = left
+                for node in self.nodes:
+                    node.skip = node.skip or aside[node.number]
+        self.sums()
+
     def containers(self) -> list[tuple[float, str]]:
         """Scores of containers, best first: a block counts by its unlinked text, whole for the nearest container,
         half and less for those around it; a link-heavy container loses."""

@@ -58,3 +58,23 @@ def test_odd_pages(spark):
     assert texts[1] == texts[2] == texts[5] == "" and texts[3] == "plain text only"
     assert texts[4] == "a < b && c > d\nx é &bogus;" and texts[8] == "deep"
     assert main_text(pages.where("false")).collect() == []
+
+
+def texts_of(spark, *htmls):
+    rows = [(n, f"http://h{n}.example/", html) for n, html in enumerate(htmls)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    return [got[n] for n in range(len(htmls))]
+
+
+def test_loose_signs_do_not_drop_the_text(spark):
+    story = "<p>" + "words of the story " * 20 + "</p>"
+    text = ("words of the story " * 20).strip()
+    wrapped = [f"<body><div {attrs}><article>{story}</article></div><footer>imprint</footer></body>" for attrs in (
+        "class='overflow-hidden'", "aria-hidden='false'", "class='layout has-sidebar'", "class='elementor-widget x'",
+        "class='post-header'", "class=widget", "data-x='hidden'")]
+    wrapped += [f"<body><form id=aspnet>{story}</form></body>", f"<body><div class=banner>{story}</div></body>",
+                f"<body><svg width='1'/><article>{story}</article></body>"]
+    assert texts_of(spark, *wrapped) == [text] * len(wrapped)
+    kept = f"<body><article>{story}<figure><img src=a><figcaption>a caption</figcaption></figure></article></body>"
+    dropped = f"<body><article>{story}</article><div hidden>{story}</div><div class=comments><article>{story * 2}</article></div></body>"
+    assert texts_of(spark, kept, dropped, "<div hidden>gone</div>") == [f"{text}\na caption", text, ""]
