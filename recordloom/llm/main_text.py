@@ -2,7 +2,7 @@
 
 Every page scores its containers and votes for the best ones by a generalised path of tags and classes.  Votes are
 summed per host in Spark.  Each page is then read again and its text is taken from the first of its host's winning
-paths that it has; a page that has none falls back on its own best container.
+paths that it has, widened to the article around it; a page that has none falls back on its own best container.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from recordloom.session import materialise
 VOTES = 3
 WINNERS = 8
 LEAST_SHARE = 0.2
+LINKED_SHARE = 0.3
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>?"
@@ -243,18 +244,79 @@ class Page:
                 up = up.parent
         return sorted(((n.score * (1 - n.linked / max(1, n.text)), n.path) for n in seen.values()), key=lambda x: (-x[0], x[1]))
 
+    def widened(self, roots: list[Node]) -> list[Node]:
+        """The elements around ``roots``, all of one path, that hold the rest of their text.
+
+        That is the nearest article, or main element if little of what it adds is linked.  Without one, the parents, as
+        long as they add little text beside that of ``roots``, and little of it linked; to the body only what stands
+        directly in it may come in.
+        """
+
+        def parents(nodes: list[Node]) -> list[Node]:
+            return list({node.parent.number: node.parent for node in nodes}.values())
+
+        def added(nodes: list[Node]) -> tuple[int, int]:
+            return (sum(node.held for node in nodes) - sum(node.held for node in roots),
+                    sum(node.held_linked for node in nodes) - sum(node.held_linked for node in roots))
+
+        above, wide = roots, None
+        while above[0].parent is not None:
+            if above[0].tag == "article":
+                return above
+            if above[0].tag == "main":
+                text, linked = added(above)
+                wide = above if linked <= LINKED_SHARE * text else None
+                break
+            above = parents(above)
+        if wide is not None:
+            return wide
+        core = sum(node.held - node.held_linked for node in roots)
+        numbers = {node.number for node in roots}
+        wide = roots
+        while wide[0].tag not in ("main", "body") and wide[0].parent is not None:
+            above = parents(wide)
+            text, linked = added(above)
+            if linked > LINKED_SHARE * text or 2 * (text - linked) > core:
+                break
+            if above[0].tag in ("body", "html", "#") and text and not self.only_direct(above, numbers | {n.number for n in wide}):
+                break
+            wide = above
+        return wide
+
+    def only_direct(self, nodes: list[Node], known: set[int]) -> bool:
+        """Whether all text of ``nodes`` is in the ``known`` elements or in no container of its own."""
+        tops = {node.number for node in nodes}
+        seen: dict[int, bool] = {}
+        for block, _, _ in self.blocks:
+            chain, node, good = [], block, True
+            while node is not None and node.number not in tops and node.number not in known:
+                if node.number in seen:
+                    good = seen[node.number]
+                    break
+                chain.append(node.number)
+                if node.tag in CONTAINER:
+                    good = False
+                    break
+                node = node.parent
+            for number in chain:
+                seen[number] = good
+            if not good:
+                return False
+        return True
+
     def under(self, path: str) -> str:
-        """The blocks of all elements on a path, in page order."""
+        """The blocks of all elements on a path and of what belongs to them, in page order."""
+        roots = {node.number for node in self.widened([node for node in self.nodes if node.path == path and not node.skip])}
         inside: dict[int, bool] = {}
 
         def within(node: Node | None) -> bool:
             chain = []
             while node is not None and node.number not in inside:
                 chain.append(node)
-                if node.path == path:
+                if node.number in roots:
                     break
                 node = node.parent
-            answer = node is not None and (inside.get(node.number) or node.path == path)
+            answer = node is not None and (inside.get(node.number) or node.number in roots)
             for passed in chain:
                 inside[passed.number] = answer
             return answer

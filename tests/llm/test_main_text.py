@@ -78,3 +78,16 @@ def test_loose_signs_do_not_drop_the_text(spark):
     kept = f"<body><article>{story}<figure><img src=a><figcaption>a caption</figcaption></figure></article></body>"
     dropped = f"<body><article>{story}</article><div hidden>{story}</div><div class=comments><article>{story * 2}</article></div></body>"
     assert texts_of(spark, kept, dropped, "<div hidden>gone</div>") == [f"{text}\na caption", text, ""]
+
+
+def test_heading_and_lead_outside_the_inner_body(spark):
+    body = "<p>" + "long text of the body " * 40 + "</p>"
+    want = "A title\nA lead\n" + ("long text of the body " * 40).strip()
+    links = "<ul>" + "<li><a href=x>another page</a></li>" * 9 + "</ul>"
+    head = "<h1>A title</h1><p>A lead</p>"
+    pages = [f"<body><article>{head}<div class=body>{body}</div></article>{links}</body>",
+             f"<body><div class=a><article><div class=x>{head}</div><section>{body}</section></article></div>{links}</body>",
+             f"<body><div class=nav>{links}</div><main>{head}<div class=body>{body}</div></main></body>",
+             f"<body><div class=post>{head}<div class=body>{body}</div></div><div class=more>{links}</div></body>",
+             f"<body>{head}<div class=body>{body}</div></body>"]
+    assert texts_of(spark, *pages) == [want] * len(pages)
