@@ -1,10 +1,11 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule compares one figure of a document with a cutoff.  Per stratum (language) the cutoff is chosen on labelled
-documents: going from lenient to strict, a cutoff is accepted while the exact binomial bound says that the share of
-good documents it rejects is at most ``risk`` per rule.  The sequence stops at its first failure, so no correction is
-needed inside it; over rules and strata the error level is split evenly (Bonferroni).  With probability 1 - error
-no rule of any stratum rejects more than its share of good documents.  A stratum with too few labels gets no cutoff.
+Each rule compares one figure of a document with a cutoff.  Per stratum (language) the cutoffs are chosen together on
+labelled documents: all rules are tightened step by step, at a pace that documents without a label set (at each step a rule may
+reject a share of them), so that no rule holds up the others.  A step is accepted while the exact binomial bound says that the share of good documents which any rule rejects is at most ``risk``.  The sequence
+stops at its first failure, so no correction is needed inside it or over rules; over strata the error level is split
+evenly (Bonferroni).  With probability 1 - error no stratum loses more than its share of good documents.  A stratum
+needs some 220 good labels (of four) for a first step; one with fewer gets no cutoff.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ SYMBOLS = "[#*$%&|<>]+"
 RISK = 0.02
 ERROR = 0.05
 WINDOW = 5
+STEPS = 48
 
 
 @dataclass(frozen=True)
@@ -107,27 +109,72 @@ def level(rule: Rule) -> Column:
     return F.size(F.filter(grid, lambda cut: figure <= cut if rule.high else figure >= cut))
 
 
-def cutoffs(labelled: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """One row per stratum with the accepted cutoff of each rule (null: none), from good documents' figures."""
-    levels = []
-    for number, rule in enumerate(RULES):
-        levels.append(F.struct(F.lit(number).alias("rule"), level(rule).alias("level"), F.lit(len(rule.grid)).alias("steps")))
-    # A document is rejected from its level on: counts per level, summed up over levels.
-    counts = labelled.select("_stratum", F.explode(F.array(*levels)).alias("_l")).select("_stratum", "_l.*").groupBy(
-        "_stratum", "rule", "steps", "level").agg(F.count("*").alias("_n"))
-    whole = counts.groupBy("_stratum", "rule", "steps").agg(
-        F.sum("_n").alias("_good"), F.map_from_entries(F.collect_list(F.struct("level", "_n"))).alias("_at"))
+def share_at(step: int) -> float:
+    """What share of the documents without a label a rule may reject at a step: all at the last one."""
+    return ((step + 1) / STEPS) ** 2
+
+
+def even_pace(rule: Rule) -> Column:
+    """The pace where all documents have labels: cutoffs used at each step, by the length of the grid."""
+    return F.array(*[F.lit(int(share_at(step) * len(rule.grid))) for step in range(STEPS)])
+
+
+def paces(unlabelled: DataFrame) -> DataFrame:
+    """One row per stratum: of each rule, how many cutoffs of its grid are used at each step."""
+    levels = [F.struct(F.lit(number).alias("rule"), level(rule).alias("level")) for number, rule in enumerate(RULES)]
+    counts = unlabelled.select("_stratum", F.explode(F.array(*levels)).alias("_l")).select("_stratum", "_l.*").groupBy(
+        "_stratum", "rule", "level").agg(F.count("*").alias("_n"))
+    whole = counts.groupBy("_stratum", "rule").agg(
+        F.sum("_n").alias("_all"), F.array_sort(F.collect_list(F.struct("level", "_n"))).alias("_at"))
+    # A cutoff i rejects the documents of level i and below; used are those before the first that rejects too many.
+    so_far = F.transform("_at", lambda x, i: F.struct(x["level"].alias("level"), F.aggregate(
+        F.slice("_at", 1, i + 1), F.lit(0).cast("bigint"), lambda done, y: done + y["_n"]).alias("sum")))
+
+    def used_at(step: int) -> Column:
+        over = F.filter("_so_far", lambda x: x["sum"] > share_at(step) * F.col("_all"))
+        return F.coalesce(F.array_min(F.transform(over, lambda x: x["level"])), F.lit(1_000))
+
+    used = F.array(*[used_at(step) for step in range(STEPS)])
+    def capped(most: int) -> Column:
+        return F.transform("_used", lambda x: F.least(x, F.lit(most)))
+
+    paced = whole.withColumn("_so_far", so_far).withColumn("_used", used)
+    return paced.groupBy("_stratum").agg(*[
+        F.max(F.when(F.col("rule") == number, capped(len(rule.grid)))).alias(f"_pace_{rule.name}")
+        for number, rule in enumerate(RULES)])
+
+
+def cutoffs(labelled: DataFrame, unlabelled: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """One row per stratum with the cutoff of each rule at the last accepted step (null: none), from good documents'
+    figures."""
+    pace = materialise(paces(unlabelled), "paces")
+    # Written down, else each step would count the cutoffs again.
+    levels = materialise(labelled.select("doc_id", "_stratum", *[level(r).alias(f"_level_{r.name}") for r in RULES]), "levels")
+    paced = join_figures(levels, pace, "_stratum", F.col("doc_id"))
+
+    def first_step(rule: Rule) -> Column:
+        pace_of = F.coalesce(f"_pace_{rule.name}", even_pace(rule))
+        return F.size(F.filter(pace_of, lambda used: used <= F.col(f"_level_{rule.name}")))
+
+    steps = [first_step(rule) for rule in RULES]
+    # A document is rejected from the first step of any rule on: counts per step, summed up over steps.
+    firsts = paced.select("_stratum", F.least(*steps).alias("_first"))
+    counts = firsts.groupBy("_stratum", "_first").agg(F.count("*").alias("_n"))
+    whole = counts.groupBy("_stratum").agg(
+        F.sum("_n").alias("_good"), F.map_from_entries(F.collect_list(F.struct("_first", "_n"))).alias("_at"))
     n_tests = max(1, whole.count())
-    cut = whole.select("_stratum", "rule", "_good", "_at", F.explode(F.sequence(F.lit(0), F.col("steps") - 1)).alias("step"))
+    cut = whole.select("_stratum", "_good", "_at", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step"))
     rejected = F.aggregate(F.sequence(F.lit(0), F.col("step")), F.lit(0).cast("bigint"),
                            lambda s, i: s + F.coalesce(F.try_element_at("_at", i), F.lit(0).cast("bigint")))
     tested = cut.withColumn("_bad", rejected).withColumn(
-        "_fails", binomial_tail(F.col("_good").cast("double"), F.col("_bad").cast("int"), risk / len(RULES)) > error / n_tests)
-    chosen = tested.groupBy("_stratum", "rule").agg(
-        F.coalesce(F.min(F.when(F.col("_fails"), F.col("step"))), F.max("step") + 1).alias("_accepted"))
-    values = [F.max(F.when(F.col("rule") == number, F.get(F.array(*[F.lit(x) for x in rule.grid]), F.col("_accepted") - 1)))
-              .alias(f"_cut_{rule.name}") for number, rule in enumerate(RULES)]
-    return chosen.groupBy("_stratum").agg(*values)
+        "_fails", binomial_tail(F.col("_good").cast("double"), F.col("_bad").cast("int"), risk) > error / n_tests)
+    chosen = tested.groupBy("_stratum").agg(
+        F.coalesce(F.min(F.when(F.col("_fails"), F.col("step"))), F.lit(STEPS)).alias("_accepted"))
+    known = join_figures(chosen, pace, "_stratum", F.col("_accepted"))
+    return known.select("_stratum", *[
+        F.get(F.array(*[F.lit(x) for x in rule.grid]), F.get(
+            F.coalesce(f"_pace_{rule.name}", even_pace(rule)), F.col("_accepted") - 1) - 1).alias(f"_cut_{rule.name}")
+        for rule in RULES])
 
 
 def quality(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
@@ -140,7 +187,9 @@ def quality(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float
     measured = materialise(figures(docs), "figures")
     good = labels.groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("_quality")).where("_quality = 1")
     labelled = measured.where("n_words >= 10").join(good, F.col("doc_id") == F.col("_labelled"), "left_semi")
-    chosen = materialise(cutoffs(labelled, risk, error), "cutoffs")
+    unlabelled = measured.where("n_words >= 10 and 100 * n_repeat_words <= 20 * n_words").join(
+        labels.select(F.col("doc_id").alias("_labelled")), F.col("doc_id") == F.col("_labelled"), "left_anti")
+    chosen = materialise(cutoffs(labelled, unlabelled, risk, error), "cutoffs")
     fires = F.lit(False)
     for rule in RULES:
         cut, figure = F.col(f"_cut_{rule.name}"), F.expr(rule.figure)

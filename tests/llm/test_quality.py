@@ -59,3 +59,14 @@ def test_cutoffs_reject_junk_and_hold_the_risk(spark):
         F.avg(F.col("kept").cast("int")).alias("share")).collect()
     share = {r.junk: r.share for r in kept}
     assert share[True] == 0 and share[False] >= 0.98
+
+
+def test_a_few_hundred_labels_certify_cutoffs(spark):
+    docs = spark.range(4_000).selectExpr(
+        "id as doc_id", "if(id % 2 = 0, 'de', 'fr') as lang",
+        "array_join(transform(sequence(1, 30), i -> concat('word', pmod(xxhash64(id, i), 997), if(id % 5 = 0, '$$$', ''))), ' ') as text")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 5 = 0, 0, 1) as quality").where("doc_id < 800")
+    kept = quality(docs, labels).groupBy((F.col("doc_id") % 5 == 0).alias("junk")).agg(
+        F.avg(F.col("kept").cast("int")).alias("share")).collect()
+    share = {r.junk: r.share for r in kept}
+    assert share[True] == 0 and share[False] >= 0.98
