@@ -21,6 +21,7 @@ from recordloom.functions import text as tx
 from recordloom.functions.similarity import equality_similarity, field_similarity
 from recordloom.operators.balance import salted_join, tiled_join
 from recordloom.operators.ordering import dense_index
+from recordloom.operators.similar import similar_pairs
 from recordloom.session import materialise
 
 STRONG_PHONE, STRONG_NAME = 95.0, 92.0
@@ -29,6 +30,8 @@ REASON_EMAIL = "exact_email_match"
 NO_PROVINCE = "{'wilaya"
 SLACK = 1e-9
 MOST_DELETIONS = 3
+# Of the points that name and e-mail may lose together, the part that the e-mail index covers.
+EMAIL_SHARE = 0.15
 
 
 def strong_signal(left: dict[str, Column], right: dict[str, Column]) -> Column:
@@ -148,10 +151,36 @@ class Bounds:
     def needs(self, name: str) -> bool:
         return self.least(name) is not None
 
+    @property
+    def loss(self) -> float:
+        """Points that the fields of an accepted pair may lose together."""
+        return 100.0 * sum(self.weights.values()) - self.threshold
+
+    @property
+    def phone_loss(self) -> float:
+        """Points up to which a lost phone similarity is looked for under phone keys.
+
+        A pair without e-mail loses no more; where none can be accepted, a third of what there is.
+        """
+        without_mail = self.loss - 100.0 * self.weights["email"]
+        return without_mail if without_mail >= 0 else self.loss / 3
+
+    def least_text(self) -> dict[str, float]:
+        """Least similarities of name and e-mail one of which a pair reaches whose phones lose more than ``phone_loss``.
+
+        What is left of the points is dealt over the two, and they cannot both lose more than their part.  Nothing is
+        left where phones alone decide.
+        """
+        left = self.loss - self.phone_loss
+        if left <= 0:
+            return {}
+        parts = {"name": 1 - EMAIL_SHARE, "email": EMAIL_SHARE}
+        parts = {name: part for name, part in parts.items() if self.weights[name] > 0}
+        return {name: 100.0 - left * part / sum(parts.values()) / self.weights[name] for name, part in parts.items()}
+
     def phone_distance(self, total: Column) -> Column:
-        """Most characters by which phones of ``total`` length together differ in an accepted pair without e-mail."""
-        budget = 100.0 * (sum(self.weights.values()) - self.weights["email"]) - self.threshold
-        return F.floor((budget + SLACK) * total / (100.0 * self.weights["phoneNumber"])).cast("int")
+        """Most characters by which phones of ``total`` length together differ when they lose ``phone_loss`` points."""
+        return F.floor((self.phone_loss + SLACK) * total / (100.0 * self.weights["phoneNumber"])).cast("int")
 
 
 def match_rows(df: DataFrame, bounds: Bounds, missing_dob_matches: bool = False) -> DataFrame:
@@ -193,8 +222,8 @@ def _cells(tuples: DataFrame, bounds: Bounds) -> DataFrame:
     """Join cells: (date of birth, block), and (date of birth, *) where blank blocks meet all others."""
     dob = F.coalesce(F.col("DOB"), F.lit("-")) if bounds.needs("DOB") else F.lit("")
     blank = F.col("block") == ""
-    own = F.struct(F.concat_ws("|", dob, F.lit("="), F.col("block")).alias("cell"), F.lit(True).alias("leads"))
-    star = F.struct(F.concat_ws("|", dob, F.lit("*")).alias("cell"), blank.alias("leads"))
+    own = F.struct(F.concat_ws("|", dob, F.lit("="), F.col("block")).alias("cell"), F.lit(True).alias("leads"), F.lit(True).alias("own"))
+    star = F.struct(F.concat_ws("|", dob, F.lit("*")).alias("cell"), blank.alias("leads"), F.lit(False).alias("own"))
     return tuples.select("*", F.inline(F.when(blank, F.array(star)).otherwise(F.array(own, star))))
 
 
@@ -228,56 +257,78 @@ def _phone_keys(bounds: Bounds, lengths: Column) -> Column:
         variants = F.when(F.greatest(own, theirs) > MOST_DELETIONS, F.array(F.lit("*")))
         for count in range(MOST_DELETIONS + 1):
             variants = variants.when(own == count, _deletions(F.col("phoneNumber"), count))
-        made = F.transform(variants, lambda v: F.struct(
-            F.concat_ws("|", F.col("cell"), F.lit("p"), *lengths, v).alias("key"), F.lit(True).alias("by_phone")))
-        return F.when(gap <= most, made).otherwise(F.array().cast("array<struct<key:string,by_phone:boolean>>"))
+        made = F.transform(variants, lambda v: F.concat_ws("|", F.col("cell"), F.lit("p"), *lengths, v))
+        return F.when(gap <= most, made).otherwise(F.array().cast("array<string>"))
 
     return F.flatten(F.transform(lengths, keys))
 
 
+def _side(rows: DataFrame, side: str, *keys: str) -> DataFrame:
+    """``keys`` and what the scores need of a tuple, named for one side of a pair."""
+    renamed = {"id": "id", "n": "n", "block": "block", "name": "name", "phoneNumber": "phoneNumber", "DOB": "DOB", "email": "email",
+               "email_ok": "mail"}
+    return rows.select(*keys, *[F.col(c).alias(f"{side}_{name}") for c, name in renamed.items()])
+
+
+def _similar_in_cells(cells: DataFrame, name: str, least: float, settings: Settings) -> DataFrame:
+    """Pairs of tuples of one cell that lead to a similarity of ``least`` or more in the field ``name``."""
+    cells = cells.where(F.col(name) != "")
+    leads = cells.where("leads").select(F.col("cell").alias("group"), F.col(name).alias("text"), F.col("own").alias("half")).distinct()
+    texts = cells.select(F.col("cell").alias("group"), F.col(name).alias("text")).distinct()
+    near = similar_pairs(leads, texts, least, settings.tile_rows)
+    # In a cell of its own each pair came out once; equal texts meet themselves.
+    own = leads.where("half").select("group").distinct()
+    turned = near.join(own, "group", "left_semi").select("group", F.col("b").alias("a"), F.col("a").alias("b"))
+    equal = leads.select("group", F.col("text").alias("a"), F.col("text").alias("b"))
+    near = near.unionByName(turned).unionByName(equal).select(
+        F.struct("group", "a").alias("_a"), F.struct("group", "b").alias("_b"))
+    first = _side(cells.where("leads").withColumn("_a", F.struct(F.col("cell").alias("group"), F.col(name).alias("a"))), "l", "_a")
+    second = _side(cells.withColumn("_b", F.struct(F.col("cell").alias("group"), F.col(name).alias("b"))), "r", "_b")
+    half = tiled_join(materialise(near, f"near-{name}"), first, "_a", "_b", "l_id", settings.tile_rows)
+    return tiled_join(half, second, "_b", "l_id", "r_id", settings.tile_rows).drop("_a", "_b")
+
+
 def candidate_pairs(tuples: DataFrame, bounds: Bounds, settings: Settings) -> DataFrame:
     """Pairs of tuples that may reach the threshold; none that does is missing.
 
-    Cells up to ``bucket_rows`` tuples are joined as they are.  In larger cells two tuples of which
-    one has no e-mail must have phones within a few characters of each other, so they meet on the
-    phone with that many characters deleted, by classes of lengths; only tuples that both have an
-    e-mail fall back to tiles of the cell.
+    Cells up to ``bucket_rows`` tuples are joined as they are.  In larger cells tuples meet on the phone with a few
+    characters deleted, by classes of lengths: a pair of which one has no e-mail cannot afford more.  A pair with both e-mails and phones
+    farther apart has used up so many points that its names, or its e-mails, must be similar; those are found by an index of their
+    rarest letter pairs over the distinct texts of the cell.
     """
     cells = _cells(tuples, bounds).withColumn("email_ok", F.coalesce(F.col("email") != "", F.lit(False)))
+    meeting, similar = [], []
     if not bounds.needs("phoneNumber"):
-        keyed = cells.withColumn("key", F.col("cell")).withColumn("by_phone", F.lit(False))
+        keyed = cells.withColumn("key", F.col("cell"))
     else:
         large = (
             cells.groupBy("cell")
             .agg(F.count("*").alias("_size"), F.collect_set(F.length("phoneNumber")).alias("_lengths"))
             .where(F.col("_size") > settings.bucket_rows).drop("_size")
         )
-
-        def one_key(kind: str) -> Column:
-            return F.struct(
-                F.concat_ws("|", F.col("cell"), F.lit(kind)).alias("key"), F.lit(False).alias("by_phone")
-            )
-
-        mails = F.filter(F.array(one_key("e")), lambda _: F.col("email_ok"))
-        keys = F.when(F.col("_lengths").isNotNull(), F.concat(_phone_keys(bounds, F.col("_lengths")), mails)).otherwise(
-            F.array(one_key("c")))
+        large = materialise(large, "large-cells")
+        keys = F.when(F.col("_lengths").isNotNull(), _phone_keys(bounds, F.col("_lengths"))).otherwise(
+            F.array(F.concat_ws("|", F.col("cell"), F.lit("c"))))
         # Few cells are large; Spark broadcasts the list only when its measured size allows that.
-        keyed = cells.join(large, "cell", "left").select("*", F.inline(keys)).drop("_lengths")
-
-    names = ("name", "phoneNumber", "DOB", "email")
-    left = keyed.where("leads").select(
-        "key", "by_phone", F.col("id").alias("l_id"), F.col("n").alias("l_n"), F.col("block").alias("l_block"),
-        F.col("email_ok").alias("l_mail"), *[F.col(c).alias(f"l_{c}") for c in names]
-    )
-    right = keyed.select(
-        "key", F.col("id").alias("r_id"), F.col("n").alias("r_n"), F.col("block").alias("r_block"),
-        F.col("email_ok").alias("r_mail"), *[F.col(c).alias(f"r_{c}") for c in names]
-    )
+        keyed = cells.join(large, "cell", "left").withColumn("key", F.explode(keys)).drop("_lengths")
+        if not large.isEmpty():
+            mails = materialise(cells.where("email_ok").join(large.select("cell"), "cell", "left_semi"), "large-mails")
+            least = bounds.least_text()
+            if least and min(least.values()) <= 0:
+                # A field that may be lost altogether forces nothing: such weights leave the cell whole.
+                meeting.append(mails.withColumn("key", F.concat_ws("|", F.col("cell"), F.lit("e"))))
+            else:
+                similar = [_similar_in_cells(mails, name, bound, settings) for name, bound in least.items()]
+
+    for rows in (keyed, *meeting):
+        similar.append(tiled_join(_side(rows.where("leads"), "l", "key"), _side(rows, "r", "key"), "key", "l_id", "r_id",
+                                  settings.tile_rows).drop("key"))
+    pairs = similar[0]
+    for more in similar[1:]:
+        pairs = pairs.unionByName(more)
     # In a star cell a blank leads; two leads meet twice and are kept once.
     once = (F.col("l_id") < F.col("r_id")) | ((F.col("l_block") == "") & (F.col("r_block") != ""))
-    pairs = tiled_join(left, right, "key", "l_id", "r_id", settings.tile_rows).where(once & (F.col("l_id") != F.col("r_id")))
-    # Phone keys serve pairs with an e-mail missing; the others meet in the e-mail tiles.
-    pairs = pairs.where(~F.col("by_phone") | ~(F.col("l_mail") & F.col("r_mail")))
+    pairs = pairs.where(once & (F.col("l_id") != F.col("r_id")))
     # Cheap upper bounds in generated code, so that few pairs reach the similarity function.
     best = F.lit(100.0 * (settings.duplicate_weights["DOB"]))
     best = best + F.when(F.col("l_mail") & F.col("r_mail"), 100.0 * settings.duplicate_weights["email"]).otherwise(0.0)

@@ -1,8 +1,11 @@
 """Files and grids."""
 
 import json
+import random
+from contextlib import contextmanager
 
 import pytest
+from pyspark.sql import functions as F
 
 from recordloom.sources import delimited, grid, json_records, lookups
 
@@ -22,6 +25,75 @@ def test_encodings_layouts_and_line_breaks(spark, tmp_path):
     assert [tuple(r) for r in c.collect()] == [("1", 'two\nlines, and "quotes"'), ("2", "")]
 
 
+def read(spark, path, **how):
+    return [tuple(r) for r in delimited.read_csv_text(spark, str(path), **how).collect()]
+
+
+def test_no_projection_hides_a_record_with_more_fields(spark, tmp_path):
+    path = tmp_path / "extra.csv"
+    for text in ("name,email\nAli,a@x.dz\nB,b@x.dz,EXTRA\n", 'name,email\n"A\nli",a@x.dz\nB,b@x.dz,\n', 'name,email\n5" x,6" y,"z"\n'):
+        path.write_text(text)
+        rows = delimited.read_csv_text(spark, str(path))
+        for plan in (rows, rows.select("email"), rows.groupBy().count(), rows.select(F.lit(1))):
+            with pytest.raises(Exception, match="more fields than the 2 headers"):
+                plan.collect()
+        with pytest.raises(Exception, match="more fields than the 2 headers"):
+            rows.count()
+    path.write_text('name,email,tel\nAli\n"B ""b"", x",,\n')
+    assert read(spark, path) == [("Ali", "", ""), ('B "b", x', "", "")]
+
+
+def test_quotes_inside_cells_do_not_join_lines(spark, tmp_path):
+    """A quote that does not start a cell is an ordinary character, and the file stays in pieces."""
+    path = tmp_path / "inch.csv"
+    path.write_text("size,note\n" + "".join(f'{i}" pipe,n{i}\n' if i % 1_000 == 0 else f"{i},n{i}\n" for i in range(100_000)))
+    with several_pieces(spark, 100_000):
+        rows = delimited.read_csv_text(spark, str(path))
+        assert rows.rdd.getNumPartitions() > 4 and rows.count() == 100_000
+        assert rows.where("note = 'n2000'").first()["size"] == '2000" pipe'
+
+
+@contextmanager
+def several_pieces(spark, size):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, str(size))
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_records_over_lines_and_pieces_of_a_file(spark, tmp_path):
+    """Cells with breaks of all kinds, read in pieces of any size, equal what Python's own reader finds, in order."""
+    rnd = random.Random(3)
+    cells = ["plain", "two\nlines", "dos\r\nbreak", 'a "quoted", word', "", "\n\n", "é€", "x" * 70, 'mid"quote', "tail\r"]
+    rows = [[rnd.choice(cells) for _ in range(3)] for _ in range(40)]
+
+    def written(cell):
+        return cell if cell in ("plain", "", 'mid"quote', "é€") else '"' + cell.replace('"', '""') + '"'
+
+    for end, mark in (("\n", ""), ("\r\n", "\ufeff")):
+        text = mark + end + '"first\nheader",b,c' + end + "".join(",".join(map(written, r)) + end + (end if i % 7 == 0 else "") for i, r in enumerate(rows))
+        path = tmp_path / f"folder {len(end)}"
+        path.mkdir()
+        (path / "with space, é 100%.csv").write_bytes(text.encode())
+        want = [tuple(c.strip() for c in r) for r in rows if any(map(written, r))]
+        for size in (90, 1_000_000):
+            with several_pieces(spark, size):
+                found = delimited.read_csv_text(spark, str(path), with_origin=True)
+                assert found.columns[:3] == ["first\nheader", "b", "c"]
+                got = sorted((tuple(r) for r in found.collect()), key=lambda r: r[3:])
+            assert [g[:3] for g in got] == want
+
+
+def test_a_cell_that_is_never_closed_is_an_error(spark, tmp_path):
+    (tmp_path / "open.csv").write_text('a,b\n1,"x\n2,y\n')
+    with pytest.raises(ValueError, match="not closed"):
+        delimited.read_csv_text(spark, str(tmp_path / "open.csv"))
+
+
 def test_json_shapes(spark, tmp_path):
     (tmp_path / "list.json").write_text(json.dumps([{"a": 1, "m": {"x": "y"}}, {"a": None, "m": {"x": "z"}}]))
     rows = json_records.read_json_records(spark, str(tmp_path / "list.json")).collect()
