@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from recordloom.operators.balance import salted_join
 from recordloom.session import materialise
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 TOP_SALTS = 64
 # Ends of pieces become one full stop, a tab a space; A-Z are lowered before.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
