@@ -29,7 +29,7 @@ CHUNK = 512
 NODE = ["depth", "d1", "d2"]
 
 
-def root() -> Column:
+def beginning() -> Column:
     return F.struct(*[F.lit(0).cast("bigint").alias(c) for c in NODE])
 
 
@@ -150,7 +150,7 @@ def summed_up(nodes: DataFrame, turns: DataFrame, deepest: int) -> DataFrame:
         # The beginning of a node's own smallest conversation, 2**k turns shorter, is its ancestor there.
         above = turns.select("conv_id", (F.col("pos") + reach).alias("_depth"), node("pos", "d1", "d2").alias("_above"))
         below = nodes.where(F.col("node.depth") >= reach).select("node", "conv_id", "n_leaves", "saved_tokens", F.col("node.depth").alias("_depth"))
-        lifted = below.join(above, ["conv_id", "_depth"], "left").withColumn("_above", F.coalesce("_above", root()))
+        lifted = below.join(above, ["conv_id", "_depth"], "left").withColumn("_above", F.coalesce("_above", beginning()))
         added = lifted.groupBy(F.col("_above").alias("node")).agg(
             F.sum("n_leaves").alias("_leaves"), F.sum("saved_tokens").alias("_saved"))
         nodes = nodes.join(added, "node", "left").withColumn("n_leaves", F.col("n_leaves") + F.coalesce("_leaves", F.lit(0)))
@@ -169,7 +169,7 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame, block: int = BLOCK)
     turns = materialise(digested(turns), "turns")
     nodes = materialise(turn_nodes(turns, block), "nodes")
     root = conversations.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0").select(
-        root().alias("node"), F.lit(None).cast(nodes.schema["parent"].dataType).alias("parent"), "conv_id", "n_convs",
+        beginning().alias("node"), F.lit(None).cast(nodes.schema["parent"].dataType).alias("parent"), "conv_id", "n_convs",
         F.lit(0).cast("bigint").alias("size"))
     nodes = nodes.unionByName(root)
     children = nodes.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
@@ -180,7 +180,7 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame, block: int = BLOCK)
     nodes = summed_up(nodes, turns, nodes.agg(F.max("node.depth")).first()[0] or 0)
 
     ended = turns.join(conversations, "conv_id").where("pos = total").select(node("pos", "d1", "d2").alias("node"), "conv_id").union(
-        conversations.where("total = 0").select(root().alias("node"), "conv_id"))
+        conversations.where("total = 0").select(beginning().alias("node"), "conv_id"))
     nodes = nodes.join(ends_digest(ended), "node", "left").withColumn(
         "ends_sha256", F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())))
     above = nodes.where("n_children > 0").select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"), F.col("n_children").alias("_n"))

@@ -33,12 +33,13 @@ LABEL = 63
 @dataclass(frozen=True)
 class UrlFilter:
     """Rules (verdict, host and path) that decide alone, words that make a host an example of the blocked class, the longest
-    word of the unigram model, how often a seed word counts at least (a share of all words), and the model's size."""
+    word of the unigram model, how often a seed word counts at least (a share of all words), how many words of the whole smooth each class, and the model's size."""
 
     rules: tuple[tuple[str, str], ...] = RULES
     seeds: tuple[str, ...] = SEED_WORDS
     longest: int = 24
     seed_share: float = 1e-5
+    smoothing: float = 100.0
     buckets: int = 1 << 18
 
 
@@ -144,7 +145,7 @@ def buckets_of(words: list[str], how: UrlFilter) -> np.ndarray:
 
 
 def log_odds(urls: DataFrame, how: UrlFilter) -> tuple[float, np.ndarray]:
-    """Prior and weight of each bucket: how much likelier its words are in the blocked class, smoothed by one.
+    """Prior and weight of each bucket: how much likelier its words are in the blocked class.
 
     Tasks count their own rows; what they send is bounded by the size of the model, as is what the driver gets.
     """
@@ -166,9 +167,12 @@ def log_odds(urls: DataFrame, how: UrlFilter) -> tuple[float, np.ndarray]:
     counts = np.zeros((2, how.buckets + 1))
     counts[0][found["bucket"].to_numpy()], counts[1][found["bucket"].to_numpy()] = found["allowed"], found["blocked"]
     (allowed, blocked), words = counts[:, -1], counts[:, :-1]
-    seen = np.count_nonzero(words.any(axis=0))
-    likely = np.log(words + 1) - np.log(words.sum(axis=1, keepdims=True) + seen + 1)
-    weights = np.where(words.any(axis=0), likely[1] - likely[0], 0.0)
+    # Each class is given some words of the whole beforehand, so what was seen too seldom to tell says next to nothing.
+    whole = how.smoothing * words.sum(axis=0) / max(words.sum(), 1.0)
+    likely = (words + whole) / (words.sum(axis=1, keepdims=True) + how.smoothing)
+    seen = whole > 0
+    weights = np.zeros(how.buckets)
+    weights[seen] = np.log(likely[1][seen]) - np.log(likely[0][seen])
     return math.log((blocked + 1) / (allowed + 1)), weights
 
 
