@@ -7,8 +7,9 @@ that was not proposed gets its exact count.  Where a phrase of the border is fre
 the proposed ones, and a further pass counts what only now has both parts proposed, until no border fails.  A
 frequent phrase has frequent parts, so none can be left uncounted at the end, whatever the sample was.
 
-Proposed phrases are kept as a bitmap of fixed size.  Phrases that share a bit with a proposed one are counted as
-well, exactly; a full bitmap only means more counting, never another result.
+These passes count 64-bit keys of phrases.  A last one counts, and names, the phrases whose key is frequent, text by text, so keys that
+two phrases share change nothing.  Sets of keys are bitmaps of fixed size: phrases that share a bit with a member are counted as
+well; a full bitmap only means more counting, never another result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from recordloom.operators.balance import salted_join
 from recordloom.session import materialise
 
 BLOCK_BYTES = 1 << 20
+ROWS_AT_ONCE = 512
 TOP_SALTS = 64
 # Ends of pieces become one full stop, a tab a space; A-Z are lowered before.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -69,10 +71,11 @@ class Block:
                   for word in coded.dictionary.view(pa.binary()).to_pylist()]
         ids = np.array(hashes, np.uint64)[coded.indices.to_numpy()]
         word = ids != 0
-        keys, whole = mixed(ids ^ np.uint64(lang)), word
+        keys, whole = mixed(ids ^ np.uint64(lang)) & ~np.uint64(7) | np.uint64(1), word
         self.keys, self.whole = [keys], [whole]
         for length in range(2, min(longest, len(ids)) + 1):
-            keys = mixed(keys[:-1] ^ (ids[length - 1:] * np.uint64(0xC2B2AE3D27D4EB4F)))
+            # A key ends with the number of its words.
+            keys = mixed(keys[:-1] ^ (ids[length - 1:] * np.uint64(0xC2B2AE3D27D4EB4F))) & ~np.uint64(7) | np.uint64(length)
             whole = whole[:-1] & word[length - 1:]
             self.keys.append(keys), self.whole.append(whole)
 
@@ -125,8 +128,8 @@ def sliced(text: bytes, lang: int, longest: int) -> Iterator[Block]:
         start, carried = end, tokens.slice(max(0, len(tokens) - longest + 1))
 
 
-class Proposed:
-    """A set of phrases as a bitmap; it may hold more than was put in."""
+class Keys:
+    """A set of keys as a bitmap; it may hold more than was put in."""
 
     def __init__(self, keys: DataFrame, bits: int):
         self.bits = bits
@@ -152,67 +155,83 @@ class Proposed:
 
 
 def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, int, list[bytes]]]:
-    texts: dict[str, list[bytes]] = {}
-    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
-        texts.setdefault(lang, []).append(text.as_py())
-    for lang, own in texts.items():
-        yield lang, xxhash.xxh3_64_intdigest(lang.encode()), own
+    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+        part = batch.slice(at, ROWS_AT_ONCE)
+        texts: dict[str, list[bytes]] = {}
+        for lang, text in zip(part.column("lang").to_pylist(), part.column("text").cast(pa.binary())):
+            texts.setdefault(lang, []).append(text.as_py())
+        for lang, own in texts.items():
+            yield lang, xxhash.xxh3_64_intdigest(lang.encode()), own
 
 
-def sample_keys(texts: DataFrame, how: Phrases) -> DataFrame:
-    """(key, n) of the phrases of the sample, one word shorter than the longest at most."""
+def key_counts(texts: DataFrame, longest: int, chosen) -> DataFrame:
+    """(key, n) of the phrases at the places that ``chosen`` (block, length) names in each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, seed, own in by_language(batch):
-                for block in blocks(own, seed, how.longest - 1):
-                    keys = np.concatenate([k[block.new(i + 1)] for i, k in enumerate(block.keys)])
-                    keys, n = np.unique(keys, return_counts=True)
+                for block in blocks(own, seed, longest):
+                    keys = [k[chosen(block, i + 1)] for i, k in enumerate(block.keys)]
+                    keys, n = np.unique(np.concatenate(keys), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
 
-    chosen = F.pmod(F.xxhash64(F.lit(20240311), "doc_id", "text"), F.lit(how.sample_one_in)) == 0
-    found = texts.where(chosen).select("lang", "text").mapInArrow(run, "key bigint, n bigint")
-    return found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= how.sample_least).select("key")
+    found = texts.select("lang", "text").mapInArrow(run, "key bigint, n bigint")
+    return found.groupBy("key").agg(F.sum("n").alias("n"))
+
 
+def sample_keys(texts: DataFrame, how: Phrases) -> DataFrame:
+    """(key) of what the sample holds ``sample_least`` times, one word shorter than the longest at most."""
+    some = texts.where(F.pmod(F.xxhash64(F.lit(20240311), "doc_id", "text"), F.lit(how.sample_one_in)) == 0)
+    return key_counts(some, how.longest - 1, Block.new).where(F.col("n") >= how.sample_least).select("key")
 
-def counted(texts: DataFrame, how: Phrases, before: Proposed | None, now: Proposed) -> DataFrame:
-    """(lang, words, phrase, key, known, n) of the phrases whose parts ``now`` holds and ``before`` did not.
 
-    The first pass (``before`` is None) also counts the words, and their sum per language as the empty phrase.
+def counted(texts: DataFrame, how: Phrases, before: Keys | None, now: Keys) -> DataFrame:
+    """(key, n, failed) of frequent phrases whose parts ``now`` holds and ``before`` did not; the first pass counts words too.
+
+    One fails the border that ``now`` does not hold and that is short enough to have longer ones around it.
     """
 
-    def rows(block: Block, lang: str) -> Iterator[pa.RecordBatch]:
-        for length in range(1 if before is None else 2, len(block.keys) + 1):
-            chosen = block.new(length)
-            if length > 1:
-                chosen &= now.parts(block, length)
-                if before is not None:
-                    chosen &= ~before.parts(block, length)
-            at = np.flatnonzero(chosen)
-            if len(at):
-                keys, first, n = np.unique(block.keys[length - 1][at], return_index=True, return_counts=True)
-                yield batch_of(lang, length, block.phrases(at[first], length), keys, now.holds(keys), n)
-        if before is None and block.words:
-            yield batch_of(lang, 0, pa.array([""]), np.zeros(1, np.uint64), np.ones(1, bool), np.array([block.words]))
+    def chosen(block: Block, length: int) -> np.ndarray:
+        if length == 1:
+            return block.new(1) if before is None else np.zeros(len(block.keys[0]), bool)
+        found = block.new(length) & now.parts(block, length)
+        return found if before is None else found & ~before.parts(block, length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_numpy().view(np.uint64)
+            failed = ~now.holds(keys) & ((keys & np.uint64(7)) < how.longest)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(failed)], ["key", "n", "failed"])
+
+    frequent = key_counts(texts, how.longest, chosen).where(F.col("n") >= how.least)
+    return frequent.mapInArrow(run, "key bigint, n bigint, failed boolean")
+
+
+def named(texts: DataFrame, how: Phrases, frequent: Keys) -> DataFrame:
+    """(lang, words, phrase, n) of the phrases whose key is held, and each language's words as the empty phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, seed, own in by_language(batch):
                 for block in blocks(own, seed, how.longest):
-                    yield from rows(block, lang)
+                    yield batch_of(lang, 0, pa.array([""]), np.array([block.words]))
+                    for length in range(1, len(block.keys) + 1):
+                        keys = block.keys[length - 1]
+                        at = np.flatnonzero(block.new(length) & frequent.holds(keys))
+                        if len(at):
+                            # Within one block of a megabyte a key names one phrase (one block in millions holds two that share one).
+                            _, first, n = np.unique(keys[at], return_index=True, return_counts=True)
+                            yield batch_of(lang, length, block.phrases(at[first], length), n)
 
-    found = texts.select("lang", "text").mapInArrow(
-        run, "lang string, words int, phrase string, key bigint, known boolean, n bigint")
-    return found.groupBy("lang", "words", "phrase").agg(
-        F.first("key").alias("key"), F.first("known").alias("known"), F.sum("n").alias("n"))
+    found = texts.select("lang", "text").mapInArrow(run, "lang string, words int, phrase string, n bigint")
+    return found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
-def batch_of(lang: str, length: int, phrases: pa.Array, keys: np.ndarray, known: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def batch_of(lang: str, length: int, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
     size = len(phrases)
     return pa.RecordBatch.from_arrays(
-        [pa.repeat(pa.scalar(lang), size), pa.repeat(pa.scalar(length, pa.int32()), size), phrases,
-         pa.array(keys.view(np.int64)), pa.array(known), pa.array(n, pa.int64())],
-        ["lang", "words", "phrase", "key", "known", "n"])
+        [pa.repeat(pa.scalar(lang), size), pa.repeat(pa.scalar(length, pa.int32()), size), phrases, pa.array(n, pa.int64())],
+        ["lang", "words", "phrase", "n"])
 
 
 def frequent_phrases(docs: DataFrame, how: Phrases = Phrases()) -> DataFrame:
@@ -223,17 +242,18 @@ def frequent_phrases(docs: DataFrame, how: Phrases = Phrases()) -> DataFrame:
     texts = docs.select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
     proposed = materialise(sample_keys(texts, how), "proposed")
-    before, now, found = None, Proposed(proposed, how.filter_bits), None
+    before, now, frequent = None, Keys(proposed, how.filter_bits), None
     while True:
-        passed = counted(texts, how, before, now).where((F.col("words") == 0) | (F.col("n") >= how.least))
-        passed = materialise(passed, "counted")
-        found = passed if found is None else found.union(passed)
-        failed = passed.where(~F.col("known") & (F.col("words") < how.longest)).select("key")
+        # Bitmaps only grow, so each phrase is counted in one pass: the first that holds both its parts.
+        passed = materialise(counted(texts, how, before, now), "counted")
+        frequent = passed if frequent is None else frequent.union(passed)
+        failed = passed.where("failed").select("key")
         if failed.isEmpty():
-            # Bitmaps only grow, so each phrase was counted in one pass: the first that holds both its parts.
-            return found.select("lang", "words", "phrase", "n")
+            break
         proposed = proposed.union(failed)
-        before, now = now, Proposed(proposed, how.filter_bits)
+        before, now = now, Keys(proposed, how.filter_bits)
+    found = named(texts, how, Keys(frequent, how.filter_bits)).where((F.col("words") == 0) | (F.col("n") >= how.least))
+    return materialise(found, "frequent").where((F.col("words") > 0) | (F.col("n") > 0))
 
 
 def score_of(whole: Column, left: Column, right: Column) -> Column:
