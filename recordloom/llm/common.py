@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordloom.session import new_folder
+from recordloom.session import empty_folder, new_folder
 
 # Words are runs of anything but ASCII white space; bytes.split() of Python cuts at the same six characters.
 BREAKS = r"[\x20\x09-\x0D]+"
@@ -79,6 +79,22 @@ def kept_as_table(rows: DataFrame, label: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of a step that nobody reads once its result is written; ``clear`` removes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.held = spark, new_folder(spark, "scratch"), 0
+
+    def keep(self, rows: DataFrame, label: str) -> DataFrame:
+        self.held += 1
+        path = f"{self.folder}/{label}-{self.held}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def clear(self) -> None:
+        empty_folder(self.spark, self.folder)
+
+
 def join_figures(rows: DataFrame, figures: DataFrame, key: str, spread: Column) -> DataFrame:
     """Left join (null equals null) with a table of one row per ``key``.
 

@@ -3,15 +3,15 @@
 Every set of word shingles gets a MinHash signature of ``coordinates`` values.  Each (coordinate, value) pair is a
 posting key.  Two sets whose Jaccard similarity is 0.8 agree in about 80 % of their coordinates, so a pair is a
 candidate when it agrees in at least ``matches`` of them.  Keys are ordered by how many sets post under them; a set
-with s shared keys posts only under its ``s - matches + 1`` rarest (the prefix): two sets with enough agreements
-must meet there.  What is frequent is skipped by that, not cut off.  Sets with fewer than ``matches`` shared keys
+with s shared keys posts only under its ``s - matches + collisions`` rarest (the prefix): two sets with enough agreements
+must collide ``collisions`` times there.  What is frequent is skipped by that, not cut off.  Sets with fewer than ``matches`` shared keys
 can have no partner and leave at once.  Collisions of the candidates are then counted on ``bits`` further coordinates
 of one bit each, and what passes is confirmed on whole shingle sets.
 
 Equal sets are one node from the start.  Inside a posting list each node first meets one pivot; lists of near
 copies collapse to one component that way in linear work.  A last exact round meets components that still share a
-list: first as a whole, by the distance of one member each less the radii around them, then member by member.  So no
-link between different texts is lost and no list is spelled out within a component.
+list: first as a whole, by the distance of one member each less the radii around them and by counting on how many keys
+they collide, then member by member.  So no link between different texts is lost and no list is spelled out within a component.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import row_key, split_by_keys
+from recordloom.llm.common import Scratch, row_key, split_by_keys
 from recordloom.llm.components import components
 from recordloom.session import materialise
 
@@ -47,6 +47,7 @@ class NearDup:
     percent: int = 80
     coordinates: int = 96
     matches: int = 61
+    collisions: int = 4
     bits: int = 1_024
     pivot_rounds: int = 3
 
@@ -168,18 +169,18 @@ def shared_keys(rows: DataFrame, how: NearDup) -> DataFrame:
     return own.where(F.size("_keys") >= how.matches)
 
 
-def postings(nodes: DataFrame, how: NearDup) -> DataFrame:
+def postings(nodes: DataFrame, how: NearDup, scratch: Scratch) -> DataFrame:
     """(key, node, n): each node under the rarest of its shared keys.
 
     Frequencies are counted twice, first among all nodes and then among those that may still have a partner.
     """
     rows = nodes.select("node", F.posexplode("sig").alias("_c", "_v")).select(
         "node", F.expr("shiftleft(cast(_c as bigint), 32) | (cast(_v as bigint) & 4294967295)").alias("key"))
-    first = materialise(shared_keys(rows, how), "shared")
+    first = scratch.keep(shared_keys(rows, how), "shared")
     own = shared_keys(first.select("node", F.explode("_keys.key").alias("key")), how)
-    rarest = F.slice(F.sort_array("_keys"), 1, F.size("_keys") - how.matches + 1)
-    return own.select("node", F.explode(rarest).alias("_k")).join(nodes.select("node", "n"), "node").select(
-        "_k.key", "node", "n")
+    rarest = F.slice(F.sort_array("_keys"), 1, F.size("_keys") - how.matches + how.collisions)
+    return own.select("node", rarest["key"].alias("_k")).join(nodes.select("node", "n"), "node").select(
+        F.explode("_k").alias("key"), "node", "n")
 
 
 def similar_size(left: Column, right: Column, how: NearDup) -> Column:
@@ -229,56 +230,69 @@ def pivot_pairs(posts: DataFrame, sets: DataFrame, seed: int, how: NearDup) -> D
     return alike.groupBy("u").agg(F.min_by("v", F.struct("_apart", "v")).alias("v"))
 
 
-def remaining_pairs(posts: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
-    """All plausible pairs that share a key and lie in different components, each once."""
-    members = materialise(posts.select("node", "comp", "n").distinct().join(sets.select("node", "bits"), "node"), "members")
+def remaining_pairs(posts: DataFrame, sets: DataFrame, how: NearDup, scratch: Scratch) -> DataFrame:
+    """All plausible pairs that share keys and lie in different components, each once.
+
+    Sets that are alike collide on ``collisions`` keys, so their components do; pairs of components that collide on fewer are never
+    spelled out.
+    """
+    members = scratch.keep(posts.select("node", "comp").distinct().join(sets.select("node", "bits"), "node"), "members")
     centres = members.groupBy("comp").agg(F.min_by("bits", "node").alias("_centre"))
     radii = members.join(centres, "comp").groupBy("comp").agg(
         F.max(apart("bits", "_centre", how)).alias("_radius"), F.first("_centre").alias("_centre"))
-    kinds = posts.groupBy("key", "comp").agg(F.min("n").alias("_from"), F.max("n").alias("_to")).join(radii, "comp")
-    names = ("comp", "_from", "_to", "_centre", "_radius")
+    kinds = posts.groupBy("key", "comp").agg(F.min("n").alias("_from"), F.max("n").alias("_to"))
+    names = ("comp", "_from", "_to")
     left = kinds.select("key", *[F.col(c).alias(f"{c}_a") for c in names])
     right = kinds.select("key", *[F.col(c).alias(f"{c}_b") for c in names])
     reach = (F.col("_to_b") * 100 >= F.col("_from_a") * how.percent) & (F.col("_to_a") * 100 >= F.col("_from_b") * how.percent)
+    collided = left.join(right, "key").where((F.col("comp_a") < F.col("comp_b")) & reach).select("key", "comp_a", "comp_b")
+    met = collided.groupBy("comp_a", "comp_b").agg(F.count("*").alias("_met")).where(F.col("_met") >= how.collisions)
+    side_a, side_b = (radii.select(*[F.col(c).alias(f"{c}_{x}") for c in ("comp", "_radius", "_centre")]) for x in "ab")
     near = apart("_centre_a", "_centre_b", how) - F.col("_radius_a") - F.col("_radius_b") <= how.most_apart
-    crossed = materialise(left.join(right, "key").where((F.col("comp_a") < F.col("comp_b")) & reach & near).select(
-        "key", "comp_a", "comp_b"), "crossed")
+    crossed = scratch.keep(met.join(side_a, "comp_a").join(side_b, "comp_b").where(near).select("comp_a", "comp_b"), "crossed")
+    keyed = collided.join(crossed, ["comp_a", "comp_b"], "left_semi")
 
-    def side(own: str) -> DataFrame:
-        nodes = crossed.join(posts.select("key", F.col("comp").alias(own), "node"), ["key", own])
-        return nodes.select("comp_a", "comp_b", "node").distinct().join(members.select("node", "n", "bits"), "node")
+    def side(own: str, node: str) -> DataFrame:
+        """Members of ``own`` that collide ``collisions`` times with the other component's keys."""
+        met = keyed.join(posts.select("key", F.col("comp").alias(own), "node", "n"), ["key", own])
+        met = met.groupBy("comp_a", "comp_b", "node").agg(F.first("n").alias("n"), F.count("*").alias("_met"))
+        return met.where(F.col("_met") >= how.collisions).select(
+            "comp_a", "comp_b", F.col("node").alias(node), F.col("n").alias(f"_{node}n"))
 
-    u = side("comp_a").select("comp_a", "comp_b", F.col("node").alias("u"), F.col("n").alias("_un"), F.col("bits").alias("_ub"))
-    v = side("comp_b").select("comp_a", "comp_b", F.col("node").alias("v"), F.col("n").alias("_vn"), F.col("bits").alias("_vb"))
-    return u.join(v, ["comp_a", "comp_b"]).where(
-        similar_size(F.col("_un"), F.col("_vn"), how) & (apart("_ub", "_vb", how) <= how.most_apart)).select("u", "v")
+    pairs = side("comp_a", "u").join(side("comp_b", "v"), ["comp_a", "comp_b"]).where(similar_size(F.col("_un"), F.col("_vn"), how))
+    first = members.select(F.col("node").alias("u"), F.col("bits").alias("_ub"))
+    second = members.select(F.col("node").alias("v"), F.col("bits").alias("_vb"))
+    return pairs.join(first, "u").join(second, "v").where(apart("_ub", "_vb", how) <= how.most_apart).select("u", "v")
 
 
 def link_nodes(docs: DataFrame, nodes: DataFrame, how: NearDup) -> DataFrame | None:
     """(node, label) of all nodes that have a link; None if there is no candidate at all."""
-    posts = materialise(postings(nodes, how), "postings")
+    scratch = Scratch(nodes.sparkSession)
+    posts = scratch.keep(postings(nodes, how, scratch), "postings")
     if posts.isEmpty():
+        scratch.clear()
         return None
     alive = nodes.join(posts.select("node").distinct(), "node", "left_semi").select("node", "h1", "_rep")
-    alive = materialise(alive, "alive")
+    alive = scratch.keep(alive, "alive")
     # Only texts of live nodes travel; the bitmap in front of the join is bounded.
     near, _ = split_by_keys(docs.select("_key", "text"), alive.select(F.col("_rep").alias("_key")), "_key")
     texts = near.join(alive.withColumnRenamed("_rep", "_key"), "_key")
-    sets = materialise(shingle_sets(texts, how).dropDuplicates(["node"]), "sets")
+    sets = scratch.keep(shingle_sets(texts, how).dropDuplicates(["node"]), "sets")
 
     edges, labels = None, None
     for round_no in range(how.pivot_rounds):
         pairs = pivot_pairs(open_postings(posts, labels), sets, round_no, how)
-        found = materialise(confirmed(pairs, sets, how), "links")
+        found = scratch.keep(confirmed(pairs, sets, how), "links")
         if found.isEmpty():
             break
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
-    pairs = remaining_pairs(materialise(open_postings(posts, labels), "open"), sets, how)
-    found = materialise(confirmed(pairs, sets, how), "links")
-    if found.isEmpty():
-        return labels
-    return components(found if edges is None else edges.union(found))
+    pairs = remaining_pairs(scratch.keep(open_postings(posts, labels), "open"), sets, how, scratch)
+    found = scratch.keep(confirmed(pairs, sets, how), "links")
+    if not found.isEmpty():
+        labels = components(found if edges is None else edges.union(found))
+    scratch.clear()
+    return labels
 
 
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
@@ -289,11 +303,16 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     Repeated rows are equal sets and share a component.  Other columns of ``docs`` play no part.
     """
     docs = docs.select("doc_id", "text").withColumn("_key", row_key(1, "doc_id", "text"))
-    rows = materialise(signed(docs, how), "signed")
-    nodes = rows.where("n > 0").groupBy("h1", "h2").agg(
+    scratch = Scratch(docs.sparkSession)
+    whole = scratch.keep(signed(docs, how), "signed")
+    nodes = whole.where("n > 0").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("_doc"), F.min("_key").alias("_rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     labels = link_nodes(docs, nodes, how)
+    # Signatures are done with; what names documents and sets stays.
+    rows = materialise(whole.drop("sig"), "rows")
+    nodes = materialise(nodes.drop("sig", "n", "_rep"), "named-sets")
+    scratch.clear()
     if labels is None:
         named = nodes.select("h1", "h2", F.col("_doc").alias("_least"), F.col("node").alias("_comp"))
     else:

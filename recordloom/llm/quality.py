@@ -186,8 +186,10 @@ def quality(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float
     """
     measured = materialise(figures(docs), "figures")
     good = labels.groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("_quality")).where("_quality = 1")
-    labelled = measured.where("n_words >= 10").join(good, F.col("doc_id") == F.col("_labelled"), "left_semi")
-    unlabelled = measured.where("n_words >= 10 and 100 * n_repeat_words <= 20 * n_words").join(
+    # The base rule rejects whatever the cutoffs say, so cutoffs answer for the documents that pass it alone.
+    passing = measured.where("n_words >= 10 and 100 * n_repeat_words <= 20 * n_words")
+    labelled = passing.join(good, F.col("doc_id") == F.col("_labelled"), "left_semi")
+    unlabelled = passing.join(
         labels.select(F.col("doc_id").alias("_labelled")), F.col("doc_id") == F.col("_labelled"), "left_anti")
     chosen = materialise(cutoffs(labelled, unlabelled, risk, error), "cutoffs")
     fires = F.lit(False)

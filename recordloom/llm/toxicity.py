@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,8 @@ from recordloom.session import materialise
 WORDS = re.compile(r"[^\W\d_]+").findall
 BEGINNINGS = (3, 4, 5, 6, 7)
 CACHED = 300_000
+# A threshold that no probability reaches.
+NEVER = 2.0
 
 
 @dataclass(frozen=True)
@@ -116,6 +118,12 @@ def chance(margin: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
 
+def base_rate(sample: DataFrame, number: int) -> dict:
+    """The model of a group without documents to learn from: the share of yes in the sample, and nothing of the text."""
+    n, yes = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    return {"feats": [], "weights": [], "chained": [0.0] * number, "bias": float(np.log((yes + 0.5) / (n - yes + 0.5))) if yes else -30.0}
+
+
 def out_of_fold(sample: DataFrame, models: dict[int, dict]) -> DataFrame:
     """Append to ``earlier`` the probability by the model that never saw the document."""
     tables = {g: dict(zip(m["feats"], m["weights"])) for g, m in models.items()}
@@ -147,16 +155,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, how: Chain) -> DataFrame
 
 
 def best_threshold(sample: DataFrame) -> float:
-    """The out-of-fold probability that splits the decisive category with the best F1; 0.5 if there is no yes."""
+    """The out-of-fold probability that splits the decisive category with the best F1.
+
+    It lies above the base rate.  Where no split does better than to flag everything, the sample holds no signal, and
+    nothing reaches the threshold.
+    """
     judged = sample.select(F.round(F.element_at("earlier", -1), 2).alias("p"), "y").groupBy("p").agg(
         F.sum("y").alias("yes"), F.count("*").alias("n")).orderBy(F.desc("p")).collect()  # at most 101 rows
-    total, hits, flagged, best = sum(r["yes"] for r in judged), 0, 0, (0.0, 0.5)
+    total, size, hits, flagged = sum(r["yes"] for r in judged), sum(r["n"] for r in judged), 0, 0
+    if not total:
+        return NEVER
+    rate = total / size
+    best = (2 * total / (total + size), NEVER)
     for row, after in zip(judged, [*judged[1:], None]):
         hits, flagged = hits + row["yes"], flagged + row["n"]
-        score = 2 * hits / (total + flagged) if total else 0.0
-        if score > best[0]:
-            best = (score, (row["p"] + (after["p"] if after else 0.0)) / 2)
-    return float(min(max(best[1], 0.05), 0.95))
+        score, cut = 2 * hits / (total + flagged), (row["p"] + (after["p"] if after else 0.0)) / 2
+        if score > best[0] and cut > rate:
+            best = (score, cut)
+    return float(best[1] if best[1] == NEVER else min(max(best[1], 0.05), 0.95))
 
 
 @dataclass(frozen=True)
@@ -174,10 +190,13 @@ def fit_chain(docs: DataFrame, labels: DataFrame, how: Chain = Chain()) -> Fitte
     models = []
     for number in range(len(how.categories)):
         rows = rows.withColumn("y", F.get("targets", number))
-        fits = fitted(rows, how)
-        models.append(fits.get(how.folds, {"feats": [], "weights": [], "chained": [0.0] * number, "bias": -30.0}))
+        nothing = base_rate(rows, number)
+        fits = {group: nothing for group in range(how.folds + 1)} | fitted(rows, how)
+        models.append(fits[how.folds])
         rows = materialise(out_of_fold(rows, fits), "out-of-fold")
-    return Fitted(tuple(name for name, *_ in how.categories), tuple(models), best_threshold(rows))
+    chain = Fitted(tuple(name for name, *_ in how.categories), tuple(models), best_threshold(rows))
+    # A document that says nothing is not toxic, whatever the base rate.
+    return replace(chain, threshold=max(chain.threshold, Scorer(chain).scores("")[-1] + 0.01))
 
 
 class Scorer:
@@ -221,7 +240,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, how: Chain = Chain()) -> DataFr
 
     ``toxic`` holds where the last category's probability reaches the threshold with the best F1 out of fold.  A
     null or empty text has no features and gets the models' base rates.  Labels with a null or of unknown documents
-    don't count, of repeated ones the largest does.  Without a labelled yes nothing is toxic.  Repeated rows get equal
+    don't count, of repeated ones the largest does.  Without a labelled yes, or a split of the labels that beats flagging
+    all, nothing is toxic.  Repeated rows get equal
     answers; other columns are left out.
     """
     chain = fit_chain(docs, labels, how)

@@ -32,17 +32,20 @@ def integer_vectors(rows: DataFrame, ident: str, vector: str) -> DataFrame:
     return usable.select("vec_id", F.transform("_x", lambda x: F.floor(x * 256).cast("bigint")).alias("v"))
 
 
-def fewest_ids(vectors: DataFrame, most: int) -> DataFrame:
-    """Of equal vectors only the ``most`` smallest ids, in two steps so that a common vector is no hot task.
+def fewest_rows(vectors: DataFrame, k: int) -> DataFrame:
+    """(_row, vec_id, v): of equal vectors the rows of the k + 1 smallest ids, and at most k of each id.
 
-    Equal vectors have equal scores and ties go to smaller ids, so no other can be among the best ``most`` - 1 of
-    another vector, nor of one of their own.
+    Equal vectors have equal scores and ties go to smaller ids; a query leaves the rows of one id out, so no other row can be
+    among its best k.  Repeated rows are counted first and ids ranked in two steps, so that a common vector is no hot task.
+    ``_row`` names a row, as an id may have several vectors.
     """
-    salted = vectors.withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
+    held = vectors.groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("_copies"))
+    held = held.withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
     for keys in (["v", "_salt"], ["v"]):
         order = Window.partitionBy(*keys).orderBy("vec_id")
-        salted = salted.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= most).drop("_at")
-    return salted.drop("_salt")
+        held = held.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= k + 1).drop("_at")
+    copies = held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return copies.select(F.monotonically_increasing_id().alias("_row"), "vec_id", "v")
 
 
 def dot(a: str, b: str) -> Column:
@@ -50,40 +53,44 @@ def dot(a: str, b: str) -> Column:
 
 
 def scan(cells: DataFrame, queries: list, low: int, width: int, k: int) -> DataFrame:
-    """(query_id, vec_id, lower, upper) for all vectors of a partition that may be among a query's best k."""
+    """(query_id, _row, vec_id, lower, upper) for all rows of a partition that may be among a query's best k."""
     ids = np.array([q["vec_id"] for q in queries], np.int64)
     vectors = np.array([q["v"] for q in queries], np.float64)
     plus, minus = np.maximum(vectors, 0).T, np.minimum(vectors, 0).T
+    # Sums of doubles are exact up to 2**53; beyond, bounds give way by more than they can be wrong.
+    largest = max(abs(low), abs(low + width * CELLS)) * float(np.abs(vectors).sum(axis=1).max())
+    slack = np.ceil(largest * 2.0**-45) if largest >= 2.0**53 else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached = np.full((len(ids), k), -np.inf)
         found: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            numbers = batch.column("vec_id").to_numpy()
+            numbers, names = batch.column("vec_id").to_numpy(), batch.column("_row").to_numpy()
             packed = batch.column("cells").to_pylist()
             for at in range(0, len(numbers), SCAN_ROWS):
-                mine = numbers[at: at + SCAN_ROWS]
+                mine, rows = numbers[at: at + SCAN_ROWS], names[at: at + SCAN_ROWS]
                 grid = np.frombuffer(b"".join(packed[at: at + SCAN_ROWS]), np.uint8).reshape(len(mine), -1)
                 floor = low + grid.astype(np.float64) * width
                 ceiling = floor + (width - 1)
-                lower = (floor @ plus + ceiling @ minus).T
-                upper = (ceiling @ plus + floor @ minus).T
+                lower = (floor @ plus + ceiling @ minus).T - slack
+                upper = (ceiling @ plus + floor @ minus).T + slack
                 own = ids[:, None] == mine[None, :]
                 lower[own], upper[own] = -np.inf, -np.inf
                 both = np.concatenate([reached, lower], axis=1)
                 reached = -np.partition(-both, k - 1, axis=1)[:, :k]
                 sure = reached.min(axis=1)
                 q, v = np.nonzero((upper >= sure[:, None]) & ~own)
-                found.append((q, mine[v], lower[q, v], upper[q, v]))
+                found.append((q, rows[v], mine[v], lower[q, v], upper[q, v]))
         if not found:
             return
-        q, v, lower, upper = (np.concatenate(part) for part in zip(*found))
+        q, rows, v, lower, upper = (np.concatenate(part) for part in zip(*found))
         stay = upper >= reached.min(axis=1)[q]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[q[stay]]), pa.array(v[stay]), pa.array(lower[stay].astype(np.int64)),
-             pa.array(upper[stay].astype(np.int64))], ["query_id", "vec_id", "lower", "upper"])
+            [pa.array(ids[q[stay]]), pa.array(rows[stay]), pa.array(v[stay]), pa.array(lower[stay]), pa.array(upper[stay])],
+            ["query_id", "_row", "vec_id", "lower", "upper"])
 
-    return cells.select("vec_id", "cells").mapInArrow(run, "query_id bigint, vec_id bigint, lower bigint, upper bigint")
+    return cells.select("_row", "vec_id", "cells").mapInArrow(
+        run, "query_id bigint, _row bigint, vec_id bigint, lower double, upper double")
 
 
 def encoded(vectors: DataFrame, low: int, width: int) -> DataFrame:
@@ -93,10 +100,10 @@ def encoded(vectors: DataFrame, low: int, width: int) -> DataFrame:
         for batch in batches:
             exact = batch.column("v")
             codes = [((np.array(v, np.int64) - low) // width).astype(np.uint8).tobytes() for v in exact.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), exact, pa.array(codes, pa.binary())],
-                                             ["vec_id", "v", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("vec_id"), exact, pa.array(codes, pa.binary())],
+                                             ["_row", "vec_id", "v", "cells"])
 
-    return vectors.mapInArrow(run, "vec_id bigint, v array<bigint>, cells binary")
+    return vectors.mapInArrow(run, "_row bigint, vec_id bigint, v array<bigint>, cells binary")
 
 
 def top_k(rows: DataFrame, every: int = 50, k: int = 5, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -104,7 +111,8 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, ident: str = "vec_id", v
 
     Vectors that are null or hold null or non-finite components take no part.  Ties go to the smaller vec_id.  A
     repeated id is one query (its smallest vector) and as many candidates as it has rows; none of them is a candidate
-    of its own query.  Vectors of different length are compared as if the shorter one ended in zeros.
+    of its own query.  Vectors of different length are compared as if the shorter one ended in zeros.  Scores are 64-bit
+    integers; components so large that a score leaves them are an error of Spark's, ARITHMETIC_OVERFLOW or CAST_OVERFLOW.
     """
     vectors = materialise(integer_vectors(rows, ident, vector), "vectors")
     length, low, high = vectors.agg(F.max(F.size("v")), F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
@@ -116,30 +124,30 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, ident: str = "vec_id", v
     width = -(-(high - low + 1) // CELLS)
     queries = full.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     queries = materialise(queries, "queries")
-    # Ids of one vector: its queries leave one out, so k + 1 are enough.  Repeated ids count as rows.
-    stored = materialise(encoded(fewest_ids(full, k + 1), low, width), "cells") if queries.count() else None
-    if stored is None:
+    held = queries.count()
+    if not held:
         return nothing
-    blocks = -(-queries.count() // QUERY_BLOCK)
+    stored = materialise(encoded(fewest_rows(full, k), low, width), "cells")
+    blocks = -(-held // QUERY_BLOCK)
     block = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks))
     candidates = None
     for number in range(blocks):
-        part = queries.where(block == number).collect()  # about QUERY_BLOCK vectors
+        # The driver holds about QUERY_BLOCK vectors at a time; what they found is written before the next are read.
+        part = queries.where(block == number).collect()
         if part:
-            some = scan(stored, part, low, width, k)
+            some = materialise(scan(stored, part, low, width, k), "candidates")
             candidates = some if candidates is None else candidates.unionByName(some)
-    candidates = materialise(candidates, "candidates")
 
     by_query = Window.partitionBy("query_id")
     sure = candidates.withColumn("_at", F.row_number().over(by_query.orderBy(F.desc("lower")))).where(
         F.col("_at") <= k).groupBy("query_id").agg(F.min("lower").alias("_sure"), F.count("*").alias("_held"))
     open_ = candidates.join(sure, "query_id").where((F.col("upper") >= F.col("_sure")) | (F.col("_held") < k))
-    open_ = open_.withColumn("_turn", F.row_number().over(by_query.orderBy(F.desc("upper"), "vec_id")))
-    exact = stored.select("vec_id", "v").dropDuplicates()
+    open_ = open_.withColumn("_turn", F.row_number().over(by_query.orderBy(F.desc("upper"), "vec_id", "_row")))
+    exact = stored.select("_row", "v")
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("_q"))
 
     def read(some: DataFrame) -> DataFrame:
-        return some.join(exact, "vec_id").join(asked, "query_id").select("query_id", "vec_id", dot("v", "_q").alias("score"))
+        return some.join(exact, "_row").join(asked, "query_id").select("query_id", "vec_id", dot("v", "_q").alias("score"))
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     first = materialise(read(open_.where(F.col("_turn") <= 2 * k)), "first-read")

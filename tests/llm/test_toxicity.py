@@ -1,6 +1,8 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from recordloom.llm.toxicity import Chain, drop_toxic, toxicity
+from recordloom.llm.toxicity import WORDS, Chain, drop_toxic, features_of, fit_chain, toxicity
 
 
 def labels(spark):
@@ -40,3 +42,26 @@ def test_odd_rows_missing_labels_and_an_empty_table(spark, odd, empty):
     assert toxicity(odd, mixed, Chain(sample=5)).count() == odd.count()
     assert toxicity(empty, labels(spark)).collect() == []
     assert toxicity(odd, labels(spark).where("toxic = 0")).where(F.col("toxic")).collect() == []
+
+
+@pytest.mark.parametrize("marks", [[(1, 1)], [(0, 1), (1, 0)], [(3, 1)], [(i, i % 2) for i in range(8)], [(i, int(i == 3)) for i in range(20)],
+                                   [(i, 1) for i in range(20)]])
+def test_few_labels_or_no_signal_reject_nothing(spark, marks):
+    """All labels in one fold, and labels that no word goes with."""
+    texts = [f"{a} {b} word{i}" for i, (a, b) in enumerate([("some", "plain"), ("other", "text")] * 10)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    given = spark.createDataFrame([(i, 1 - t, t) for i, t in marks], "doc_id bigint, quality int, toxic int")
+    assert drop_toxic(docs, given).count() == len(texts)
+
+
+def test_chained_weights_and_probabilities_equal_a_plain_chain(spark):
+    """The second model weighs the first one's probability, and scores are those of a chain in plain numpy."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    chain = fit_chain(docs, labels(spark))
+    assert len(chain.models[1]["chained"]) == 1 and abs(chain.models[1]["chained"][0]) > 0.01
+    for row in toxicity(docs, labels(spark)).join(docs, "doc_id").limit(40).collect():
+        present, earlier = set().union(*map(features_of, WORDS((row.text or "").lower()))), []
+        for model in chain.models:
+            margin = model["bias"] + sum(w for f, w in zip(model["feats"], model["weights"]) if f in present) + np.dot(model["chained"], earlier)
+            earlier.append(1 / (1 + np.exp(-margin)))
+        assert [row.p_low_quality, row.p_toxic] == pytest.approx(earlier, abs=1e-9)

@@ -44,3 +44,19 @@ def test_ties_copies_and_unusable_vectors(spark, monkeypatch):
 def test_coarse_cells_only_cost_reads(spark, monkeypatch, cells):
     monkeypatch.setattr(vector_search, "CELLS", cells)
     check(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"))
+
+
+def test_repeated_ids_count_as_rows(spark):
+    """As the SQL counterpart: an id may have one vector many times, or several vectors."""
+    schema = "vec_id bigint, embedding array<double>"
+    check(spark.createDataFrame([(0, [0.5, 0.25])] * 6 + [(1, [0.5, 0.25])], schema))
+    check(spark.createDataFrame([(0, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [0.5, 0.0]), (8, [0.9, 0.0])], schema))
+    check(spark.createDataFrame([(i % 4, [0.5, 0.25 * (i % 3)]) for i in range(90)] + [(9, [0.5]), (9, [0.5, 0.0, 0.0])], schema), 2)
+
+
+def test_large_components(spark):
+    """Bounds beyond 2**53 stay bounds; a score beyond 64 bits is an error."""
+    rows = [(i, [float(3e4 * (i % 7 + 1)), -2e4 * (i % 5), 1e4 + i]) for i in range(60)]
+    check(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 10)
+    with pytest.raises(Exception, match="OVERFLOW"):
+        top_k(spark.createDataFrame([(0, [1e16] * 3), (1, [1e16] * 3)], "vec_id bigint, embedding array<double>")).collect()
