@@ -1,5 +1,8 @@
 """Duplicates, inference, outliers, validation and outputs."""
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from recordloom import fixed_values as fv
@@ -12,7 +15,7 @@ from recordloom.operators import anomaly, dedup, inference, validation
 from recordloom.operators.mapping import map_columns
 from recordloom.operators.ordering import exact_percentile
 from recordloom.plans.run import count_stages, run
-from recordloom.session import materialise, new_folder
+from recordloom.session import materialise, new_folder, run_scope
 from recordloom.sources import sinks
 
 # ---------------------------------------------------------------- duplicates
@@ -259,13 +262,9 @@ def anomaly_features(spark, folder):
 select segment, count(*) as n, count(*) >= 20 and (min(age) < max(age) or min(activity) < max(activity)) as usable
 from (select case when row_id < 15 then 'few' when row_id % 2 = 0 then 'even' else 'odd' end as segment, age, activity from features) x group by segment"""))
 def anomaly_guards(spark, folder):
-    rows = materialise(activity(spark, folder), "activity")
-    parts = {"few": "row_id < 15", "even": "row_id >= 15 and row_id % 2 = 0", "odd": "row_id >= 15 and row_id % 2 <> 0"}
-    judged = []
-    for name, condition in parts.items():
-        stats = anomaly.feature_stats(anomaly.raw_features(rows.where(condition), SETTINGS))
-        judged.append((name, stats.rows, anomaly.usable(stats)))
-    return spark.createDataFrame(judged, "segment string, n bigint, usable boolean")
+    rows = activity(spark, folder)
+    segment = F.when(F.col("row_id") < 15, "few").when(F.col("row_id") % 2 == 0, "even").otherwise("odd")
+    return anomaly.group_stats(anomaly.raw_features(rows.withColumn("segment", segment), SETTINGS), "segment")
 
 
 def scored(spark, folder):
@@ -388,8 +387,6 @@ def normalize_preferences(spark, folder):
 
 @query("revalidate_dob", q.with_ctes(*q.NAMED, select="select row_id, DOB - 400000000 as dob, case when DOB - 400000000 > 10000000 then DOB - 400000000 end as legacy from composed"))
 def revalidate_dob(spark, folder):
-    from dataclasses import replace
-
     old = replace(SETTINGS, legacy_dob_range=True)
     seconds = F.col("DOB") - 400_000_000
     return composed_table(spark, folder).select(
@@ -473,3 +470,72 @@ def run_all_review(spark, folder):
 def run_all_quarantine(spark, folder):
     """Raw people to the quarantine table."""
     return run(dirty(spark, folder), SETTINGS).quarantine.select("row_id", "name", "email", "failure_reason", "row_index")
+
+
+# The chain without the forest, whose random trees SQL does not know.
+PLAIN_SETTINGS = replace(SETTINGS, forest_trees=0)
+PLAIN = [
+    *q.NAMED,
+    "shared as materialized (select * from composed)",
+    *EXACT[len(q.NAMED) + 1:],
+    """blocked as materialized (select *, case when wilaya is not null then lower(wilaya) when commune is not null then '{''wilaya' else '' end as block from survivors)""",
+    *FUZZY[len(EXACT) + 1:],
+    INFER[len(q.NAMED)].replace("from composed", "from survivors"),
+    *INFER[len(q.NAMED) + 1:],
+    "rough as materialized (select *, cast(null as varchar) as verificationType from filled)",
+    *ROUGH_SQL[len(q.NAMED) + 1:],
+]
+
+
+def plain(spark, folder):
+    return run(dirty(spark, folder), PLAIN_SETTINGS)
+
+
+@query("run_plain", q.with_ctes(*PLAIN, select="""
+select email, display as name, username, phoneNumber, profilePicture, kind as userType, case when kind <> 'school' then family end as last,
+  case when kind = 'school' then school end as schoolType, case when kind <> 'school' then DOB end as DOB, case when kind <> 'school' then gender end as gender,
+  nullif(array_to_string(preferences, '|'), '') as preferences, nullif(array_to_string(list_filter([wilaya, commune], lambda x: x is not null), ', '), '') as location
+from judged where reason is null"""))
+def run_plain(spark, folder):
+    """Raw people to clean records."""
+    clean = plain(spark, folder).clean
+    return clean.select("email", "name", "username", "phoneNumber", "profilePicture", "userType", "last", "schoolType", "DOB", "gender",
+                        F.array_join("preferences", "|").alias("preferences"), F.col("location.fullLocation").alias("location"))
+
+
+@query("run_plain_review", q.with_ctes(*PLAIN, select="""
+select row_id, name, email, group_id as duplicate_group_id, duplicate_reason, 100.0::double as duplicate_score, canonical_row_index from flagged where is_duplicate
+union all select s.row_id, s.name, s.email, printf('dup_%06d', number), reason, round(score, 6), left_id from links join survivors s on s.row_id in (left_id, right_id)"""))
+def run_plain_review(spark, folder):
+    """Raw people to the duplicate-review table."""
+    return plain(spark, folder).duplicates.select(
+        "row_id", "name", "email", "duplicate_group_id", "duplicate_reason", F.round("duplicate_score", 6).alias("duplicate_score"), "canonical_row_index")
+
+
+@query("run_plain_quarantine", q.with_ctes(*PLAIN, select="select row_id, name, email, reason as failure_reason, row_id as row_index from judged where reason is not null"))
+def run_plain_quarantine(spark, folder):
+    """Raw people to the quarantine table."""
+    return plain(spark, folder).quarantine.select("row_id", "name", "email", "failure_reason", "row_index")
+
+
+# What one call writes, read back: the rows of all tables, and the counts in the summary.
+WRITTEN = """
+select 'clean' as part, count(*) as n from judged where reason is null union all select 'quarantine', count(*) from judged where reason is not null
+union all select 'duplicates', (select count(*) from flagged where is_duplicate) + 2 * (select count(*) from links) union all select 'mappings', {mappings}
+union all select 'summary: ' || line, 1 from (select unnest([
+  'Input rows: ' || (select count(*) from dirty), 'Deduped rows: ' || (select count(*) from survivors), 'Clean records: ' || (select count(*) from judged where reason is null),
+  '- prenom -> name (99.0%, name_header_heuristic)', '- nom -> last (100.0%, french_name_rule)']) as line) x"""
+
+
+@query("write_result", q.with_ctes(*PLAIN, select=WRITTEN.format(mappings=10)))
+def write_result(spark, folder):
+    """A whole run written and published, then read back."""
+    path = new_folder(spark, "result")
+    with run_scope(spark):
+        sinks.write_result(plain(spark, folder), path)
+    tables = sinks.read_result(spark, path)
+    found = [df.agg(F.lit(name).alias("part"), F.count("*").alias("n")) for name, df in tables.items() if name != "summary"]
+    lines = tables["summary"].select(F.explode(F.split("summary", "\n")).alias("line"))
+    wanted = F.col("line").rlike(r"^(Input rows|Deduped rows|Clean records|- (prenom|nom) )")
+    found.append(lines.where(wanted).select(F.concat(F.lit("summary: "), "line").alias("part"), F.lit(1).cast("bigint").alias("n")))
+    return reduce(lambda a, b: a.unionByName(b), found)

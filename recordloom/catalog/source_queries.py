@@ -131,6 +131,21 @@ def grid_promote_header(spark, folder):
     return gr.read_grid(grid(spark, folder)).withColumn("position", F.col("position").cast("bigint"))
 
 
+@query("grid_table", q.with_ctes(GRID, WIDE, TIGHT, WHOLE, """
+  sheets as (select sheet_id, max(len(cells)) as width, min_by(cells, row_no * 10000 + copy_no) as head, min(row_no * 10000 + copy_no) as first from whole group by sheet_id),
+  heads as (select sheet_id, p, coalesce(nullif(trim(coalesce(head[p + 1], '')), ''), 'Unnamed: ' || p) as name from sheets, range(0, 1000) r(p) where p < width),
+  names as (select sheet_id, p, name || case when n > 1 then '.' || (n - 1) else '' end as name
+    from (select *, row_number() over (partition by sheet_id, name order by p) as n from heads) x)""",
+    select="""select c.sheet_id, row_no, copy_no, string_agg(name || '=' || trim(coalesce(cells[p + 1], '')), ';' order by name) as filled
+  from whole c join sheets s on c.sheet_id = s.sheet_id join names n on n.sheet_id = c.sheet_id where row_no * 10000 + copy_no <> first group by c.sheet_id, row_no, copy_no"""))
+def grid_table(spark, folder):
+    """Wide rows under their headers, written as name=value."""
+    wide = gr.grid_table(grid(spark, folder))
+    places = ("sheet_id", "row_no", "copy_no")
+    cells = [F.concat(F.lit(f"{c}="), F.col(f"`{c}`")) for c in sorted(c for c in wide.columns if c not in places)]
+    return wide.select(*places, F.array_join(F.array(*cells), ";").alias("filled"))
+
+
 # A lookup document per supplier, in the four accepted shapes.
 LOOKUPS = """
 select s_suppkey as doc, concat('{"Math', cast(s_suppkey % 7 as string), '": ["MATHS", " math ", "nan"], "Phys": {"aliases": ["physique", "', s_name, '"]}, "',

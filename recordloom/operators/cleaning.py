@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from recordloom.config import Settings
 from recordloom.functions import dates, fields, structs
 from recordloom.functions import text as tx
+from recordloom.operators.balance import salted_join
 from recordloom.operators.lookup import clean_preferences, fuzzy_lookup
 
 
@@ -65,11 +66,13 @@ def gender_from_names(df: DataFrame, names: DataFrame, raw: str, out: str) -> Da
         F.when(F.col("gender").isin("male", "mostly_male"), "male")
         .when(F.col("gender").isin("female", "mostly_female"), "female").alias("_guess"),
     ).groupBy("_first").agg(F.min("_guess").alias("_guess"))
-    # Rows that need no guess or have no name get spread-out keys that match nothing, so that they do not pile up.
-    spread = F.concat(F.lit("\u0001"), F.pmod(F.xxhash64(raw, F.monotonically_increasing_id()), F.lit(1_000)))
-    key = F.when(F.col(out).isNull() & F.col(raw).isNotNull(), F.lower(F.col(raw))).otherwise(spread)
-    joined = df.withColumn("_first", key).join(guess, "_first", "left")
-    return joined.withColumn(out, F.coalesce(out, "_guess")).drop("_first", "_guess")
+    # Distinct first words meet the table once; rows come back through salts that depend on their own values only.
+    wanted = F.when(F.col(out).isNull(), F.lower(F.col(raw)))
+    spread = F.xxhash64(*[c for c in ("row_id", raw) if c in df.columns])
+    keyed = df.withColumn("_first", F.coalesce(wanted, F.concat(F.lit("\u0001"), F.pmod(spread, F.lit(1_000)).cast("string"))))
+    per_word = keyed.where(wanted.isNotNull()).groupBy("_first").agg(F.count("*").alias("_n")).join(guess, "_first")
+    joined = salted_join(keyed, per_word, "_first", spread)
+    return joined.withColumn(out, F.coalesce(out, "_guess")).drop("_first", "_guess", "_n")
 
 
 def clean_table(df: DataFrame, settings: Settings | None = None, names: DataFrame | None = None) -> DataFrame:

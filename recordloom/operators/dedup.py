@@ -82,11 +82,11 @@ def exact_email(df: DataFrame, settings: Settings | None = None) -> ExactResult:
     """Add ``_is_duplicate``, ``canonical_row_index`` and the ``_duplicate_*`` columns.
 
     The first row of each e-mail comes out of an aggregation with map-side combine, so an e-mail that a
-    third of all rows share is reduced before it is shuffled, and joins back through salted buckets.
+    third of all rows share is reduced before it is shuffled, and joins back through salted buckets.  Only
+    numbers of rows are written; ``df`` itself is not.
     """
     settings = settings or Settings()
-    columns = df.columns
-    rows = _match_fields(df)
+    rows = _match_fields(df).select("row_id", "name", "phoneNumber", "DOB", "email")
     mail = tx.empty_to_null(F.col("email"))
     groups = (
         rows.where(mail.isNotNull())
@@ -98,31 +98,31 @@ def exact_email(df: DataFrame, settings: Settings | None = None) -> ExactResult:
         )
         .where("_n > 1")
     )
-    numbered = dense_index(groups, ["_email"], "_number", start=1)
-    # Rows without an e-mail get keys of their own, so that nulls do not meet in one task.
-    own = F.concat(F.lit("\u0001"), F.col("row_id").cast("string"))
-    joined = salted_join(rows.withColumn("_email", F.coalesce(mail, own)), numbered, "_email", F.col("row_id"))
-    other = F.col("_first_id").isNotNull() & (F.col("row_id") != F.col("_first_id"))
+    numbered = materialise(dense_index(groups, ["_email"], "_number", start=1), "mail-groups")
+    # Rows without an e-mail cannot be in a group, so they do not travel.
+    joined = salted_join(rows.where(mail.isNotNull()).withColumn("_email", mail), numbered, "_email", F.col("row_id"))
+    other = F.col("row_id") != F.col("_first_id")
     fields = ("name", "phoneNumber", "DOB")
     left = {f: F.when(other, F.col(f"_canon.{f}")) for f in fields}
     right = {f: F.when(other, F.col(f)) for f in fields}
     signal = strong_signal(left, right)
     if settings.missing_dob_matches:
         signal = signal | (F.col("DOB").isNull() & F.col("_canon.DOB").isNull())
-    marked = materialise(joined.withColumn("_is_duplicate", F.coalesce(other & signal, F.lit(False))), "exact")
-
-    confirmed = marked.where("_is_duplicate").select(F.col("_first_id").alias("row_id")).groupBy("row_id").agg(
-        F.lit(True).alias("_has_duplicates")
-    )
-    flagged = marked.join(confirmed, "row_id", "left")
-    involved = F.col("_is_duplicate") | F.coalesce("_has_duplicates", F.lit(False))
-    flagged = flagged.select(
-        *columns,
-        F.when(involved, group_label(F.col("_number"))).otherwise("").alias("_duplicate_group_id"),
-        F.when(involved, 100.0).otherwise(0.0).alias("_duplicate_score"),
-        F.when(involved, REASON_EMAIL).otherwise("").alias("_duplicate_reason"),
-        "_is_duplicate",
-        F.when(F.col("_is_duplicate"), F.col("_first_id")).alias("canonical_row_index"),
+    found = joined.where(F.col("_first_id").isNotNull() & other & F.coalesce(signal, F.lit(False)))
+    duplicates = materialise(found.select("row_id", "_first_id", "_number"), "exact")
+
+    # Only rows of confirmed groups carry anything; the wide table is read as it is and meets these few.
+    firsts = duplicates.groupBy(F.col("_first_id").alias("row_id")).agg(F.first("_number").alias("_number")).select(
+        "row_id", F.lit(None).cast("bigint").alias("_first_id"), "_number")
+    involved = duplicates.union(firsts).select(
+        "row_id", group_label(F.col("_number")).alias("_group"), F.col("_first_id").alias("canonical_row_index"))
+    flagged = df.join(involved, "row_id", "left").select(
+        *df.columns,
+        F.coalesce("_group", F.lit("")).alias("_duplicate_group_id"),
+        F.when(F.col("_group").isNotNull(), 100.0).otherwise(0.0).alias("_duplicate_score"),
+        F.when(F.col("_group").isNotNull(), REASON_EMAIL).otherwise("").alias("_duplicate_reason"),
+        F.col("canonical_row_index").isNotNull().alias("_is_duplicate"),
+        "canonical_row_index",
     )
     return ExactResult(flagged, numbered.select(F.col("_email").alias("email"), F.col("_number").alias("number")))
 
@@ -471,7 +471,7 @@ def find_duplicates(df: DataFrame, settings: Settings | None = None) -> DedupRes
     """Exact duplicates leave the table, near duplicates are reported for review and stay."""
     settings = settings or Settings()
     exact = exact_email(df, settings)
-    flagged = materialise(exact.flagged, "flagged")
+    flagged = exact.flagged
     survivors = flagged.where(~F.col("_is_duplicate")).drop("_is_duplicate", "canonical_row_index")
     removed = flagged.where("_is_duplicate").select(
         *df.columns, *META, F.col("_duplicate_group_id").alias("duplicate_group_id"),

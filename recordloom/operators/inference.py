@@ -146,20 +146,25 @@ def _serve(queue: DataFrame, blocked: DataFrame, separator: str) -> DataFrame:
     return served.select("row_id", "candidate", given.alias("given"))
 
 
-def _ask(df: DataFrame, column: str, candidate: Column) -> DataFrame:
-    """Add ``_ask``: the candidate where ``column`` is empty; the table is written once and read three times."""
-    empty = F.col(column).isNull() | F.lower(tx.strip(F.col(column))).isin("", "nan")
-    return materialise(df.withColumns({"_empty": empty, "_ask": F.when(empty, candidate)}), f"ask-{column}")
-
+def _unique(df: DataFrame, column: str, candidate: Column, separator: str, ending: str = "") -> DataFrame:
+    """(row_id, given): unique names built on ``candidate`` for the rows whose ``column`` is empty.
 
-def _with_unique(asked: DataFrame, column: str, separator: str, ending: str = "") -> DataFrame:
-    """Fill the empty values of ``column`` with unique names built on ``_ask``."""
-    asks = asked.where("_ask is not null").select("row_id", F.col("_ask").alias("candidate"))
-    names = asked.where("not _empty").select(tx.strip(F.col(column)).alias("name"))
+    Of ``df`` only numbers of rows and the two texts are written, and read three times.
+    """
+    empty = F.col(column).isNull() | F.lower(tx.strip(F.col(column))).isin("", "nan")
+    asked = materialise(df.select("row_id", empty.alias("_empty"), F.when(empty, candidate).otherwise(tx.strip(F.col(column))).alias("text")),
+                        f"ask-{column}")
+    asks = asked.where("_empty and text is not null").select("row_id", F.col("text").alias("candidate"))
+    names = asked.where("not _empty").select(F.col("text").alias("name"))
     if ending:
         names = names.where(F.col("name").endswith(ending)).select(F.expr(f"left(name, length(name) - {len(ending)})").alias("name"))
-    given = assign_unique(asks, names, separator).select("row_id", F.concat("given", F.lit(ending)).alias("_given"))
-    return asked.join(given, "row_id", "left").withColumn(column, F.coalesce("_given", column)).drop("_given", "_ask", "_empty")
+    given = assign_unique(asks, names, separator).select("row_id", F.concat("given", F.lit(ending)).alias("given"))
+    return materialise(given, f"given-{column}")
+
+
+def _filled(df: DataFrame, given: DataFrame, column: str) -> DataFrame:
+    return df.join(given.withColumnRenamed("given", "_given"), "row_id", "left").withColumn(
+        column, F.coalesce("_given", column)).drop("_given")
 
 
 # ---------------------------------------------------------------- the whole step
@@ -181,11 +186,11 @@ def infer_table(df: DataFrame, settings: Settings | None = None, names: DataFram
     named = fields.with_full_name(named, "_name", "last", "_full", settings.legacy_compose)
     named = named.withColumn("name", F.coalesce(present(c("name")), c("_full"))).drop("_name")
 
-    asked = _ask(named, "username", username_candidate(c("_full"), c("row_id"), settings.suffix_digits))
-    step = _with_unique(asked, "username", "_")
+    given = _unique(named, "username", username_candidate(c("_full"), c("row_id"), settings.suffix_digits), "_")
+    step = _filled(named, given, "username")
     source = F.coalesce(present(c("_full")), c("username"))
-    asked = _ask(step, "email", email_candidate(source, c("row_id"), settings.suffix_digits))
-    step = _with_unique(asked, "email", ".", "@" + settings.email_domain)
+    given = _unique(step, "email", email_candidate(source, c("row_id"), settings.suffix_digits), ".", "@" + settings.email_domain)
+    step = _filled(step, given, "email")
     step = step.withColumns(
         {
             "last": F.coalesce(present(c("last")), infer_last(c("_full"))),

@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+RUN_DIR = "recordloom.run.dir"
 
 
 def local_session(cores: int | str = "*", memory: str = "20g", partitions: int = 8) -> SparkSession:
@@ -45,7 +48,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    parent = spark.conf.get(RUN_DIR, None) or shared_folder(spark)
+    return f"{parent.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def empty_folder(spark: SparkSession, path: str) -> None:
+    """Remove all tables below ``path``, wherever it lies: an empty table written over it takes their place."""
+    spark.createDataFrame([], "nothing int").write.mode("overwrite").parquet(path)
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[str]:
+    """Tables that cut lineage go to a folder of this run's own, which is emptied at the end.
+
+    What is to outlive the run is written inside the scope; results that are read later must not depend on it.
+    """
+    outer = spark.conf.get(RUN_DIR, None)
+    path = new_folder(spark, "run")
+    spark.conf.set(RUN_DIR, path)
+    try:
+        yield path
+    finally:
+        spark.conf.set(RUN_DIR, outer) if outer else spark.conf.unset(RUN_DIR)
+        empty_folder(spark, path)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

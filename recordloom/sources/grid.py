@@ -6,12 +6,15 @@ sums over range-partitioned data do that work.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as tx
 from recordloom.operators.balance import salted_join
-from recordloom.operators.ordering import running_sum
+from recordloom.operators.ordering import dense_index, running_sum
+from recordloom.sources.delimited import unique_names
 
 
 def safe_repeat(value: Column, limit: int | None = None) -> Column:
@@ -41,11 +44,17 @@ def expand_repeats(grid: DataFrame, limit: int | None = None) -> DataFrame:
     )
 
 
+def without_blank_tail(cells: Column) -> Column:
+    """Entries up to the last filled one; sheets commonly end their rows with a blank repeated to the last column."""
+    used = F.array_max(F.transform(cells, lambda c, i: F.when(F.coalesce(c["text"], F.lit("")) != "", i + 1).otherwise(0)))
+    return F.slice(cells, F.lit(1), F.coalesce(used, F.lit(0)))
+
+
 def normal_rows(grid: DataFrame, limit: int | None = None) -> DataFrame:
     """(sheet_id, row_no, repeat, cells): cells expanded and trimmed, repeats made safe."""
     return grid.select(
         "sheet_id", "row_no", safe_repeat(F.col("row_repeat"), limit).alias("repeat"),
-        trim_trailing(expand_cells(F.col("cells"), limit)).alias("cells"),
+        trim_trailing(expand_cells(without_blank_tail(F.col("cells")), limit)).alias("cells"),
     )
 
 
@@ -90,21 +99,26 @@ def cut_report(grid: DataFrame, repeat: int | None, blank_run: int | None, cap:
         "sheet_id", "rows", (kept if cap is None else F.least(kept, F.lit(cap))).cast("bigint").alias("kept"))
 
 
-def promote_header(rows: DataFrame) -> DataFrame:
-    """First row of each sheet = headers: (sheet_id, row_no, copy_no, position, header, value).
+def padded(cells: Column) -> Column:
+    return F.concat(cells, F.array_repeat(F.lit(""), F.col("_width") - F.size(cells)))
 
-    Rows are padded to the widest row of the sheet.
-    """
+
+def headed(rows: DataFrame) -> DataFrame:
+    """Rows below the first of each sheet, with that row (``_headers``) and the width of the sheet (``_width``)."""
     order = F.struct("row_no", "copy_no")
     sheets = rows.groupBy("sheet_id").agg(
         F.count("*").alias("_n"), F.max(F.size("cells")).alias("_width"),
         F.min(order).alias("_first"), F.min_by("cells", order).alias("_headers"),
     )
-    body = salted_join(rows, sheets, "sheet_id", F.xxhash64("row_no", "copy_no")).where(order != F.col("_first"))
+    return salted_join(rows, sheets, "sheet_id", F.xxhash64("row_no", "copy_no")).where(order != F.col("_first"))
 
-    def padded(cells: Column) -> Column:
-        return F.concat(cells, F.array_repeat(F.lit(""), F.col("_width") - F.size(cells)))
 
+def promote_header(rows: DataFrame) -> DataFrame:
+    """First row of each sheet = headers: (sheet_id, row_no, copy_no, position, header, value).
+
+    Rows are padded to the widest row of the sheet.
+    """
+    body = headed(rows)
     cells = F.arrays_zip(
         F.transform(padded(F.col("_headers")), lambda h: tx.strip(h)).alias("header"),
         padded(F.col("cells")).alias("value"),
@@ -117,3 +131,32 @@ def promote_header(rows: DataFrame) -> DataFrame:
 def read_grid(grid: DataFrame, repeat: int | None = None, blank_run: int | None = None, cap: int | None = None) -> DataFrame:
     """The whole way from a grid to cells with headers.  Nothing is cut unless a limit is given; see ``cut_report``."""
     return promote_header(cap_rows(drop_blank_rows(normal_rows(grid, repeat), blank_run), cap))
+
+
+def grid_table(grid: DataFrame, repeat: int | None = None, blank_run: int | None = None, cap: int | None = None) -> DataFrame:
+    """The rows of all sheets as one table of text columns: sheet_id, row_no, copy_no and a column for every header.
+
+    Sheets with the same headers are one layout; only the layouts reach the driver, to name the columns (repeated headers get
+    .1, .2, ..., empty ones their position).  Cells are taken by position, nothing is pivoted.  A column that a sheet lacks is
+    null, a cell that a row lacks empty.
+    """
+    body = headed(cap_rows(drop_blank_rows(normal_rows(grid, repeat), blank_run), cap))
+    body = body.withColumn("_layout", F.transform(padded(F.col("_headers")), lambda h: tx.strip(h)))
+    layouts = [row["_layout"] for row in body.select("_layout").distinct().orderBy("_layout").collect()]
+    places = ["sheet_id", "row_no", "copy_no"]
+    tables = []
+    for layout in layouts:
+        cells = padded(F.col("cells"))
+        values = [F.get(cells, F.lit(i)) for i in range(len(layout))]
+        own = body.where(F.col("_layout") == F.array(*[F.lit(h) for h in layout]))
+        tables.append(own.select(*places, *[
+            tx.strip(F.when(v.isin("nan", "None"), "").otherwise(v)).alias(name) for v, name in zip(values, unique_names(layout))]))
+    if not tables:
+        return grid.select("sheet_id", "row_no", F.lit(1).cast("bigint").alias("copy_no")).where("false")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def grid_rows(grid: DataFrame, **limits: int | None) -> DataFrame:
+    """What ``plans.run.run`` takes: the table of a grid with ``row_id`` in the order of sheets and rows."""
+    table = grid_table(grid, **limits)
+    return dense_index(table, ["sheet_id", "row_no", "copy_no"], "row_id").drop("sheet_id", "row_no", "copy_no")

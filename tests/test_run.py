@@ -1,17 +1,22 @@
 """Running sums, outliers and the whole chain."""
 
+import os
 import random
 from dataclasses import replace
 from datetime import datetime, timezone
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from recordloom.catalog.registry import dirty
 from recordloom.config import Settings
 from recordloom.operators.anomaly import contamination, detect_anomalies
+from recordloom.operators.cleaning import gender_from_names
 from recordloom.operators.ordering import exact_percentile, running_sum
 from recordloom.plans.run import read_file, run
+from recordloom.session import run_scope
+from recordloom.sources.sinks import read_result, write_result
 
 S = Settings(as_of=datetime(2026, 1, 1, tzinfo=timezone.utc))
 FOLDER = "/root/testdata/sf0.001"
@@ -81,3 +86,33 @@ def test_near_duplicates_never_meet_in_a_nested_loop(spark):
     bounds = Bounds(S.duplicate_weights, S.duplicate_threshold)
     plan = candidate_pairs(match_tuples(match_rows(people, bounds)), bounds, S)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_a_result_is_published_whole_or_not_at_all(spark, tmp_path):
+    people = dirty(spark, FOLDER).limit(30)
+    shared = spark.conf.get("recordloom.shared.dir", None)
+    for form in ("parquet", "csv", "json"):
+        path = str(tmp_path / form)
+        with run_scope(spark) as scope:
+            result = run(people, replace(S, forest_trees=0))
+            counts = result.counts.first()
+            if form == "parquet":
+                with pytest.raises(Exception):
+                    write_result(replace(result, summary=result.summary.select(F.raise_error(F.lit("lost")).alias("summary"))), path)
+                with pytest.raises(Exception):
+                    read_result(spark, path)
+            write_result(result, path, form)
+        tables = read_result(spark, path)
+        assert tables["clean"].count() == counts["clean_rows"] and tables["duplicates"].count() == counts["duplicate_rows"]
+        assert "Clean records: " + str(counts["clean_rows"]) in tables["summary"].first()[0]
+        assert sum(len(files) for _, _, files in os.walk(scope)) <= 4 and shared == spark.conf.get("recordloom.shared.dir", None)
+
+
+def test_gender_by_first_name_spreads_a_hot_name(spark):
+    rows = spark.range(300).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "Amina").when(F.col("id") % 3 == 1, "Karim").alias("name"),
+                                   F.when(F.col("id") % 10 == 0, "male").alias("gender"))
+    names = spark.createDataFrame([("AMINA", "mostly_female"), ("karim", "male"), ("amina", "female")], "first_name string, gender string")
+    found = gender_from_names(rows, names, "name", "gender")
+    assert found.columns == rows.columns
+    for r in found.collect():
+        assert r.gender == ("male" if r.row_id % 10 == 0 else ("female", "male", None)[r.row_id % 3])

@@ -7,6 +7,8 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
+from recordloom.config import Settings
+from recordloom.plans.run import run
 from recordloom.sources import delimited, grid, json_records, lookups
 
 
@@ -103,6 +105,36 @@ def test_json_shapes(spark, tmp_path):
     assert sorted(tuple(r) for r in rows) == [("p", "r"), ("q", "s")]
 
 
+def test_an_object_of_many_columns_needs_no_schema_of_rows(spark, tmp_path):
+    n = 20_000
+    path = tmp_path / "cols.json"
+    path.write_text(json.dumps({"name": {str(i): f" n{i}" for i in range(n)}, "email": {str(i): None if i % 2 else i for i in range(n)},
+                                "more": {str(n): {"x": 1}}}))
+    rows = json_records.read_json_records(spark, str(path))
+    assert rows.columns == ["name", "email", "more"]
+    got = [tuple(r) for r in rows.collect()]
+    assert got == [(f"n{i}", "" if i % 2 else str(i), "") for i in range(n)] + [("", "", '{"x":1}')]
+    (tmp_path / "one.json").write_text('{"a": {"x": 1}, "b": 2}')
+    assert json_records.read_json_records(spark, str(tmp_path / "one.json")).first()["b"] == "2"
+
+
+def test_grid_to_rows_of_a_run(spark):
+    def cells(*texts):
+        return [(t, "1") for t in texts] + [("", "2147483647")]
+
+    grid_ = spark.createDataFrame([
+        (1, 1, "1", cells("First Name", "surname", "E-Mail", "")), (1, 2, "1", cells("Ali", "Ben", "ali@x.dz", "1")), (1, 3, "2", cells("Sara", "K")),
+        (2, 5, "1", cells("E-Mail", "E-Mail")), (2, 6, "1", cells("b@x.dz", "c@x.dz")), (3, 1, "1", cells(""))],
+        "sheet_id int, row_no int, row_repeat string, cells array<struct<text:string,repeat:string>>")
+    rows = grid.grid_rows(grid_).orderBy("row_id")
+    assert sorted(rows.columns) == sorted(["row_id", "First Name", "surname", "E-Mail", "Unnamed: 3", "E-Mail.1"])
+    found = [(r["row_id"], r["First Name"], r["E-Mail"], r["E-Mail.1"], r["Unnamed: 3"]) for r in rows.collect()]
+    assert found == [(0, "Ali", "ali@x.dz", None, "1"), (1, "Sara", "", None, ""), (2, "Sara", "", None, ""), (3, None, "b@x.dz", "c@x.dz", None)]
+    clean = run(rows.where("row_id < 2"), Settings(email_domain="x.org", forest_trees=0)).clean
+    assert sorted(r["name"] for r in clean.collect()) == ["Ali Ben", "Sara K"]
+    assert grid.grid_rows(grid_.where("sheet_id = 3")).count() == 0
+
+
 def test_lookup_files(spark, tmp_path):
     (tmp_path / "l.json").write_text(json.dumps({"Math": ["m", "both"], "Art": {"aliases": ["both"]}, "k": "Value", "n": None}))
     got = lookups.as_dict(lookups.load_lookup(spark, str(tmp_path / "l.json")), 100)
