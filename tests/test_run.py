@@ -90,22 +90,23 @@ def test_near_duplicates_never_meet_in_a_nested_loop(spark):
 
 def test_a_result_is_published_whole_or_not_at_all(spark, tmp_path):
     people = dirty(spark, FOLDER).limit(30)
-    shared = spark.conf.get("recordloom.shared.dir", None)
-    for form in ("parquet", "csv", "json"):
-        path = str(tmp_path / form)
-        with run_scope(spark) as scope:
-            result = run(people, replace(S, forest_trees=0))
-            counts = result.counts.first()
-            if form == "parquet":
-                with pytest.raises(Exception):
-                    write_result(replace(result, summary=result.summary.select(F.raise_error(F.lit("lost")).alias("summary"))), path)
-                with pytest.raises(Exception):
-                    read_result(spark, path)
+    forms = {form: str(tmp_path / form) for form in ("parquet", "csv", "json")}
+    with run_scope(spark) as scope:
+        result = run(people, replace(S, forest_trees=0))
+        counts = result.counts.first()
+        lost = replace(result, summary=result.summary.select(F.raise_error(F.lit("lost")).alias("summary")))
+        with pytest.raises(Exception, match="lost"):
+            write_result(lost, forms["parquet"])
+        with pytest.raises(Exception):
+            read_result(spark, forms["parquet"])
+        for form, path in forms.items():
             write_result(result, path, form)
+    for path in forms.values():
         tables = read_result(spark, path)
         assert tables["clean"].count() == counts["clean_rows"] and tables["duplicates"].count() == counts["duplicate_rows"]
         assert "Clean records: " + str(counts["clean_rows"]) in tables["summary"].first()[0]
-        assert sum(len(files) for _, _, files in os.walk(scope)) <= 4 and shared == spark.conf.get("recordloom.shared.dir", None)
+    # The run's own tables are gone.
+    assert sum(len(files) for _, _, files in os.walk(scope)) <= 4 and spark.conf.get("recordloom.run.dir", None) is None
 
 
 def test_gender_by_first_name_spreads_a_hot_name(spark):
