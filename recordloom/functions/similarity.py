@@ -6,6 +6,7 @@ longest-common-subsequence recurrence in the bits of one integer.  The UDF is th
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,11 +61,59 @@ def ratio(a: str, b: str) -> float:
     return 100.0 * (1.0 - (total - 2 * common_length(a, b)) / total)
 
 
+LANE = 64
+AT_ONCE = 2_048
+
+
+def _common_lengths(longer: np.ndarray, shorter: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``common_length`` of many pairs at once: rows of code points, the state of each pair in one 64-bit lane.
+
+    ``longer`` has LANE columns at most, ``sizes`` the lengths of both; unused places are 0.
+    """
+    free = np.where(sizes[0] < LANE, (np.uint64(1) << np.minimum(sizes[0], LANE - 1).astype(np.uint64)) - np.uint64(1), ~np.uint64(0))
+    full = free.copy()
+    width = -(-longer.shape[1] // 8)
+    if longer.max(initial=0) < 256 and shorter.max(initial=0) < 256:
+        longer, shorter = longer.astype(np.uint8), shorter.astype(np.uint8)
+    packed = np.zeros((len(longer), LANE // 8), np.uint8)
+    for at in range(int(sizes[1].max(initial=0))):
+        packed[:, :width] = np.packbits(longer == shorter[:, at: at + 1], axis=1, bitorder="little")
+        where = packed.view(np.uint64)[:, 0]
+        hit = np.where(at < sizes[1], free & where, np.uint64(0))
+        free = (free + hit) | (free - hit)
+    return sizes[0] - np.bitwise_count(free & full).astype(np.int64)
+
+
+def ratios(left: list, right: list) -> np.ndarray:
+    """``ratio`` of many pairs; NaN where a side is None.  Texts beyond LANE letters, or with the sign 0, go one by one."""
+    out = np.full(len(left), np.nan)
+    sides = np.array([left, right], object).reshape(2, -1)
+    known = np.flatnonzero(~pd.isna(sides).any(axis=0))
+    sides = sides[:, known]
+    sizes = np.array([[*map(len, side)] for side in sides], np.int64).reshape(2, -1)
+    turned = sizes[0] < sizes[1]
+    sides, sizes = np.where(turned, sides[::-1], sides), np.where(turned, sizes[::-1], sizes)
+    # Pairs of similar length together, so that few steps are idle.
+    order = np.argsort(sizes[1], kind="stable")
+    alone = order[sizes[0][order] > LANE].tolist()
+    order = order[sizes[0][order] <= LANE]
+    for start in range(0, len(order), AT_ONCE):
+        at = order[start: start + AT_ONCE]
+        some, widths = sizes[:, at], np.maximum(sizes[:, at].max(axis=1), 1)
+        grids = [side[at].astype(f"<U{n}").view(np.uint32).reshape(len(at), n) for side, n in zip(sides, widths)]
+        common, total = _common_lengths(*grids, some), some.sum(axis=0)
+        out[known[at]] = np.where(total == 0, 100.0, 100.0 * (1.0 - (total - 2 * common) / np.maximum(total, 1)))
+        whole = [np.count_nonzero(grid, axis=1) == size for grid, size in zip(grids, some)]
+        alone += at[~(whole[0] & whole[1])].tolist()
+    for i in alone:
+        out[known[i]] = ratio(sides[0, i], sides[1, i])
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if a is None or b is None else ratio(a, b) for a, b in zip(left, right)], dtype="float64"
-    )
+    # A nullable series: NaN is null there.
+    return pd.Series(pd.array(ratios(left.tolist(), right.tolist()), dtype="Float64"))
 
 
 def field_similarity(left: Column, right: Column) -> Column:

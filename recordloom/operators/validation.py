@@ -79,27 +79,35 @@ def _get(df: DataFrame, name: str) -> Column:
 def build_records(df: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Add ``record`` (the target struct) and ``failure_reason`` (null if the record is valid)."""
     settings = settings or Settings()
+    # Names of no column of the table, so that none of those is overwritten.
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+
+    def own(name: str) -> Column:
+        return F.col(mark + name)
+
     prepared = df.withColumns(
         {
-            "_kind": resolve_user_type(_get(df, "userType"), _get(df, "schoolType"), _get(df, "last"), _get(df, "name")),
-            "_school": allowed_value(_get(df, "schoolType"), fv.ALLOWED_SCHOOL_TYPES),
-            "_given": _get(df, "name"),
-            "_family": filled(_get(df, "last")),
-            "_email": filled(_get(df, "email")),
-            "_username": filled(_get(df, "username")),
-            "_picture": F.coalesce(filled(_get(df, "profilePicture")), F.lit(settings.default_picture)),
+            mark + "kind": resolve_user_type(_get(df, "userType"), _get(df, "schoolType"), _get(df, "last"), _get(df, "name")),
+            mark + "school": allowed_value(_get(df, "schoolType"), fv.ALLOWED_SCHOOL_TYPES),
+            mark + "given": _get(df, "name"),
+            mark + "family": filled(_get(df, "last")),
+            mark + "email": filled(_get(df, "email")),
+            mark + "username": filled(_get(df, "username")),
+            mark + "picture": F.coalesce(filled(_get(df, "profilePicture")), F.lit(settings.default_picture)),
         }
     )
-    prepared = fields.with_full_name(prepared, "_given", "_family", "_name", settings.legacy_compose, fallback_to_last=True)
-    prepared = prepared.withColumn("_last", F.coalesce("_family", derived_last(F.col("_name"))))
-    school = F.col("_kind") == "school"
-    required = {"email": F.col("_email"), "name": F.col("_name"), "username": F.col("_username"), "profilePicture": F.col("_picture")}
-    lacking = F.when(school, missing_fields(required)).otherwise(missing_fields({**required, "last": F.col("_last")}))
-    prepared = prepared.withColumn("_lacking", lacking)
-    lacking = F.col("_lacking")
+    prepared = fields.with_full_name(prepared, mark + "given", mark + "family", mark + "name", settings.legacy_compose, fallback_to_last=True)
+    prepared = prepared.withColumn(mark + "last", F.coalesce(mark + "family", derived_last(own("name"))))
+    school = own("kind") == "school"
+    required = {"email": own("email"), "name": own("name"), "username": own("username"), "profilePicture": own("picture")}
+    lacking = F.when(school, missing_fields(required)).otherwise(missing_fields({**required, "last": own("last")}))
+    prepared = prepared.withColumn(mark + "lacking", lacking)
+    lacking = own("lacking")
     reason = (
-        F.when(F.col("_kind").isNull(), fv.REASON_USER_TYPE)
-        .when(school & F.col("_school").isNull(), fv.REASON_SCHOOL_TYPE)
+        F.when(own("kind").isNull(), fv.REASON_USER_TYPE)
+        .when(school & own("school").isNull(), fv.REASON_SCHOOL_TYPE)
         .when(F.size(lacking) > 0, F.concat(F.lit(fv.REASON_MISSING), F.array_join(lacking, ", ")))
     )
     location = structs.tidy_location(F.col("location")) if _is(df, "location", T.StructType) else F.lit(None).cast(structs.LOCATION)
@@ -111,27 +119,26 @@ def build_records(df: DataFrame, settings: Settings | None = None) -> DataFrame:
     person = ~school
     values = {
         "_id": tx.optional_text(_get(df, "_id")),
-        "email": F.col("_email"),
-        "name": F.col("_name"),
-        "username": F.col("_username"),
+        "email": own("email"),
+        "name": own("name"),
+        "username": own("username"),
         "phoneNumber": filled(_get(df, "phoneNumber")),
         "location": location,
-        "profilePicture": F.col("_picture"),
+        "profilePicture": own("picture"),
         "socialLinks": links,
         "verificationType": allowed_value(_get(df, "verificationType"), fv.ALLOWED_VERIFICATION),
         "description": tx.optional_text(_get(df, "description")),
         "preferences": preferences,
         "blurhash": tx.optional_text(_get(df, "blurhash")),
-        "userType": F.col("_kind"),
-        "last": F.when(person, F.col("_last")),
-        "schoolType": F.when(school, F.col("_school")),
+        "userType": own("kind"),
+        "last": F.when(person, own("last")),
+        "schoolType": F.when(school, own("school")),
         "DOB": F.when(person, revalidate_dob(_get(df, "DOB"), settings)),
         "gender": F.when(person, allowed_value(_get(df, "gender"), fv.ALLOWED_GENDERS)),
     }
     record = F.struct(*[v.cast(TARGET[k].dataType).alias(k) for k, v in values.items()])
-    return prepared.withColumns({"failure_reason": reason, "record": record}).drop(
-        "_kind", "_school", "_name", "_email", "_username", "_picture", "_last", "_given", "_family", "_lacking"
-    )
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("failure_reason", "record")]
+    return prepared.select(*kept, reason.alias("failure_reason"), record.alias("record"))
 
 
 def _is(df: DataFrame, name: str, kind: type) -> bool:

@@ -14,6 +14,7 @@ from recordloom.config import Settings
 from recordloom.operators.anomaly import contamination, detect_anomalies
 from recordloom.operators.cleaning import gender_from_names
 from recordloom.operators.ordering import exact_percentile, running_sum
+from recordloom.operators.validation import build_split
 from recordloom.plans.run import read_file, run
 from recordloom.session import run_scope
 from recordloom.sources.sinks import read_result, write_result
@@ -117,3 +118,10 @@ def test_gender_by_first_name_spreads_a_hot_name(spark):
     assert found.columns == rows.columns
     for r in found.collect():
         assert r.gender == ("male" if r.row_id % 10 == 0 else ("female", "male", None)[r.row_id % 3])
+
+
+def test_columns_of_any_name_survive_validation(spark):
+    rows = spark.createDataFrame([(1, "Ali Ben", "mine", "other", "kept", 5)], "row_id int, name string, _name string, _email string, _lacking string, __kind int")
+    rejected = build_split(rows, S).rejected
+    assert rejected.columns == [*rows.columns, "failure_reason", "row_index"]
+    assert rejected.select(*rows.columns).collect() == rows.collect()
