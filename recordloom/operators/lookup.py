@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import text as tx
 from recordloom.functions.similarity import indel_ratio, near_value, near_values
-from recordloom.operators.balance import tiled_join
+from recordloom.operators.similar import similar_pairs
 
 # Up to so many aliases equality is decided by a map in the JVM; a longer map would be searched entry by entry, so
 # there the worker's dictionary decides it.  The answers are the same.
@@ -60,40 +60,18 @@ def match_large_lookup(
 ) -> DataFrame:
     """(value, canonical, score) for a lookup DataFrame (alias, canonical, ord) of any size.
 
-    Distinct values only; equality is a plain join.  The misses meet the aliases on a shared pair of
-    neighbouring letters: from 85 up any two texts that qualify and differ share one.  Below 85 they
-    meet on every length that the threshold allows.
+    Distinct values only; equality is a plain join.  The misses meet the aliases through the index of rarest letter pairs,
+    at every threshold (above 0).
     """
-    share = threshold / 100.0
     words = values.select(F.col(value).alias("_text")).where("_text <> ''").distinct()
-    known = lookup.groupBy("alias").agg(F.max_by("canonical", "ord").alias("canonical"), F.min("ord").alias("ord"))
+    known = lookup.where("alias <> ''").groupBy("alias").agg(F.max_by("canonical", "ord").alias("canonical"), F.min("ord").alias("ord"))
     equal = words.join(known, words["_text"] == known["alias"], "left")
     exact = equal.where("alias is not null").select("_text", "canonical", F.lit(100.0).alias("score"))
-    missed = equal.where("alias is null").select("_text")
-
-    def grams(c: Column) -> Column:
-        spots = F.sequence(F.lit(1), F.length(c) - 1)
-        return F.array_distinct(F.transform(spots, lambda i: F.substr(c, i, F.lit(2))))
-
-    if threshold >= 85.0:
-        left_keys = F.when(F.length("_text") > 1, grams(F.col("_text")))
-        right_keys = F.when(F.length("alias") > 1, grams(F.col("alias")))
-    else:
-        size = F.length("_text")
-        left_keys = F.sequence(
-            F.greatest(F.lit(1), F.ceil(size * share / (2 - share))).cast("int"),
-            F.floor(size * (2 - share) / max(share, 0.01)).cast("int"),
-        ).cast("array<string>")
-        right_keys = F.array(F.length("alias").cast("string"))
-    left = missed.withColumn("_key", F.explode(left_keys))
-    right = known.withColumn("_key", F.explode(right_keys))
-    shorter, total = F.least(F.length("_text"), F.length("alias")), F.length("_text") + F.length("alias")
-    # The same pair can meet on several keys: keep it once before it is scored.
-    pairs = (
-        tiled_join(left, right, "_key", "_text", "alias", tile_rows)
-        .where(200.0 * shorter / total >= threshold - 1e-9)
-        .select("_text", "alias", "canonical", "ord").distinct()
-    )
+    one = F.lit("").alias("group")
+    missed = equal.where("alias is null").select(one, F.col("_text").alias("text"), F.lit(False).alias("half"))
+    near = similar_pairs(missed, known.select(one, F.col("alias").alias("text")), max(threshold, 1.0), tile_rows)
+    # A pair is at most as frequent as its alias has near misses; Spark splits what is skewed.
+    pairs = near.select(F.col("a").alias("_text"), F.col("b").alias("alias")).join(known, "alias")
     scored = pairs.withColumn("score", indel_ratio(F.col("_text"), F.col("alias"))).where(F.col("score") >= threshold)
     best = scored.groupBy("_text").agg(
         F.max_by(F.struct("canonical", "score"), F.struct("score", (-F.col("ord")).alias("o"))).alias("b")
