@@ -240,17 +240,17 @@ def remaining_pairs(posts: DataFrame, sets: DataFrame, how: NearDup, scratch: Sc
     centres = members.groupBy("comp").agg(F.min_by("bits", "node").alias("_centre"))
     radii = members.join(centres, "comp").groupBy("comp").agg(
         F.max(apart("bits", "_centre", how)).alias("_radius"), F.first("_centre").alias("_centre"))
-    kinds = posts.groupBy("key", "comp").agg(F.min("n").alias("_from"), F.max("n").alias("_to"))
-    names = ("comp", "_from", "_to")
+    kinds = posts.groupBy("key", "comp").agg(F.min("n").alias("_from"), F.max("n").alias("_to")).join(radii, "comp")
+    names = ("comp", "_from", "_to", "_centre", "_radius")
     left = kinds.select("key", *[F.col(c).alias(f"{c}_a") for c in names])
     right = kinds.select("key", *[F.col(c).alias(f"{c}_b") for c in names])
     reach = (F.col("_to_b") * 100 >= F.col("_from_a") * how.percent) & (F.col("_to_a") * 100 >= F.col("_from_b") * how.percent)
-    collided = left.join(right, "key").where((F.col("comp_a") < F.col("comp_b")) & reach).select("key", "comp_a", "comp_b")
-    met = collided.groupBy("comp_a", "comp_b").agg(F.count("*").alias("_met")).where(F.col("_met") >= how.collisions)
-    side_a, side_b = (radii.select(*[F.col(c).alias(f"{c}_{x}") for c in ("comp", "_radius", "_centre")]) for x in "ab")
     near = apart("_centre_a", "_centre_b", how) - F.col("_radius_a") - F.col("_radius_b") <= how.most_apart
-    crossed = scratch.keep(met.join(side_a, "comp_a").join(side_b, "comp_b").where(near).select("comp_a", "comp_b"), "crossed")
-    keyed = collided.join(crossed, ["comp_a", "comp_b"], "left_semi")
+    # What is too far apart as a whole leaves inside the join.
+    collided = left.join(right, "key").where((F.col("comp_a") < F.col("comp_b")) & reach & near).select("key", "comp_a", "comp_b")
+    collided = scratch.keep(collided, "collided")
+    crossed = collided.groupBy("comp_a", "comp_b").agg(F.count("*").alias("_met")).where(F.col("_met") >= how.collisions)
+    keyed = collided.join(crossed.select("comp_a", "comp_b"), ["comp_a", "comp_b"], "left_semi")
 
     def side(own: str, node: str) -> DataFrame:
         """Members of ``own`` that collide ``collisions`` times with the other component's keys."""
