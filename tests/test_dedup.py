@@ -203,3 +203,19 @@ def test_blocks_follow_the_kind_of_location(spark):
     nested = df.withColumn("location", F.when(F.col("row_id") < 3, F.struct(F.col("location").alias("fullLocation"))))
     blocks = {r["row_id"]: r["fields"]["block"] for r in dedup.match_rows(nested, bounds).collect()}
     assert blocks == {0: "oran", 1: dedup.NO_PROVINCE, 2: dedup.NO_PROVINCE, 3: "", 4: "", 5: ""}
+
+
+def test_letter_sketches_bound_the_similarity_from_above(spark):
+    import random
+
+    draw = random.Random(3)
+    texts = ["".join(draw.choice("aab0129é@.") for _ in range(draw.randint(1, 24))) for _ in range(60)] + ["aaaa", "a"]
+    rows = [(i, a, a, a) for i, a in enumerate(texts)]
+    made = dedup.with_sketches(spark.createDataFrame(rows, "id bigint, name string, phoneNumber string, email string"))
+    left, right = (made.select(*[F.col(c).alias(f"{side}_{c}") for c in made.columns]) for side in "lr")
+    pairs = left.crossJoin(right).select("l_name", "r_name", dedup._most_similar("name").alias("most"))
+    found = pairs.select("most", dedup.field_similarity(F.col("l_name"), F.col("r_name")).alias("score")).collect()
+    assert all(row["most"] >= row["score"] - 1e-9 for row in found)
+    # Repeated letters count: "aaaa" holds no more than one letter of "a".
+    most = {(row["l_name"], row["r_name"]): row["most"] for row in pairs.where("l_name in ('a', 'aaaa')").collect()}
+    assert most["aaaa", "a"] == 40.0 and most["a", "a"] == 100.0
