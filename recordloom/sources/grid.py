@@ -6,14 +6,13 @@ sums over range-partitioned data do that work.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as tx
 from recordloom.operators.balance import salted_join
 from recordloom.operators.ordering import dense_index, running_sum
+from recordloom.session import materialise
 from recordloom.sources.delimited import unique_names
 
 
@@ -103,14 +102,27 @@ def padded(cells: Column) -> Column:
     return F.concat(cells, F.array_repeat(F.lit(""), F.col("_width") - F.size(cells)))
 
 
-def headed(rows: DataFrame) -> DataFrame:
-    """Rows below the first of each sheet, with that row (``_headers``) and the width of the sheet (``_width``)."""
+def header_rows(rows: DataFrame) -> DataFrame:
+    """(sheet_id, _n, _width, _first, _headers): rows and width of each sheet, place and cells of its first row."""
     order = F.struct("row_no", "copy_no")
-    sheets = rows.groupBy("sheet_id").agg(
+    return rows.groupBy("sheet_id").agg(
         F.count("*").alias("_n"), F.max(F.size("cells")).alias("_width"),
         F.min(order).alias("_first"), F.min_by("cells", order).alias("_headers"),
     )
-    return salted_join(rows, sheets, "sheet_id", F.xxhash64("row_no", "copy_no")).where(order != F.col("_first"))
+
+
+def below_header(rows: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Rows below the first of each sheet, with what ``sheets`` says of it."""
+    joined = salted_join(rows, sheets, "sheet_id", F.xxhash64("row_no", "copy_no"))
+    return joined.where(F.struct("row_no", "copy_no") != F.col("_first"))
+
+
+def headed(rows: DataFrame) -> DataFrame:
+    """Rows below the first of each sheet, with that row (``_headers``) and the width of the sheet (``_width``).
+
+    What is known of the sheets is written once; the join reads it several times.
+    """
+    return below_header(rows, materialise(header_rows(rows), "sheets"))
 
 
 def promote_header(rows: DataFrame) -> DataFrame:
@@ -140,20 +152,27 @@ def grid_table(grid: DataFrame, repeat: int | None = None, blank_run: int | None
     .1, .2, ..., empty ones their position).  Cells are taken by position, nothing is pivoted.  A column that a sheet lacks is
     null, a cell that a row lacks empty.
     """
-    body = headed(cap_rows(drop_blank_rows(normal_rows(grid, repeat), blank_run), cap))
-    body = body.withColumn("_layout", F.transform(padded(F.col("_headers")), lambda h: tx.strip(h)))
-    layouts = [row["_layout"] for row in body.select("_layout").distinct().orderBy("_layout").collect()]
-    places = ["sheet_id", "row_no", "copy_no"]
-    tables = []
-    for layout in layouts:
-        cells = padded(F.col("cells"))
-        values = [F.get(cells, F.lit(i)) for i in range(len(layout))]
-        own = body.where(F.col("_layout") == F.array(*[F.lit(h) for h in layout]))
-        tables.append(own.select(*places, *[
-            tx.strip(F.when(v.isin("nan", "None"), "").otherwise(v)).alias(name) for v, name in zip(values, unique_names(layout))]))
-    if not tables:
+    rows = cap_rows(drop_blank_rows(normal_rows(grid, repeat), blank_run), cap)
+    sheets = materialise(header_rows(rows).withColumn("_layout", F.transform(padded(F.col("_headers")), lambda h: tx.strip(h))), "sheets")
+    layouts = [row["_layout"] for row in sheets.where("_n > 1").select("_layout").distinct().orderBy("_layout").collect()]
+    if not layouts:
         return grid.select("sheet_id", "row_no", F.lit(1).cast("bigint").alias("copy_no")).where("false")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    named = [unique_names(layout) for layout in layouts]
+    # Names that differ in case alone are one column, unless a sheet holds both.
+    alike = all(len({name.lower() for name in own}) == len(own) for own in named)
+    fold = str.lower if alike else str
+    names: dict[str, str] = {}
+    for name in (name for own in named for name in own):
+        names.setdefault(fold(name), name)
+    # Each sheet brings the place of every column among its cells, so one pass writes all layouts.
+    placed = [{fold(name): at for at, name in enumerate(own)} for own in named]
+    places = [(layout, [at.get(name) for name in names]) for layout, at in zip(layouts, placed)]
+    known = grid.sparkSession.createDataFrame(places, "_layout array<string>, _places array<int>")
+    body = below_header(rows, sheets.join(known, "_layout").drop("_layout"))
+    cells = padded(F.col("cells"))
+    values = [F.get(cells, F.get("_places", F.lit(i))) for i in range(len(names))]
+    return body.select("sheet_id", "row_no", "copy_no", *[
+        tx.strip(F.when(v.isin("nan", "None"), "").otherwise(v)).alias(name) for v, name in zip(values, names.values())])
 
 
 def grid_rows(grid: DataFrame, **limits: int | None) -> DataFrame:

@@ -192,3 +192,19 @@ def test_csv_loses_no_column_and_no_field(spark, tmp_path):
 def test_aliases_of_a_long_entry_stay_apart(spark):
     entries = spark.createDataFrame([("A", json.dumps([f"a{i}" for i in range(100_001)]), 0), ("B", '["b"]', 1)], "key string, value string, ord int")
     assert lookups.flatten_lookup(entries).selectExpr("count(distinct ord) = count(*) as apart").first()["apart"]
+
+
+def test_a_table_of_many_layouts_takes_one_pass(spark):
+    cell = lambda text: (text, "1")
+    rows = []
+    for sheet in range(6):
+        rows.append((sheet, 1, "1", [cell(f"h{sheet}"), cell("Same" if sheet % 2 else "same")]))
+        rows.append((sheet, 2, "1", [cell(f"v{sheet}"), cell(f"s{sheet}")]))
+    df = spark.createDataFrame(rows, "sheet_id int, row_no int, row_repeat string, cells array<struct<text: string, repeat: string>>")
+    table = grid.grid_table(df)
+    assert table.columns == ["sheet_id", "row_no", "copy_no", "h0", "same", "h1", "h2", "h3", "h4", "h5"]
+    found = {row["sheet_id"]: row.asDict() for row in table.collect()}
+    assert all(found[i]["same"] == f"s{i}" and found[i][f"h{i}"] == f"v{i}" for i in range(6))
+    assert found[0]["h1"] is None
+    # One reading of the rows, however many layouts there are.
+    assert "Union" not in table._jdf.queryExecution().optimizedPlan().toString()
