@@ -219,3 +219,20 @@ def test_letter_sketches_bound_the_similarity_from_above(spark):
     # Repeated letters count: "aaaa" holds no more than one letter of "a".
     most = {(row["l_name"], row["r_name"]): row["most"] for row in pairs.where("l_name in ('a', 'aaaa')").collect()}
     assert most["aaaa", "a"] == 40.0 and most["a", "a"] == 100.0
+
+
+def test_tiles_are_dealt_over_the_tasks_that_their_pairs_ask_for(spark):
+    """Few bytes make many pairs, so Spark's choice by bytes would leave them to one task."""
+    rows = spark.range(400).selectExpr("cast(id % 40 as string) as key", "id as l_id")
+    other = rows.withColumnRenamed("l_id", "r_id")
+    met = dedup.tiled_join(rows, other, "key", "l_id", "r_id", 3, tasks=13)
+    assert met.count() == 4_000 and met.dropDuplicates().count() == 4_000
+    assert met.rdd.getNumPartitions() == 13
+
+
+def test_tidy_texts_score_as_the_texts_they_come_from(spark):
+    texts = [None, "", "  ", "Amine", " amine ", "ÉLODIE İ", "karim benali", "x" * 70]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    tidy = dedup.tidy_similarity(F.lower(F.trim("a")), F.lower(F.trim("b")))
+    rows = df.select(dedup.field_similarity(F.col("a"), F.col("b")).alias("x"), tidy.alias("y")).collect()
+    assert all(r.x == r.y for r in rows) and {0.0, 100.0} < {r.x for r in rows}
