@@ -5,18 +5,19 @@ posting key.  Two sets whose Jaccard similarity is 0.8 agree in about 80 % of th
 candidate when it agrees in at least ``matches`` of them.  Keys are ordered by how many sets post under them; a set
 with s shared keys posts only under its ``s - matches + collisions`` rarest (the prefix): two sets with enough agreements
 must collide ``collisions`` times there.  What is frequent is skipped by that, not cut off.  Sets with fewer than ``matches`` shared keys
-can have no partner and leave at once.  Collisions of the candidates are then counted on ``bits`` further coordinates
-of one bit each, and what passes is confirmed on whole shingle sets.
+can have no partner and leave at once.  Each live set is also folded to ``bits`` bits in which every shingle turns one over: two
+such sketches differ in no more bits than the sets differ in shingles, so what they rule out is no link for certain.  What
+passes is confirmed on whole shingle sets.
 
 Equal sets are one node from the start.  Inside a posting list each node first meets one pivot; lists of near
 copies collapse to one component that way in linear work.  A last exact round meets components that still share a
 list: first as a whole, by the distance of one member each less the radii around them and by counting on how many keys
-they collide, then member by member.  So no link between different texts is lost and no list is spelled out within a component.
+they collide, then the members of the smaller one look at those of the larger one, whatever keys they have.  So no link
+between different texts is lost, no list is spelled out within a component and none once for every key.
 """
 
 from __future__ import annotations
 
-import math
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.common import Scratch, row_key, split_by_keys
 from recordloom.llm.components import components
+from recordloom.operators.balance import tiled_join
 from recordloom.session import materialise
 
 CACHED_WORDS = 300_000
 CHUNK = 512
+TILE_ROWS = 4_096
 
 
 @dataclass(frozen=True)
@@ -48,18 +51,9 @@ class NearDup:
     coordinates: int = 96
     matches: int = 61
     collisions: int = 4
-    bits: int = 1_024
+    bits: int = 2_048
     pivot_rounds: int = 3
 
-    @property
-    def most_apart(self) -> int:
-        """Bits in which a pair at the threshold differs at most: two unlike coordinates agree in every other bit.
-
-        Five standard deviations above the mean, so a pair is missed with probability 3e-7.
-        """
-        unlike = (1 - self.percent / 100) / 2
-        return math.ceil(self.bits * unlike + 5 * math.sqrt(self.bits * unlike * (1 - unlike)))
-
 
 class Shingler:
     """Shingle sets of texts as sorted 64-bit hashes."""
@@ -108,10 +102,14 @@ class Signer:
     def sign(self, hashes: np.ndarray) -> np.ndarray:
         return (self.least(hashes) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
-    def one_bit(self, hashes: np.ndarray) -> np.ndarray:
-        """One bit of each coordinate, packed in 64-bit integers."""
-        mixed = self.least(hashes) * np.uint64(0x9E3779B97F4A7C15)
-        return np.packbits((mixed >> np.uint64(63)).astype(np.uint8)).view(np.int64)
+
+def odd_bits(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which of ``bits`` (a power of two) places an odd number of hashes falls on, packed in 64-bit integers.
+
+    What two sets share falls out of the difference of their bits, and every other hash changes one bit at most.
+    """
+    places = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - bits.bit_length())
+    return np.packbits((np.bincount(places.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
 def signed(docs: DataFrame, how: NearDup) -> DataFrame:
@@ -141,10 +139,10 @@ def signed(docs: DataFrame, how: NearDup) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, how: NearDup) -> DataFrame:
-    """(node, bits, grams) of rows (node, h1, text) whose set is indeed the one that the node names."""
+    """(node, n, bits, grams) of rows (node, h1, text) whose set is indeed the one that the node names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, signer = Shingler(how.words), Signer(how.bits, seed=20240302)
+        shingler = Shingler(how.words)
         for batch in batches:
             nodes, bits, grams = [], [], []
             for node, h1, text in zip(batch.column("node"), batch.column("h1"), batch.column("text").cast(pa.binary())):
@@ -152,13 +150,15 @@ def shingle_sets(texts: DataFrame, how: NearDup) -> DataFrame:
                 name = xxhash.xxh3_128_digest(hashes.tobytes())
                 if int.from_bytes(name[:8], "little", signed=True) == h1.as_py():
                     nodes.append(node.as_py())
-                    bits.append(signer.one_bit(hashes))
+                    bits.append(odd_bits(hashes, how.bits))
                     grams.append(hashes.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int64()))],
-                ["node", "bits", "grams"])
+                [pa.array(nodes, pa.int64()), pa.array(map(len, grams), pa.int64()), pa.array(bits, pa.list_(pa.int64())),
+                 pa.array(grams, pa.list_(pa.int64()))],
+                ["node", "n", "bits", "grams"])
 
-    return texts.select("node", "h1", "text").mapInArrow(run, "node bigint, bits array<bigint>, grams array<bigint>")
+    return texts.select("node", "h1", "text").mapInArrow(
+        run, "node bigint, n bigint, bits array<bigint>, grams array<bigint>")
 
 
 def shared_keys(rows: DataFrame, how: NearDup) -> DataFrame:
@@ -192,6 +192,11 @@ def apart(left: str, right: str, how: NearDup) -> Column:
     return sum((F.bit_count(F.get(left, i).bitwiseXOR(F.get(right, i))) for i in range(how.bits // 64)), F.lit(0))
 
 
+def within(differing: Column, both: Column, how: NearDup) -> Column:
+    """Whether sets of ``both`` shingles together that differ in ``differing`` may be similar enough."""
+    return differing * (100 + how.percent) <= both * (100 - how.percent)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
     """Pairs (u, v) whose sets are similar enough."""
     left = sets.select(F.col("node").alias("u"), F.col("grams").alias("_a"))
@@ -223,46 +228,44 @@ def pivot_pairs(posts: DataFrame, sets: DataFrame, seed: int, how: NearDup) -> D
     met = posts.join(pivots, "key").where(
         (F.col("comp") != F.col("_vc")) & similar_size(F.col("n"), F.col("_vn"), how)
     ).select(F.col("node").alias("u"), "v").distinct()
-    left = sets.select(F.col("node").alias("u"), F.col("bits").alias("_a"))
-    right = sets.select(F.col("node").alias("v"), F.col("bits").alias("_b"))
-    alike = met.join(left, "u").join(right, "v").withColumn("_apart", apart("_a", "_b", how)).where(
-        F.col("_apart") <= how.most_apart)
-    return alike.groupBy("u").agg(F.min_by("v", F.struct("_apart", "v")).alias("v"))
+    left = sets.select(F.col("node").alias("u"), F.col("n").alias("_un"), F.col("bits").alias("_a"))
+    right = sets.select(F.col("node").alias("v"), F.col("n").alias("_vn"), F.col("bits").alias("_b"))
+    alike = met.join(left, "u").join(right, "v").withColumn("_apart", apart("_a", "_b", how)).withColumn(
+        "_both", F.col("_un") + F.col("_vn")).where(within(F.col("_apart"), F.col("_both"), how))
+    return alike.groupBy("u").agg(F.min_by("v", F.struct(F.col("_apart") / F.col("_both"), "v")).alias("v"))
 
 
 def remaining_pairs(posts: DataFrame, sets: DataFrame, how: NearDup, scratch: Scratch) -> DataFrame:
     """All plausible pairs that share keys and lie in different components, each once.
 
     Sets that are alike collide on ``collisions`` keys, so their components do; pairs of components that collide on fewer are never
-    spelled out.
+    spelled out.  Of the others each member of the smaller one is written once and looks at the members of the larger one.
     """
-    members = scratch.keep(posts.select("node", "comp").distinct().join(sets.select("node", "bits"), "node"), "members")
+    members = posts.select("node", "comp").distinct().join(sets.select("node", "n", "bits"), "node")
+    members = scratch.keep(members, "members")
     centres = members.groupBy("comp").agg(F.min_by("bits", "node").alias("_centre"))
     radii = members.join(centres, "comp").groupBy("comp").agg(
-        F.max(apart("bits", "_centre", how)).alias("_radius"), F.first("_centre").alias("_centre"))
+        F.max(apart("bits", "_centre", how)).alias("_radius"), F.first("_centre").alias("_centre"), F.count("*").alias("_size"))
     kinds = posts.groupBy("key", "comp").agg(F.min("n").alias("_from"), F.max("n").alias("_to")).join(radii, "comp")
-    names = ("comp", "_from", "_to", "_centre", "_radius")
+    names = ("comp", "_from", "_to", "_centre", "_radius", "_size")
     left = kinds.select("key", *[F.col(c).alias(f"{c}_a") for c in names])
     right = kinds.select("key", *[F.col(c).alias(f"{c}_b") for c in names])
     reach = (F.col("_to_b") * 100 >= F.col("_from_a") * how.percent) & (F.col("_to_a") * 100 >= F.col("_from_b") * how.percent)
-    near = apart("_centre_a", "_centre_b", how) - F.col("_radius_a") - F.col("_radius_b") <= how.most_apart
+    near = within(apart("_centre_a", "_centre_b", how) - F.col("_radius_a") - F.col("_radius_b"), F.col("_to_a") + F.col("_to_b"), how)
     # What is too far apart as a whole leaves inside the join.
-    collided = left.join(right, "key").where((F.col("comp_a") < F.col("comp_b")) & reach & near).select("key", "comp_a", "comp_b")
-    collided = scratch.keep(collided, "collided")
-    crossed = collided.groupBy("comp_a", "comp_b").agg(F.count("*").alias("_met")).where(F.col("_met") >= how.collisions)
-    keyed = collided.join(crossed.select("comp_a", "comp_b"), ["comp_a", "comp_b"], "left_semi")
-
-    def side(own: str, node: str) -> DataFrame:
-        """Members of ``own`` that collide ``collisions`` times with the other component's keys."""
-        met = keyed.join(posts.select("key", F.col("comp").alias(own), "node", "n"), ["key", own])
-        met = met.groupBy("comp_a", "comp_b", "node").agg(F.first("n").alias("n"), F.count("*").alias("_met"))
-        return met.where(F.col("_met") >= how.collisions).select(
-            "comp_a", "comp_b", F.col("node").alias(node), F.col("n").alias(f"_{node}n"))
-
-    pairs = side("comp_a", "u").join(side("comp_b", "v"), ["comp_a", "comp_b"]).where(similar_size(F.col("_un"), F.col("_vn"), how))
-    first = members.select(F.col("node").alias("u"), F.col("bits").alias("_ub"))
-    second = members.select(F.col("node").alias("v"), F.col("bits").alias("_vb"))
-    return pairs.join(first, "u").join(second, "v").where(apart("_ub", "_vb", how) <= how.most_apart).select("u", "v")
+    collided = left.join(right, "key").where((F.col("comp_a") < F.col("comp_b")) & reach & near).select(
+        "comp_a", "comp_b", (F.col("_size_a") <= F.col("_size_b")).alias("_smaller"))
+    crossed = collided.groupBy("comp_a", "comp_b").agg(F.count("*").alias("_met"), F.first("_smaller").alias("_smaller")).where(
+        F.col("_met") >= how.collisions)
+    crossed = scratch.keep(crossed.select(
+        F.when(F.col("_smaller"), F.col("comp_a")).otherwise(F.col("comp_b")).alias("_own"),
+        F.when(F.col("_smaller"), F.col("comp_b")).otherwise(F.col("comp_a")).alias("comp")), "crossed")
+    first = members.select(F.col("comp").alias("_own"), F.col("node").alias("u"), F.col("n").alias("_un"), F.col("bits").alias("_ub"))
+    second = members.select("comp", F.col("node").alias("v"), F.col("n").alias("_vn"), F.col("bits").alias("_vb"))
+    # What the sketches rule out leaves inside this join too.
+    met = tiled_join(crossed.join(first, "_own").drop("_own"), second, "comp", "u", "v", TILE_ROWS)
+    alike = within(apart("_ub", "_vb", how), F.col("_un") + F.col("_vn"), how)
+    return met.where(similar_size(F.col("_un"), F.col("_vn"), how) & alike).select("u", "v")
 
 
 def link_nodes(docs: DataFrame, nodes: DataFrame, how: NearDup) -> DataFrame | None:

@@ -72,3 +72,29 @@ def test_components_by_contraction(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, x) for x in range(60, 90)] + [(200, 200)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {**{i: 0 for i in range(51)}, **{x: 60 for x in [*range(60, 90), 100]}, 200: 200}
+
+
+def test_near_copies_below_the_threshold_are_ruled_out_before_they_are_confirmed(spark, monkeypatch):
+    """40 texts that share 170 of 200 shingles, pair by pair a similarity of 0.74: no pair of them is spelled out."""
+    from recordloom.llm import near_duplicates as nd
+
+    docs = spark.sql("""
+        select id as doc_id, array_join(transform(sequence(1, 201), i -> if(i <= 171, concat('w', i), concat('x', id, '_', i))), ' ') as text
+        from range(40)""")
+    seen, confirmed = [], nd.confirmed
+    monkeypatch.setattr(nd, "confirmed", lambda pairs, sets, how: seen.append(pairs.count()) or confirmed(pairs, sets, how))
+    check(docs, 2)
+    assert max(seen, default=0) == 0
+
+
+def test_odd_bits_differ_in_no_more_places_than_their_sets():
+    import numpy as np
+
+    from recordloom.llm.near_duplicates import odd_bits
+
+    draw = np.random.default_rng(5)
+    for size in (0, 1, 30, 500, 6_000):
+        pool = draw.integers(0, 2**64, size + 40, dtype=np.uint64)
+        a, b = np.unique(pool[:size]), np.unique(pool[-size:] if size else pool[:0])
+        apart = int(np.bitwise_count((odd_bits(a, 2_048) ^ odd_bits(b, 2_048)).view(np.uint64)).sum())
+        assert apart <= len(np.setxor1d(a, b)) and odd_bits(a, 2_048).shape == (32,)
