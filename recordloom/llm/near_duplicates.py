@@ -51,7 +51,7 @@ class NearDup:
     coordinates: int = 96
     matches: int = 61
     collisions: int = 4
-    bits: int = 2_048
+    bits: int = 1_024
     pivot_rounds: int = 3
 
 
