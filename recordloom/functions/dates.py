@@ -16,6 +16,8 @@ _MONTH = (
     "|(?<=oct)ober|(?<=nov)ember|(?<=dec)ember)?"
 )
 DAY_SECONDS = 86_400
+# What year-month-day may look like; other text never is a date, and trying it costs an exception.
+_YMD = r"^[-+]?\d+-[^-]+-[-+]?\d+$"
 
 
 def _date(text: Column, pattern: str, ymd: str, form: str = "y-M-d") -> Column:
@@ -23,7 +25,8 @@ def _date(text: Column, pattern: str, ymd: str, form: str = "y-M-d") -> Column:
 
     Other text, and dates that no calendar has, give null.
     """
-    return F.try_to_timestamp(F.regexp_replace(text, pattern, ymd), F.lit(form))
+    ordered = F.regexp_replace(text, pattern, ymd)
+    return F.try_to_timestamp(F.when(ordered.rlike(_YMD), ordered), F.lit(form))
 
 
 def _free_form(text: Column) -> Column:

@@ -53,8 +53,9 @@ def _unicode_form(form: str):
     return normalise
 
 
-def nfkc(c: Column) -> Column:
-    changed = _unicode_form("NFKC")(F.when(~c.rlike(_NFKC_STABLE), c))
+def nfkc(c: Column, pinned: bool = False) -> Column:
+    form = _unicode_form("NFKC")
+    changed = (form.asNondeterministic() if pinned else form)(F.when(~c.rlike(_NFKC_STABLE), c))
     return F.coalesce(changed, c)
 
 
@@ -73,9 +74,12 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACES}+|{SPACES}+$", "")
 
 
-def normalize_text(c: Column) -> Column:
-    """Null to '', compatibility composition, western digits, single spaces, trimmed."""
-    text = nfkc(F.coalesce(c.cast("string"), F.lit("")))
+def normalize_text(c: Column, pinned: bool = False) -> Column:
+    """Null to '', compatibility composition, western digits, single spaces, trimmed.
+
+    A ``pinned`` column is computed once, however many rules read it; without that the optimizer writes it out in each of them.
+    """
+    text = nfkc(F.coalesce(c.cast("string"), F.lit("")), pinned)
     return tidy(text)
 
 

@@ -79,7 +79,7 @@ def clean_table(df: DataFrame, settings: Settings | None = None, names: DataFram
     """Replace each known column by its cleaned value; other columns stay as they are."""
     settings = settings or Settings()
     by_name = names is not None and "gender" in df.columns
-    texts = [tx.normalize_text(_raw_text(df, c)).alias(f"_t_{c}") for c in TEXT_FIELDS if c in df.columns]
+    texts = [tx.normalize_text(_raw_text(df, c), pinned=True).alias(f"_t_{c}") for c in TEXT_FIELDS if c in df.columns]
     done = cleaners(df, settings)
     columns = [done.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns]
     if by_name:

@@ -11,7 +11,7 @@ from recordloom.operators.similar import similar_pairs
 
 # Up to so many aliases equality is decided by a map in the JVM; a longer map would be searched entry by entry, so
 # there the worker's dictionary decides it.  The answers are the same.
-MAP_ALIASES = 500
+MAP_ALIASES = 50
 
 
 def _equal(lookup: dict[str, str], key: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from recordloom.config import Settings
 from recordloom.functions import dates, fields, similarity
 from recordloom.functions import text as tx
+from recordloom.operators import cleaning
 from recordloom.operators.lookup import clean_preferences, fuzzy_lookup, match_large_lookup
 from recordloom.operators.mapping import map_headers
 
@@ -143,3 +144,17 @@ def test_many_pairs_are_fast():
     for a, b in zip(left[:8_000], right):
         similarity.ratio(a, b)
     assert many / 40_000 < (time.perf_counter() - start) / 8_000 / 3
+
+
+def test_each_text_is_normalised_once(spark):
+    fields_of_text = ["name", "last", "email", "phoneNumber", "DOB", "userType"]
+    df = spark.createDataFrame([(i, *["x"] * 6) for i in range(3)], "row_id bigint, " + ", ".join(f"{c} string" for c in fields_of_text))
+    plan = cleaning.clean_table(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("u2028") == len(fields_of_text)
+
+
+def test_texts_that_are_nearly_dates(spark):
+    rows = [("1990-005-03",), ("1990-May-03",), ("12001-5-3",), ("03/05/1990",), ("5/13/1990",), ("1990-13-5",), ("x-y-z",), ("",), ("3rd may 1990",)]
+    found = spark.createDataFrame(rows, "t string").select(dates.clean_dob(F.col("t"), datetime(2026, 1, 1, tzinfo=timezone.utc)))
+    first = 641692800
+    assert [r[0] for r in found.collect()] == [first, first, None, first, 642556800, 642556800, None, None, first]
