@@ -26,6 +26,8 @@ from recordloom.session import materialise
 WORDS = re.compile(r"[^\W\d_]+").findall
 BEGINNINGS = (3, 4, 5, 6, 7)
 CACHED = 300_000
+# Documents whose features are laid out at once when they are counted.
+TOGETHER = 256
 # A threshold that no probability reaches.
 NEVER = 2.0
 
@@ -67,26 +69,51 @@ def document_features(texts: DataFrame) -> DataFrame:
     return texts.select("_key", "text").mapInArrow(run, "_key bigint, feats array<int>")
 
 
+def counted(feats: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of some documents, sorted, and in how many each occurs; a few documents are laid out at a time."""
+    ids, counts = np.empty(0, np.int32), np.empty(0, np.int64)
+    for at in range(0, len(feats), TOGETHER):
+        more, n = np.unique(np.concatenate(feats[at: at + TOGETHER]), return_counts=True)
+        both, place = np.unique(np.concatenate([ids, more]), return_inverse=True)
+        summed = np.zeros(len(both), np.int64)
+        summed[place[: len(ids)]] = counts
+        summed[place[len(ids):]] += n
+        ids, counts = both, summed
+    return ids, counts
+
+
+def located(feats: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the features ``ids`` (sorted) occur: numbers of documents and, beside them, places in ``ids``."""
+    of, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for number, found in enumerate(feats if len(ids) else []):
+        place = np.minimum(np.searchsorted(ids, found), len(ids) - 1)
+        place = place[ids[place] == found]
+        of.append(np.full(len(place), number))
+        at.append(place)
+    return np.concatenate(of), np.concatenate(at)
+
+
 def fit(rows: pd.DataFrame, how: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Features, their weights, the weights of earlier probabilities, and the bias, from feats, earlier and y."""
+    """Features, their weights, the weights of earlier probabilities, and the bias, from feats, earlier and y.
+
+    Only the chosen features are ever laid out for all documents.
+    """
     y = rows["y"].to_numpy(float)
     earlier = np.array(rows["earlier"].tolist(), float).reshape(len(rows), -1)
     share = (y.sum() + 0.5) / (len(y) + 1)
     bias = float(np.log(share / (1 - share)))
-    sizes = rows["feats"].map(len).to_numpy()
-    if not len(y) or y.min() == y.max() or not sizes.sum():
+    feats = [np.asarray(found, np.int32) for found in rows["feats"]]
+    if not len(y) or y.min() == y.max() or not any(map(len, feats)):
         return np.empty(0, np.int32), np.empty(0), np.zeros(earlier.shape[1]), bias
-    ids, place = np.unique(np.concatenate(rows["feats"].to_numpy()), return_inverse=True)
-    of = np.repeat(np.arange(len(y)), sizes)
-    yes, total = np.bincount(place, y[of], len(ids)), np.bincount(place, minlength=len(ids))
+    ids, total = counted(feats)
+    present, n = counted([found for found, is_yes in zip(feats, y) if is_yes])
+    yes = np.zeros(len(ids))
+    yes[np.searchsorted(ids, present)] = n
     p, q = (yes + 0.5) / (y.sum() + 1), (total - yes + 0.5) / (len(y) - y.sum() + 1)
     z = np.log(p / q) / np.sqrt(1 / (yes + 0.5) + 1 / (total - yes + 0.5))
     good = np.flatnonzero((total >= how.least_support) & (np.abs(z) >= how.least_z))
     good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[: how.features]])
-    column = np.full(len(ids), -1)
-    column[good] = np.arange(len(good))
-    used = column[place] >= 0
-    of, at = of[used], column[place][used]
+    of, at = located(feats, ids[good])
     weights, chained = np.zeros(len(good)), np.zeros(earlier.shape[1])
     # Gradient steps with momentum; the step size follows from the densest document.
     rate = 4.0 / (1 + np.bincount(of, minlength=len(y)).mean() + earlier.shape[1])

@@ -1,8 +1,11 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.llm.toxicity import WORDS, Chain, drop_toxic, features_of, fit_chain, toxicity
+from recordloom.llm.toxicity import WORDS, Chain, drop_toxic, features_of, fit, fit_chain, toxicity
 
 
 def labels(spark):
@@ -65,3 +68,17 @@ def test_chained_weights_and_probabilities_equal_a_plain_chain(spark):
             margin = model["bias"] + sum(w for f, w in zip(model["feats"], model["weights"]) if f in present) + np.dot(model["chained"], earlier)
             earlier.append(1 / (1 + np.exp(-margin)))
         assert [row.p_low_quality, row.p_toxic] == pytest.approx(earlier, abs=1e-9)
+
+
+def test_a_model_is_fitted_without_laying_out_all_features():
+    rng = np.random.default_rng(3)
+    feats = [np.unique(rng.integers(0, 100_000, 1_500)).astype(np.int32) for _ in range(2_000)]
+    y = rng.integers(0, 2, len(feats))
+    feats = [np.union1d(f, [200_000 + label]).astype(np.int32) for f, label in zip(feats, y)]
+    rows = pd.DataFrame({"feats": feats, "earlier": [[]] * len(feats), "y": y})
+    tracemalloc.start()
+    ids, weights, _, _ = fit(rows, Chain())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {200_000, 200_001} <= set(ids.tolist()) and weights[ids == 200_001] > 0 > weights[ids == 200_000]
+    assert peak < 16 * sum(map(len, feats))
