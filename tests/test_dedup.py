@@ -236,3 +236,34 @@ def test_tidy_texts_score_as_the_texts_they_come_from(spark):
     tidy = dedup.tidy_similarity(F.lower(F.trim("a")), F.lower(F.trim("b")))
     rows = df.select(dedup.field_similarity(F.col("a"), F.col("b")).alias("x"), tidy.alias("y")).collect()
     assert all(r.x == r.y for r in rows) and {0.0, 100.0} < {r.x for r in rows}
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_dense_cells_are_scored_like_others(spark, monkeypatch, missing):
+    rng = random.Random(11)
+    stems = ["amine benali", "amin benali", "karima zid", "x" * 70, "y" * 64 + "z", "é\0b", "", None]
+    rows = []
+    for i in range(400):
+        name = rng.choice(stems)
+        name = name if not name or rng.random() < 0.3 else name[: rng.randrange(1, len(name) + 1)] + rng.choice(["", "a", "ب"])
+        phone = rng.choice([None, "", "+2135500" + str(rng.randrange(100, 140))])
+        mail = rng.choice([None, "", f"a{rng.randrange(9)}@x.dz", "longer.address@example.org"])
+        rows.append((i, name, phone, rng.choice([None, 5, 6]), mail, rng.choice(["oran", "alger", None])))
+    df = spark.createDataFrame(rows, "row_id bigint, name string, phoneNumber string, DOB bigint, email string, wilaya string")
+    settings = replace(SETTINGS, missing_dob_matches=missing, tile_rows=37)
+    found = []
+    for most in (10, 1_000_000_000):
+        monkeypatch.setattr(dedup, "DENSE_PAIRS", most)
+        result = dedup.fuzzy_pairs(df, settings)
+        found.append(sorted(map(tuple, result.links.select("l_id", "r_id", "l_n", "r_n", "score", "reason").collect())))
+    assert found[0] == found[1] and len(found[0]) > 20
+
+
+def test_pairs_under_dense_keys_are_not_spelled_out(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "DENSE_PAIRS", 1_000)
+    rows = [(i, f"person {i % 7}", f"+21355000{i:04d}", 5, None, "oran") for i in range(100)]
+    df = spark.createDataFrame(rows, "row_id bigint, name string, phoneNumber string, DOB bigint, email string, wilaya string")
+    bounds = dedup.Bounds(SETTINGS.duplicate_weights, SETTINGS.duplicate_threshold)
+    tuples, dense = dedup.materialise(dedup.match_tuples(dedup.match_rows(df, bounds)), "tuples"), []
+    assert dedup.candidate_pairs(tuples, bounds, SETTINGS, dense).count() == 0
+    assert [some.count() > 0 for some in dense] == [True]
