@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import Scratch, row_key, split_by_keys
+from recordloom.llm.common import Scratch, row_key, small_batches, split_by_keys
 from recordloom.llm.components import components
 from recordloom.operators.balance import tiled_join
 from recordloom.session import materialise
@@ -134,6 +134,7 @@ def signed(docs: DataFrame, how: NearDup) -> DataFrame:
                  pa.array(second, pa.int64()), pa.array(signatures, pa.list_(pa.int32()))],
                 ["_key", "doc_id", "n", "h1", "h2", "sig"])
 
+    small_batches(docs.sparkSession)
     return docs.select("_key", "doc_id", "text").mapInArrow(
         run, "_key bigint, doc_id bigint, n bigint, h1 bigint, h2 bigint, sig array<int>")
 
@@ -157,6 +158,7 @@ def shingle_sets(texts: DataFrame, how: NearDup) -> DataFrame:
                  pa.array(grams, pa.list_(pa.int64()))],
                 ["node", "n", "bits", "grams"])
 
+    small_batches(texts.sparkSession)
     return texts.select("node", "h1", "text").mapInArrow(
         run, "node bigint, n bigint, bits array<bigint>, grams array<bigint>")
 

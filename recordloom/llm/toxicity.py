@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import kept_as_table, split_by_keys
+from recordloom.llm.common import kept_as_table, small_batches, split_by_keys
 from recordloom.session import materialise
 
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -66,6 +66,7 @@ def document_features(texts: DataFrame) -> DataFrame:
                      for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(found, pa.list_(pa.int32()))], ["_key", "feats"])
 
+    small_batches(texts.sparkSession)
     return texts.select("_key", "text").mapInArrow(run, "_key bigint, feats array<int>")
 
 
@@ -259,6 +260,7 @@ def scored(texts: DataFrame, chain: Fitted) -> DataFrame:
             found = pa.array([scorer.scores(text.as_py()) for text in batch.column("text")], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "_scores"])
 
+    small_batches(texts.sparkSession)
     return texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, _scores array<double>")
 
 
@@ -288,4 +290,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, how: Chain = Chain()) -> Data
             clean = [scorer.scores(text.as_py())[-1] < chain.threshold for text in batch.column("text")]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -1,5 +1,6 @@
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from recordloom.llm.components import components
@@ -98,3 +99,15 @@ def test_odd_bits_differ_in_no_more_places_than_their_sets():
         a, b = np.unique(pool[:size]), np.unique(pool[-size:] if size else pool[:0])
         apart = int(np.bitwise_count((odd_bits(a, 2_048) ^ odd_bits(b, 2_048)).view(np.uint64)).sum())
         assert apart <= len(np.setxor1d(a, b)) and odd_bits(a, 2_048).shape == (32,)
+
+
+def test_whole_texts_travel_in_small_batches(spark):
+    docs = spark.range(0, 1_000, 1, 1).selectExpr("id as doc_id", "concat(id, repeat(' word', 2000)) as text")
+    near_duplicates(docs).count()
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["size"])
+
+    found = [row["size"] for row in docs.mapInArrow(sizes, "size bigint").collect()]
+    assert sum(found) > 10_000_000 and max(found) < 2_000_000
