@@ -19,7 +19,9 @@ from recordloom.sources.delimited import unique_names
 def safe_repeat(value: Column, limit: int | None = None) -> Column:
     """Repeat counts: unreadable or below one -> 1, above a given limit -> the limit."""
     n = F.coalesce(value.cast("string").try_cast("int"), F.lit(1))
-    return F.when(n <= 0, 1).otherwise(n if limit is None else F.least(n, F.lit(limit))).cast("int")
+    if limit is None or limit > 0:  # reads the value once
+        return F.greatest(F.lit(1), n if limit is None else F.least(n, F.lit(limit))).cast("int")
+    return F.when(n <= 0, 1).otherwise(F.least(n, F.lit(limit))).cast("int")
 
 
 def expand_cells(cells: Column, limit: int | None = None) -> Column:
@@ -50,38 +52,56 @@ def without_blank_tail(cells: Column) -> Column:
 
 
 def normal_rows(grid: DataFrame, limit: int | None = None) -> DataFrame:
-    """(sheet_id, row_no, repeat, cells): cells expanded and trimmed, repeats made safe."""
-    return grid.select(
+    """(sheet_id, row_no, repeat, cells): cells expanded and trimmed, repeats made safe.
+
+    Trimming reads the expanded cells twice, so they are a column of their own before it.
+    """
+    wide = grid.select(
         "sheet_id", "row_no", safe_repeat(F.col("row_repeat"), limit).alias("repeat"),
-        trim_trailing(expand_cells(without_blank_tail(F.col("cells")), limit)).alias("cells"),
+        expand_cells(without_blank_tail(F.col("cells")), limit).alias("cells"),
     )
+    return wide.select("sheet_id", "row_no", "repeat", trim_trailing(F.col("cells")).alias("cells"))
 
 
-def drop_blank_rows(rows: DataFrame, max_blank_run: int | None = None) -> DataFrame:
-    """Remove blank rows.  With ``max_blank_run`` a sheet ends at a run of that many once data has begun.
+def before_end(marked: DataFrame, max_blank_run: int) -> DataFrame:
+    """The filled rows (``_filled`` = 1) of each sheet before its first run of ``max_blank_run`` blank ones once data has begun.
 
     For that every row learns how many filled rows came before it.  Blanks with the same count form one run,
-    and a run is summed before it is shuffled.
+    and a run is summed before it is shuffled.  A sheet ends at the row where that run begins, so only numbers are put in
+    order, whatever else the rows carry; ``marked`` is read more than once.
     """
+    places = marked.select("sheet_id", "row_no", "repeat", "_filled")
+    counted = running_sum(places, ["sheet_id"], ["row_no"], "_before", weight="_filled")
+    runs = counted.where("_filled = 0 and _before > 0").groupBy("sheet_id", "_before").agg(
+        F.sum("repeat").alias("_run"), F.min("row_no").alias("_end"))
+    ends = runs.where(F.col("_run") >= max_blank_run).groupBy("sheet_id").agg(F.min("_end").alias("_end"))
+    filled = marked.where("_filled = 1").drop("_filled")
+    sizes = filled.groupBy("sheet_id").agg(F.count("*").alias("_n"))
+    # Written once, so that its size is known before the join.
+    sheets = materialise(sizes.join(ends, "sheet_id", "left"), "ends")
+    kept = salted_join(filled, sheets, "sheet_id", F.col("row_no"))
+    return kept.where(F.col("_end").isNull() | (F.col("row_no") < F.col("_end"))).drop("_n", "_end")
+
+
+def drop_blank_rows(rows: DataFrame, max_blank_run: int | None = None) -> DataFrame:
+    """Remove blank rows.  With ``max_blank_run`` a sheet ends at a run of that many once data has begun."""
     if max_blank_run is None:
         return rows.where(F.size("cells") > 0)
     marked = rows.withColumn("_filled", F.when(F.size("cells") > 0, 1).otherwise(0))
-    counted = running_sum(marked, ["sheet_id"], ["row_no"], "_before", weight="_filled")
-    runs = counted.where("_filled = 0 and _before > 0").groupBy("sheet_id", "_before").agg(F.sum("repeat").alias("_run"))
-    ends = runs.where(F.col("_run") >= max_blank_run).groupBy("sheet_id").agg(F.min("_before").alias("_end"))
-    sizes = counted.groupBy("sheet_id").agg(F.count("*").alias("_n"))
-    kept = salted_join(
-        counted.where("_filled = 1"), sizes.join(ends, "sheet_id", "left"), "sheet_id", F.col("row_no")
-    )
-    return kept.where(F.col("_end").isNull() | (F.col("_before") < F.col("_end"))).drop("_filled", "_before", "_n", "_end")
+    return before_end(materialise(marked, "rows"), max_blank_run)
 
 
 def cap_rows(rows: DataFrame, cap: int | None = None) -> DataFrame:
-    """Write row repeats out, at most ``cap`` rows per sheet if given: (sheet_id, row_no, copy_no, cells)."""
+    """Write row repeats out, at most ``cap`` rows per sheet if given: (sheet_id, row_no, copy_no, cells).
+
+    Only numbers are put in order; the cells join those that have a place, at most ``cap`` rows per sheet.
+    """
     if cap is None:
         placed, copies = rows, F.col("repeat").cast("bigint")
     else:
-        placed = running_sum(rows, ["sheet_id"], ["row_no"], "_start", weight="repeat").where(F.col("_start") < cap)
+        starts = running_sum(rows.select("sheet_id", "row_no", "repeat"), ["sheet_id"], ["row_no"], "_start", weight="repeat")
+        starts = materialise(starts.where(F.col("_start") < cap).select("sheet_id", "row_no", "_start"), "starts")
+        placed = rows.join(starts, ["sheet_id", "row_no"])
         copies = F.least(F.col("repeat").cast("bigint"), F.lit(cap) - F.col("_start"))
     return placed.select(
         "sheet_id", "row_no", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)).alias("copy_no"), "cells"
@@ -89,10 +109,18 @@ def cap_rows(rows: DataFrame, cap: int | None = None) -> DataFrame:
 
 
 def cut_report(grid: DataFrame, repeat: int | None, blank_run: int | None, cap: int | None) -> DataFrame:
-    """(sheet_id, rows, kept): filled rows of each sheet without and with the given limits."""
-    whole = normal_rows(grid).where(F.size("cells") > 0).groupBy("sheet_id").agg(F.sum(F.col("repeat").cast("bigint")).alias("rows"))
-    left = drop_blank_rows(normal_rows(grid, repeat), blank_run).groupBy("sheet_id").agg(
-        F.sum(F.col("repeat").cast("bigint")).alias("kept"))
+    """(sheet_id, rows, kept): filled rows of each sheet without and with the given limits.
+
+    Cells are looked at once, for whether any holds text; none is written out.
+    """
+    text = F.exists("cells", lambda c: F.coalesce(c["text"], F.lit("")) != "")
+    filled = text if repeat is None or repeat > 0 else F.lit(False)  # no copy of a cell holds none of its text
+    marked = materialise(grid.select(
+        "sheet_id", "row_no", safe_repeat(F.col("row_repeat")).alias("_whole"), safe_repeat(F.col("row_repeat"), repeat).alias("repeat"),
+        text.alias("_text"), F.when(filled, 1).otherwise(0).alias("_filled")), "marked")
+    whole = marked.where("_text").groupBy("sheet_id").agg(F.sum(F.col("_whole").cast("bigint")).alias("rows"))
+    left = marked.where("_filled = 1") if blank_run is None else before_end(marked, blank_run)
+    left = left.groupBy("sheet_id").agg(F.sum(F.col("repeat").cast("bigint")).alias("kept"))
     kept = F.coalesce("kept", F.lit(0))
     return whole.join(left, "sheet_id", "left").select(
         "sheet_id", "rows", (kept if cap is None else F.least(kept, F.lit(cap))).cast("bigint").alias("kept"))

@@ -175,6 +175,42 @@ def test_a_grid_loses_nothing_by_default(spark):
     assert (cut["rows"], cut["kept"]) == (105_003, 4_000)
 
 
+def test_limits_of_a_grid_put_only_numbers_in_order(spark, monkeypatch):
+    """Against a plain reading of random sheets; cells never travel with a running sum."""
+    draw = random.Random(7)
+    rows = []
+    for sheet in range(12):
+        for row_no in draw.sample(range(1_000), draw.randint(1, 60)):
+            texts = [draw.choice(["", "", None, "x"]) for _ in range(draw.randint(0, 3))] if draw.random() < 0.7 else None
+            rows.append((sheet, row_no, draw.choice(["1", "2", "9", "0", "many", None]), texts and [(t, draw.choice(["1", "3", "-1"])) for t in texts]))
+    df = spark.createDataFrame(rows, "sheet_id int, row_no int, row_repeat string, cells array<struct<text:string,repeat:string>>")
+    carried, running_sum = [], grid.running_sum
+    monkeypatch.setattr(grid, "running_sum", lambda rows, *args, **named: carried.append(rows.columns) or running_sum(rows, *args, **named))
+    repeat, blank_run, cap = 5, 6, 8
+    kept, capped, report = [], [], []
+    for sheet in range(12):
+        whole = left = run = 0
+        began = ended = False
+        for _, row_no, times, cells in sorted((r for r in rows if r[0] == sheet), key=lambda r: r[1]):
+            n = int(times) if times in ("1", "2", "9") else 1
+            if not any(text for text, _ in cells or []):
+                run += min(n, repeat) if began else 0
+                ended = ended or run >= blank_run
+                continue
+            began, run, whole = True, 0, whole + n
+            if not ended:
+                kept.append((sheet, row_no, min(n, repeat)))
+                capped += [(sheet, row_no, i + 1) for i in range(max(0, min(min(n, repeat), cap - left)))]
+                left += min(n, repeat)
+        report += [(sheet, whole, min(left, cap))] if whole else []
+    found = grid.drop_blank_rows(grid.normal_rows(df, repeat), blank_run)
+    assert sorted(tuple(r) for r in found.select("sheet_id", "row_no", "repeat").collect()) == kept
+    assert sorted(tuple(r) for r in grid.cap_rows(found, cap).select("sheet_id", "row_no", "copy_no").collect()) == capped
+    assert sorted(tuple(r) for r in grid.cut_report(df, repeat, blank_run, cap).collect()) == report
+    assert len(kept) < sum(1 for r in rows if any(text for text, _ in r[3] or [])) and len(carried) == 3
+    assert not any("cells" in columns for columns in carried)
+
+
 def test_csv_loses_no_column_and_no_field(spark, tmp_path):
     (tmp_path / "blank.csv").write_text("\n\nname,email\nAli,a@x.dz\n")
     (tmp_path / "broken.csv").write_text('"full\nname",email\nAli,a@x.dz\nZoé,"z\n@x.dz"\n')
