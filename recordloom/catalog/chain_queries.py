@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom import fixed_values as fv
 from recordloom.catalog import sql as q
-from recordloom.catalog.field_queries import NAMES, beside, cleaned_table, composed_table, names_table, pair_scores, scored_ctes
+from recordloom.catalog.field_queries import NAMES, beside, cleaned_table, composed_rows, composed_table, names_table, pair_scores, scored_ctes
 from recordloom.catalog.registry import SETTINGS, base, dirty, query, table
 from recordloom.functions import dates, structs
 from recordloom.functions import text as tx
@@ -192,7 +192,7 @@ def row_suffix(spark, folder):
 
 @query("infer_last", q.with_ctes(*q.NAMED, select=f"select row_id, {q.last_word('name')} as last from composed"))
 def infer_last(spark, folder):
-    return infer_input(spark, folder).select("row_id", inference.infer_last(F.col("name")).alias("last"))
+    return composed_rows(spark, folder).select("row_id", inference.infer_last(F.col("name")).alias("last"))
 
 
 @query("infer_gender", q.with_ctes(*q.NAMED, f"names as ({NAMES})", select="""
@@ -325,7 +325,7 @@ ROUGH_SQL = [
 
 
 def rough(spark, folder):
-    composed_table(spark, folder).createOrReplaceTempView("composed")
+    composed_rows(spark, folder).createOrReplaceTempView("composed")
     return spark.sql(ROUGH)
 
 
@@ -368,7 +368,7 @@ def person_record(spark, folder):
 select row_id, case when wilaya is not null or commune is not null then coalesce(wilaya, '') end as wilaya, case when wilaya is not null or commune is not null then coalesce(commune, '') end as commune,
   case when wilaya is not null or commune is not null then cast(row_id as double) / 10 end as lat from composed"""))
 def normalize_location(spark, folder):
-    df = composed_table(spark, folder)
+    df = composed_rows(spark, folder)
     place = F.struct(
         F.concat(F.lit(" "), "wilaya").alias("wilaya"), F.coalesce("commune", F.lit("NaN")).alias("commune"),
         F.struct(F.lit("x").alias("lang"), (F.col("row_id") / 10).cast("string").alias("lat")).alias("coordinates"), F.lit("none").alias("fullLocation"))
@@ -389,7 +389,7 @@ def normalize_preferences(spark, folder):
 def revalidate_dob(spark, folder):
     old = replace(SETTINGS, legacy_dob_range=True)
     seconds = F.col("DOB") - 400_000_000
-    return composed_table(spark, folder).select(
+    return composed_rows(spark, folder).select(
         "row_id", validation.revalidate_dob(seconds, SETTINGS).alias("dob"), validation.revalidate_dob(seconds, old).alias("legacy"))
 
 
@@ -435,7 +435,7 @@ EXPORT_SQL = """select row_id, name, email, phoneNumber, strftime(make_timestamp
 
 
 def exported(spark, folder):
-    df = composed_table(spark, folder).select("row_id", "name", "last", "email", "phoneNumber", "DOB", "wilaya", "preferences")
+    df = composed_rows(spark, folder).select("row_id", "name", "last", "email", "phoneNumber", "DOB", "wilaya", "preferences")
     return df
 
 

@@ -296,8 +296,14 @@ def scored_ctes():
     return parts
 
 
+def composed_rows(spark, folder):
+    """The cleaned people with their full names, for queries that read them once: no more columns are computed than they read."""
+    return cleaning.compose_display_name(cleaned_table(spark, folder), SETTINGS)
+
+
 def composed_table(spark, folder):
-    return materialise(cleaning.compose_display_name(cleaned_table(spark, folder), SETTINGS), "composed")
+    """The same, written once for queries that read it several times."""
+    return materialise(composed_rows(spark, folder), "composed")
 
 
 def beside(spark, folder):

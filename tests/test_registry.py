@@ -1,6 +1,6 @@
 """Base tables of the catalog."""
 
-from recordloom.catalog import registry
+from recordloom.catalog import load, registry
 
 
 def test_people_of_one_row_group_are_dealt_over_all_cores(spark, tmp_path):
@@ -16,3 +16,13 @@ def test_pieces_of_large_tables_stay_bounded(spark, monkeypatch):
     monkeypatch.setattr(registry, "PIECE_ROWS", 100)
     assert registry.spread(spark.range(0, 5_000, 1, 1)).rdd.getNumPartitions() == 50
     assert registry.spread(spark.range(0, 50, 1, 1)).rdd.getNumPartitions() == 1
+
+
+def test_a_query_that_reads_people_once_computes_no_more_than_it_reads(spark):
+    load()
+    for key, unread in (("infer_last", "_t_wilaya"), ("revalidate_dob", "_t_name"), ("normalize_location", "_t_email"),
+                        ("export_projection", "_t_userType"), ("default_picture", "_t_wilaya"), ("missing_fields", "_t_preferences")):
+        df = registry.QUERIES[key](spark, "/root/testdata/sf0.001")
+        # The given tables are read, and no copy of all columns that was written before.
+        assert not any("/composed-" in file for file in df.inputFiles()), key
+        assert unread not in df._jdf.queryExecution().optimizedPlan().toString(), key
