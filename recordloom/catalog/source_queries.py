@@ -85,8 +85,7 @@ KEPT = """counted as (select *, len(cells) > 0 as filled,
   ends as (select sheet_id, min(before) as stop from runs where run >= 2000 group by sheet_id),
   kept as (select c.* from counted c left join ends e on c.sheet_id = e.sheet_id where filled and (stop is null or before < stop))"""
 CAP = 500
-CAPPED = f"""placed as (select *, sum(repeat) over (partition by sheet_id order by row_no) - repeat as start from kept),
-  capped as (select sheet_id, row_no, unnest(range(1, cast(least(repeat, {CAP} - start) + 1 as bigint))) as copy_no, cells from placed where start < {CAP})"""
+WHOLE = """whole as (select sheet_id, row_no, unnest(range(1, repeat + 1)) as copy_no, cells from tight where len(cells) > 0)"""
 
 
 @query("grid_expand_repeats", q.with_ctes(GRID, WIDE, select="select sheet_id, row_no, unnest(range(1, repeat + 1)) as copy_no, array_to_string(cells, '|') as cells from wide"))
@@ -106,10 +105,11 @@ def grid_drop_blank_rows(spark, folder):
     return kept.select("sheet_id", "row_no", F.col("repeat").cast("bigint").alias("repeat"), F.array_join("cells", "|").alias("cells"))
 
 
-@query("grid_row_cap", q.with_ctes(GRID, WIDE, TIGHT, KEPT, CAPPED, select="select sheet_id, row_no, copy_no, array_to_string(cells, '|') as cells from capped"))
+@query("grid_row_cap", q.with_ctes(GRID, WIDE, TIGHT, WHOLE, select="select sheet_id, row_no, cast(copy_no as bigint) as copy_no, array_to_string(cells, '|') as cells from whole"))
 def grid_row_cap(spark, folder):
-    capped = gr.cap_rows(gr.drop_blank_rows(gr.normal_rows(grid(spark, folder), fv.MAX_REPEAT), fv.MAX_BLANK_RUN), CAP)
-    return capped.withColumn("cells", F.array_join("cells", "|"))
+    """Every filled row of every sheet, repeats written out; no limit is set, so nothing is cut."""
+    rows = gr.cap_rows(gr.drop_blank_rows(gr.normal_rows(grid(spark, folder))))
+    return rows.withColumn("cells", F.array_join("cells", "|"))
 
 
 @query("grid_cut_report", q.with_ctes(GRID, WIDE, TIGHT, KEPT, select=f"""
@@ -120,9 +120,6 @@ def grid_cut_report(spark, folder):
     return gr.cut_report(grid(spark, folder), fv.MAX_REPEAT, fv.MAX_BLANK_RUN, CAP)
 
 
-WHOLE = """whole as (select sheet_id, row_no, unnest(range(1, repeat + 1)) as copy_no, cells from tight where len(cells) > 0)"""
-
-
 @query("grid_promote_header", q.with_ctes(GRID, WIDE, TIGHT, WHOLE, """
   sheets as (select sheet_id, max(len(cells)) as width, min_by(cells, row_no * 10000 + copy_no) as head, min(row_no * 10000 + copy_no) as first from whole group by sheet_id),
   body as (select c.sheet_id, row_no, copy_no, unnest(range(0, width)) as position, cells, head from whole c join sheets s on c.sheet_id = s.sheet_id where row_no * 10000 + copy_no <> first)""",

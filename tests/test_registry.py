@@ -26,3 +26,12 @@ def test_a_query_that_reads_people_once_computes_no_more_than_it_reads(spark):
         # The given tables are read, and no copy of all columns that was written before.
         assert not any("/composed-" in file for file in df.inputFiles()), key
         assert unread not in df._jdf.queryExecution().optimizedPlan().toString(), key
+
+
+def test_the_rows_of_a_grid_are_all_written_out(spark):
+    """More rows than the customary limits leave: every filled one, as often as it is repeated."""
+    load()
+    folder = "/root/testdata/sf0.01"
+    filled = registry.grid(spark, folder).where("exists(cells, c -> coalesce(c.text, '') <> '')")
+    whole = filled.selectExpr("sum(greatest(1, coalesce(try_cast(row_repeat as int), 1))) as n").first()["n"]
+    assert whole > 50_000 and registry.QUERIES["grid_row_cap"](spark, folder).count() == whole
