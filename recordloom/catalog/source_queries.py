@@ -139,8 +139,10 @@ def grid_table(spark, folder):
     """Wide rows under their headers, written as name=value."""
     wide = gr.grid_table(grid(spark, folder))
     places = ("sheet_id", "row_no", "copy_no")
-    cells = [F.concat(F.lit(f"{c}="), F.col(f"`{c}`")) for c in sorted(c for c in wide.columns if c not in places)]
-    return wide.select(*places, F.array_join(F.array(*cells), ";").alias("filled"))
+    names = sorted(c for c in wide.columns if c not in places)
+    # One function for all columns: generated code for each of them would be a method too large to be compiled.
+    cells = F.zip_with(F.array(*[F.lit(c) for c in names]), F.array(*[F.col(f"`{c}`") for c in names]), lambda name, value: F.concat(name, F.lit("="), value))
+    return wide.select(*places, F.array_join(cells, ";").alias("filled"))
 
 
 # A lookup document per supplier, in the four accepted shapes.

@@ -54,12 +54,15 @@ def without_blank_tail(cells: Column) -> Column:
 def normal_rows(grid: DataFrame, limit: int | None = None) -> DataFrame:
     """(sheet_id, row_no, repeat, cells): cells expanded and trimmed, repeats made safe.
 
-    Trimming reads the expanded cells twice, so they are a column of their own before it.
+    Trimming reads the expanded cells twice, so they are a column of their own before it.  An entry that is there once at least
+    keeps its last place, so without its blank tail a row is trimmed already.
     """
     wide = grid.select(
         "sheet_id", "row_no", safe_repeat(F.col("row_repeat"), limit).alias("repeat"),
         expand_cells(without_blank_tail(F.col("cells")), limit).alias("cells"),
     )
+    if limit is None or limit > 0:
+        return wide
     return wide.select("sheet_id", "row_no", "repeat", trim_trailing(F.col("cells")).alias("cells"))
 
 
@@ -91,20 +94,23 @@ def drop_blank_rows(rows: DataFrame, max_blank_run: int | None = None) -> DataFr
     return before_end(materialise(marked, "rows"), max_blank_run)
 
 
-def cap_rows(rows: DataFrame, cap: int | None = None) -> DataFrame:
-    """Write row repeats out, at most ``cap`` rows per sheet if given: (sheet_id, row_no, copy_no, cells).
+def counted_rows(rows: DataFrame, cap: int | None = None) -> DataFrame:
+    """(sheet_id, row_no, copies, cells): how often each row is written out, at most ``cap`` rows per sheet if given.
 
     Only numbers are put in order; the cells join those that have a place, at most ``cap`` rows per sheet.
     """
     if cap is None:
-        placed, copies = rows, F.col("repeat").cast("bigint")
-    else:
-        starts = running_sum(rows.select("sheet_id", "row_no", "repeat"), ["sheet_id"], ["row_no"], "_start", weight="repeat")
-        starts = materialise(starts.where(F.col("_start") < cap).select("sheet_id", "row_no", "_start"), "starts")
-        placed = rows.join(starts, ["sheet_id", "row_no"])
-        copies = F.least(F.col("repeat").cast("bigint"), F.lit(cap) - F.col("_start"))
-    return placed.select(
-        "sheet_id", "row_no", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)).alias("copy_no"), "cells"
+        return rows.select("sheet_id", "row_no", F.col("repeat").cast("bigint").alias("copies"), "cells")
+    starts = running_sum(rows.select("sheet_id", "row_no", "repeat"), ["sheet_id"], ["row_no"], "_start", weight="repeat")
+    starts = materialise(starts.where(F.col("_start") < cap).select("sheet_id", "row_no", "_start"), "starts")
+    copies = F.least(F.col("repeat").cast("bigint"), F.lit(cap) - F.col("_start"))
+    return rows.join(starts, ["sheet_id", "row_no"]).select("sheet_id", "row_no", copies.alias("copies"), "cells")
+
+
+def cap_rows(rows: DataFrame, cap: int | None = None) -> DataFrame:
+    """Write row repeats out, at most ``cap`` rows per sheet if given: (sheet_id, row_no, copy_no, cells)."""
+    return counted_rows(rows, cap).select(
+        "sheet_id", "row_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy_no"), "cells"
     )
 
 
@@ -139,6 +145,18 @@ def header_rows(rows: DataFrame) -> DataFrame:
     )
 
 
+def counted_headers(rows: DataFrame) -> DataFrame:
+    """(sheet_id, _n, _width, _first, _headers) of rows that are not written out: ``_first`` is the ``row_no`` of the first one.
+
+    The sums hold numbers only; the cells of a first row meet them afterwards.
+    """
+    sheets = materialise(rows.groupBy("sheet_id").agg(
+        F.sum("copies").alias("_n"), F.max(F.size("cells")).alias("_width"), F.min("row_no").alias("_first")), "sizes")
+    firsts = sheets.select("sheet_id", F.col("_first").alias("row_no"))
+    heads = rows.join(firsts, ["sheet_id", "row_no"]).select("sheet_id", F.col("cells").alias("_headers"))
+    return sheets.join(heads.dropDuplicates(["sheet_id"]), "sheet_id")
+
+
 def below_header(rows: DataFrame, sheets: DataFrame) -> DataFrame:
     """Rows below the first of each sheet, with what ``sheets`` says of it."""
     joined = salted_join(rows, sheets, "sheet_id", F.xxhash64("row_no", "copy_no"))
@@ -179,9 +197,12 @@ def grid_table(grid: DataFrame, repeat: int | None = None, blank_run: int | None
     Sheets with the same headers are one layout; only the layouts reach the driver, to name the columns (repeated headers get
     .1, .2, ..., empty ones their position).  Cells are taken by position, nothing is pivoted.  A column that a sheet lacks is
     null, a cell that a row lacks empty.
+
+    The grid is read once: its normal rows are written, what is known of the sheets comes from numbers alone, and a cell is stripped once,
+    however many columns there are and however often its row is repeated.
     """
-    rows = cap_rows(drop_blank_rows(normal_rows(grid, repeat), blank_run), cap)
-    sheets = materialise(header_rows(rows).withColumn("_layout", F.transform(padded(F.col("_headers")), lambda h: tx.strip(h))), "sheets")
+    rows = counted_rows(drop_blank_rows(materialise(normal_rows(grid, repeat), "normal"), blank_run), cap)
+    sheets = materialise(counted_headers(rows).withColumn("_layout", F.transform(padded(F.col("_headers")), lambda h: tx.strip(h))), "sheets")
     layouts = [row["_layout"] for row in sheets.where("_n > 1").select("_layout").distinct().orderBy("_layout").collect()]
     if not layouts:
         return grid.select("sheet_id", "row_no", F.lit(1).cast("bigint").alias("copy_no")).where("false")
@@ -196,11 +217,18 @@ def grid_table(grid: DataFrame, repeat: int | None = None, blank_run: int | None
     placed = [{fold(name): at for at, name in enumerate(own)} for own in named]
     places = [(layout, [at.get(name) for name in names]) for layout, at in zip(layouts, placed)]
     known = grid.sparkSession.createDataFrame(places, "_layout array<string>, _places array<int>")
-    body = below_header(rows, sheets.join(known, "_layout").drop("_layout"))
-    cells = padded(F.col("cells"))
-    values = [F.get(cells, F.get("_places", F.lit(i))) for i in range(len(names))]
-    return body.select("sheet_id", "row_no", "copy_no", *[
-        tx.strip(F.when(v.isin("nan", "None"), "").otherwise(v)).alias(name) for v, name in zip(values, names.values())])
+    # Written too, so that its size is known before the join.
+    sheets = materialise(sheets.join(known, "_layout").select("sheet_id", "_n", "_first", "_places"), "places")
+    body = salted_join(rows, sheets, "sheet_id", F.xxhash64("row_no")).where(F.col("_places").isNotNull())
+    is_first = F.col("row_no") == F.col("_first")
+    texts = F.transform("cells", lambda c: tx.strip(F.when(c.isin("nan", "None"), "").otherwise(c)))
+    body = body.where(~is_first | (F.col("copies") > 1)).select(
+        "sheet_id", "row_no", F.sequence(F.when(is_first, 2).otherwise(1).cast("bigint"), F.col("copies")).alias("_copies"), texts.alias("_texts"), "_places")
+    # Rows may be shorter than their sheet is wide.
+    values = F.transform("_places", lambda at: F.when(at.isNotNull(), F.coalesce(F.get("_texts", at), F.lit(""))))
+    body = body.select("sheet_id", "row_no", "_copies", values.alias("_values")).select(
+        "sheet_id", "row_no", F.explode("_copies").alias("copy_no"), "_values")
+    return body.select("sheet_id", "row_no", "copy_no", *[F.get("_values", F.lit(i)).alias(name) for i, name in enumerate(names.values())])
 
 
 def grid_rows(grid: DataFrame, **limits: int | None) -> DataFrame:

@@ -211,6 +211,20 @@ def test_limits_of_a_grid_put_only_numbers_in_order(spark, monkeypatch):
     assert not any("cells" in columns for columns in carried)
 
 
+def test_a_table_of_a_grid_reads_it_once_and_sums_numbers(spark, tmp_path):
+    """Repeats, short rows, marks for nothing and a repeated first row; the grid itself is in no later plan."""
+    rows = [(1, 1, "1", [("", "4")]), (1, 2, "3", [(" a ", "1"), ("b", "2"), ("", "x")]), (1, 3, "2", [("nan", "1"), (" 1 ", "2")]),
+            (1, 4, "1", [(" v", "0")]), (2, 7, "1", [("b", "1"), ("", "1"), ("z", "1")]), (2, 9, "many", [("", "2"), ("None", "1")]), (3, 1, "1", [("a", "1")])]
+    df = spark.createDataFrame(rows, "sheet_id int, row_no int, row_repeat string, cells array<struct<text: string, repeat: string>>")
+    df.write.parquet(str(tmp_path / "grid"))
+    table = grid.grid_table(spark.read.parquet(str(tmp_path / "grid")))
+    assert table.columns == ["sheet_id", "row_no", "copy_no", "a", "b", "b.1", "Unnamed: 1", "z"]
+    assert sorted((tuple(r) for r in table.collect()), key=str) == [
+        (1, 2, 2, "a", "b", "b", None, None), (1, 2, 3, "a", "b", "b", None, None), (1, 3, 1, "", "1", "1", None, None),
+        (1, 3, 2, "", "1", "1", None, None), (1, 4, 1, "v", "", "", None, None), (2, 9, 1, None, "", None, "", "")]
+    assert not any(str(tmp_path) in file for file in table.inputFiles())
+
+
 def test_csv_loses_no_column_and_no_field(spark, tmp_path):
     (tmp_path / "blank.csv").write_text("\n\nname,email\nAli,a@x.dz\n")
     (tmp_path / "broken.csv").write_text('"full\nname",email\nAli,a@x.dz\nZoé,"z\n@x.dz"\n')
