@@ -267,3 +267,28 @@ def test_pairs_under_dense_keys_are_not_spelled_out(spark, monkeypatch):
     tuples, dense = dedup.materialise(dedup.match_tuples(dedup.match_rows(df, bounds)), "tuples"), []
     assert dedup.candidate_pairs(tuples, bounds, SETTINGS, dense).count() == 0
     assert [some.count() > 0 for some in dense] == [True]
+
+
+def test_cells_somewhat_larger_are_compared_in_tiles(spark, monkeypatch):
+    """One day, one province, more people than ``bucket_rows``: keys of phones and e-mails would spell out more pairs than there are."""
+    rows = [(i, f"person {i % 7}", f"+2135500{i * 37 % 10000:04d}", 5, f"person.{i % 7}.{i}@x.dz", "oran") for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    settings = replace(SETTINGS, bucket_rows=50)
+    monkeypatch.setattr(dedup, "DENSE_PAIRS", 1_000)
+    bounds = dedup.Bounds(SETTINGS.duplicate_weights, SETTINGS.duplicate_threshold)
+    tuples, dense = dedup.materialise(dedup.match_tuples(dedup.match_rows(df, bounds)), "tuples"), []
+    assert dedup.candidate_pairs(tuples, bounds, settings, dense).count() == 0
+    found = {(r["l_id"], r["r_id"]): r["score"] for some in dense for r in some.where("_once").collect()}
+    assert found == pytest.approx(brute_force(rows, settings)) and len(found) > 1_000
+    # Nobody without a province was born that day, so there is no common cell.
+    assert {r["cell"] for r in dedup._cells(tuples, bounds).collect()} == {"5|=|oran"}
+
+
+def test_numbers_in_order_move_no_row_once_they_are_sorted(spark):
+    from recordloom.operators.ordering import dense_index
+
+    df = spark.range(1_000).selectExpr("(id * 7919) % 1009 as a", "id as b").repartition(7)
+    numbered = dense_index(df, ["a", "b"], "place", start=5)
+    assert [r["place"] for r in numbered.orderBy("a", "b").collect()] == list(range(5, 1_005))
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
