@@ -292,3 +292,12 @@ def test_numbers_in_order_move_no_row_once_they_are_sorted(spark):
     assert [r["place"] for r in numbered.orderBy("a", "b").collect()] == list(range(5, 1_005))
     plan = numbered._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "hashpartitioning" not in plan
+
+
+def test_pairs_are_numbered_without_a_second_copy(spark):
+    """Links are written once; what numbers them is one row for each left person."""
+    result = find_duplicates(spark.createDataFrame(people(11, 60), SCHEMA), SETTINGS)
+    assert not any("/ranges-" in file for file in result.pairs.inputFiles())
+    found = result.pairs.orderBy("left_id", "right_id").collect()
+    numbers = [int(row["group_id"][4:]) for row in found]
+    assert numbers == list(range(numbers[0], numbers[0] + len(found))) and len({row["left_id"] for row in found}) < len(found)
